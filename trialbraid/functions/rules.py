@@ -1,154 +1,176 @@
-"""Cleaning and classification rules of the registry as Column expressions."""
+"""Cleaning and classification rules of the registry as Spark SQL expressions."""
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from trialbraid import vocab
 from trialbraid.functions import text
 
 
-def nullify_tokens(c: Column) -> Column:
-    """NULL for a whole cell that only says "missing"."""
-    return F.when(~c.isin(vocab.NULL_TOKENS), c)
+def date_literal(day: dt.date) -> str:
+    return f"DATE '{day.isoformat()}'"
 
 
-def status_group(status: Column) -> Column:
-    groups = ((status.isin(members), g) for g, members in vocab.STATUS_GROUPS.items())
-    return text.case_of(groups, F.lit(vocab.OTHER))
+def nullify_tokens(c: str) -> str:
+    """NULL for a whole cell that only says "missing"."""
+    return f"CASE WHEN NOT {text.is_in(c, vocab.NULL_TOKENS)} THEN {c} END"
 
 
-def clean_phase(phases: Column) -> Column:
-    """Highest phase of a pipe list; among equals the last one wins."""
+def status_group(status: str) -> str:
+    groups = ((text.is_in(status, members), g) for g, members in vocab.STATUS_GROUPS.items())
+    return text.case_of(groups, text.quote(vocab.OTHER))
 
-    def ranked(token: Column, pos: Column) -> Column:
-        name = text.strip(token)
-        rank = F.coalesce(
-            *[F.when(name == phase, F.lit(i)) for i, phase in enumerate(vocab.PHASE_ORDER)],
-            F.lit(-1),
-        )
-        return F.struct(rank.alias("rank"), pos.alias("pos"), name.alias("name"))
 
-    highest = F.array_max(F.transform(text.pipe_tokens(phases), ranked))
-    return F.coalesce(highest["name"], F.lit(vocab.UNKNOWN))
+def clean_phase(phases: str) -> str:
+    """Highest phase of a pipe list; among equals the last one wins."""
+    stripped = f"transform({text.pipe_tokens(phases)}, t -> {text.strip('t')})"
+    # array_position counts from 1 and gives 0 for a label outside of the order.
+    rank = f"array_position(array({text.word_list(vocab.PHASE_ORDER)}), t)"
+    ranked = f"transform({stripped}, (t, i) -> struct({rank} AS rank, i AS pos, t AS name))"
+    return f"coalesce(array_max({ranked}).name, {text.quote(vocab.UNKNOWN)})"
 
 
-def enrollment_number(c: Column) -> Column:
+def enrollment_number(c: str) -> str:
     """Number in a text cell; anything that is not a plain number gives NULL."""
     number = text.strip(c)
-    plain = number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    return F.when(plain, number.try_cast("double"))
+    plain = r"'^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
+    return f"CASE WHEN {number} RLIKE {plain} THEN try_cast({number} AS double) END"
 
 
-def parse_date(c: Column, lenient: bool = False) -> Column:
+def parse_date(c: str, lenient: bool = False) -> str:
     """Date of ``2020-11-09`` or ``November 9, 2020``; other text gives NULL.
 
     ``lenient`` also takes a month without a day and puts it on the first.
     """
     day = text.strip(c)
-    iso = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.try_cast("date"))
-    formats = ["MMMM d, yyyy"] + (["MMMM yyyy"] if lenient else [])
-    return F.coalesce(iso, *[F.try_to_date(day, f) for f in formats])
+    iso = f"CASE WHEN {day} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' THEN try_cast({day} AS date)"
+    options = [f"try_to_date({day}, 'MMMM d, yyyy')"]
+    if lenient:
+        options.append(f"try_to_date({day}, 'MMMM yyyy')")
+    return f"{iso} ELSE coalesce({', '.join(options)}) END"
 
 
-def cutoff_after(extraction: Column) -> Column:
-    return F.add_months(extraction, 12 * vocab.CUTOFF_BUFFER_YEARS)
+def cutoff_after(extraction: str) -> str:
+    return f"add_months({extraction}, {12 * vocab.CUTOFF_BUFFER_YEARS})"
 
 
-def keep_until(c: Column, cutoff: Column) -> Column:
+def keep_until(c: str, cutoff: str) -> str:
     """NULL for placeholder dates beyond the cutoff."""
-    return F.when(c <= cutoff, c)
+    return f"CASE WHEN {c} <= {cutoff} THEN {c} END"
 
 
-def starts_before(start: Column, day: dt.date) -> Column:
+def starts_before(start: str, day: dt.date) -> str:
     """Flag that is false, not NULL, for a missing start."""
-    return F.coalesce(start < F.lit(day), F.lit(False))
+    return f"coalesce({start} < {date_literal(day)}, false)"
 
 
-def is_expanded_access(study_type: Column) -> Column:
-    return F.coalesce(study_type.contains("Expanded"), F.lit(False))
+def is_expanded_access(study_type: str) -> str:
+    return f"coalesce(contains({study_type}, 'Expanded'), false)"
 
 
-def normalize_condition(condition: Column) -> Column:
-    """Canonical name for known spelling variants, title case for the rest."""
-    name = text.strip(condition)
-    return text.first_label(F.lower(name), vocab.CONDITION_KEYWORDS, text.title_case(name))
+def normalize_condition(condition: str, lowered: str) -> str:
+    """Canonical name for known spelling variants, title case for the rest.
+
+    Takes a stripped condition and its lower-case form.
+    """
+    return text.first_label(lowered, vocab.CONDITION_KEYWORDS, text.title_case(condition))
 
 
-def therapeutic_area(condition: Column) -> Column:
-    """Area of a condition name; the order of the areas decides on double hits."""
-    name = F.lower(text.strip(condition))
-    return text.first_label(name, vocab.AREA_KEYWORDS, F.lit(vocab.OTHER))
+def therapeutic_area(lowered: str) -> str:
+    """Area of a lower-case condition name; on double hits the earlier area wins."""
+    return text.first_label(lowered, vocab.AREA_KEYWORDS, text.quote(vocab.OTHER))
 
 
-def continent(country: Column) -> Column:
+def classify_conditions(conditions: DataFrame, condition: str) -> DataFrame:
+    """Add ``condition_name`` and ``therapeutic_area`` to stripped conditions.
+
+    The lower-case forms are columns of their own, computed once per row and
+    not once per keyword list.
+    """
+    kept = conditions.columns
+    return (
+        conditions.selectExpr(*kept, f"lower({condition}) AS lowered")
+        .selectExpr(*kept, f"{normalize_condition(condition, 'lowered')} AS condition_name")
+        .selectExpr(*kept, "condition_name", "lower(condition_name) AS lowered")
+        .selectExpr(
+            *kept, "condition_name", f"{therapeutic_area('lowered')} AS therapeutic_area"
+        )
+    )
+
+
+def continent(country: str) -> str:
     """Continent by hash-set membership: no join and nothing to broadcast."""
-    members = ((country.isin(c), name) for name, c in vocab.CONTINENT_COUNTRIES.items())
-    return text.case_of(members, F.lit(vocab.OTHER))
+    members = (
+        (text.is_in(country, countries), continent)
+        for continent, countries in vocab.CONTINENT_COUNTRIES.items()
+    )
+    return text.case_of(members, text.quote(vocab.OTHER))
 
 
-def is_mapped_country(country: Column) -> Column:
-    return continent(country) != vocab.OTHER
+def is_mapped_country(country: str) -> str:
+    return f"{continent(country)} != {text.quote(vocab.OTHER)}"
 
 
-def intervention_type(item: Column) -> Column:
-    return F.when(item.contains(":"), text.before_colon(item)).otherwise(vocab.OTHER)
+def intervention_type(item: str) -> str:
+    other = text.quote(vocab.OTHER)
+    return f"CASE WHEN contains({item}, ':') THEN {text.before_colon(item)} ELSE {other} END"
 
 
-def intervention_name(item: Column) -> Column:
-    return F.when(item.contains(":"), text.after_colon(item)).otherwise(text.strip(item))
+def intervention_name(item: str) -> str:
+    return f"coalesce({text.after_colon(item)}, {text.strip(item)})"
 
 
-def design_pairs(designs: Column) -> Column:
+def design_pairs(designs: str) -> str:
     """``Key: value|Key: value`` as an array of (slot, value).
 
     A slot is the design column a key belongs to. A key naming several of them
     goes to the first; a part without a colon has no slot.
     """
-
-    def pair(part: Column) -> Column:
-        key = F.lower(text.before_colon(part))
-        slot = F.coalesce(
-            *[F.when(key.contains(words), F.lit(name)) for name, words in vocab.DESIGN_KEYS.items()]
-        )
-        slot = F.when(part.contains(":"), slot)
-        return F.struct(slot.alias("slot"), text.after_colon(part).alias("value"))
-
-    return F.transform(text.pipe_tokens(designs), pair)
+    key = f"lower({text.before_colon('p')})"
+    slots = text.case_of(
+        ((f"contains({key}, {text.quote(w)})", slot) for slot, w in vocab.DESIGN_KEYS.items()),
+        "NULL",
+    )
+    slot = f"CASE WHEN contains(p, ':') THEN {slots} END"
+    pair = f"struct({slot} AS slot, {text.after_colon('p')} AS value)"
+    return f"transform({text.pipe_tokens(designs)}, p -> {pair})"
 
 
-def design_value(pairs: Column, slot: str) -> Column:
+def design_value(pairs: str, slot: str) -> str:
     """Value of the last pair for a slot, NULL when there is none."""
-    return F.try_element_at(F.filter(pairs, lambda p: p["slot"] == slot), F.lit(-1))["value"]
+    return f"try_element_at(filter({pairs}, p -> p.slot = {text.quote(slot)}), -1).value"
 
 
-def study_key(nct_id: Column) -> Column:
+def study_key(nct_id: str) -> str:
     """Stable numeric key of a study, the same on every run and every task.
 
     Registry numbers (``NCT`` and digits) map to their own digits, so no
     sequence, no global sort and no key-map join is needed. Any other
     identifier gets a negative hash key, apart from the numbers.
     """
-    digits = F.substring(nct_id, 4, 18)
-    registered = nct_id.rlike(r"^NCT([0-9]{8}|[1-9][0-9]{8,16})$")
-    other = -F.pmod(F.xxhash64(nct_id), F.lit(2**62)) - 1
-    return F.when(registered, digits.try_cast("bigint")).when(nct_id.isNotNull(), other)
+    number = f"cast(substring({nct_id}, 4) AS bigint)"
+    other = f"-pmod(xxhash64({nct_id}), {2**62}L) - 1"
+    return (
+        f"CASE WHEN {nct_id} RLIKE '^NCT([0-9]{{8}}|[1-9][0-9]{{8,16}})$' THEN {number} "
+        f"WHEN {nct_id} IS NOT NULL THEN {other} END"
+    )
 
 
-def age_days(end: Column, start: Column) -> Column:
+def age_days(end: str, start: str) -> str:
     """Day part (0 to 30, signed) of the calendar age between two dates.
 
     Not a duration: of "3 months 12 days" it is the 12. Whole months are taken
     off first, and a borrowed month has the length of the earlier date's month.
     """
 
-    def day_part(late: Column, early: Column) -> Column:
-        diff = F.day(late) - F.day(early)
-        return F.when(diff >= 0, diff).otherwise(diff + F.day(F.last_day(early)))
-
-    return F.when(end >= start, day_part(end, start)).when(end < start, -day_part(start, end))
-
+    def day_part(late: str, early: str) -> str:
+        borrowed = f"CASE WHEN day({late}) < day({early}) THEN day(last_day({early})) ELSE 0 END"
+        return f"(day({late}) - day({early}) + {borrowed})"
 
+    return (
+        f"CASE WHEN {end} >= {start} THEN {day_part(end, start)} "
+        f"WHEN {end} < {start} THEN -{day_part(start, end)} END"
+    )

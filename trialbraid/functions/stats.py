@@ -1,26 +1,38 @@
-"""Shares, exact quantiles over histograms, and label sets."""
+"""Shares, exact quantiles over histograms, and label sets.
+
+Like the rules, the expression helpers take and return SQL text.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialbraid.functions.text import quote
+
+COUNT = "count(*)"
 
-def pct(part: Column, whole: Column, digits: int = 1) -> Column:
+
+def pct(part: str, whole: str, digits: int = 1) -> str:
     """Percentage as a double, rounded half away from zero."""
-    return F.round(F.lit(100.0) * part / whole, digits)
+    return f"round(100.0D * {part} / {whole}, {digits})"
 
 
-def pct_half_even(part: Column, whole: Column, digits: int = 1) -> Column:
+def pct_half_even(part: str, whole: str, digits: int = 1) -> str:
     """Percentage rounded half to even, the rule of the profiling reports."""
-    return F.bround(F.lit(100.0) * part / whole, digits)
+    return f"bround(100.0D * {part} / {whole}, {digits})"
 
 
-def grand_total(c: Column) -> Column:
+def grand_total(c: str) -> str:
     """Sum over all rows; only for frames that are already aggregated."""
-    return F.sum(c).over(Window.partitionBy())
+    return f"sum({c}) OVER ()"
+
+
+def tally(df: DataFrame, *keys: str, **counts: str) -> DataFrame:
+    """Aggregates by keys, given as SQL text."""
+    return df.groupBy(*keys).agg(*[F.expr(e).alias(c) for c, e in counts.items()])
 
 
 def quantiles(
@@ -29,7 +41,7 @@ def quantiles(
     value: str,
     weight: str,
     probabilities: Mapping[str, float],
-    extra: Sequence[Column] = (),
+    **extra: str,
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles of a weighted histogram.
 
@@ -42,25 +54,22 @@ def quantiles(
 
     ``extra`` are aggregates over the histogram rows, in the same pass.
     """
-    w = F.when(F.col(value).isNotNull(), F.col(weight)).otherwise(0)
     per_key = Window.partitionBy(*keys)
-    up_to_value = per_key.orderBy(F.col(value).asc_nulls_last()).rowsBetween(
+    up_to_value = per_key.orderBy(F.asc_nulls_last(value)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
+    w = F.expr(f"if({value} IS NULL, 0, {weight})")
     ranked = histogram.withColumns(
-        {"_upto": F.sum(w).over(up_to_value), "_total": F.sum(w).over(per_key)}
+        {"upto_": F.sum(w).over(up_to_value), "total_": F.sum(w).over(per_key)}
     )
 
-    def quantile(p: float) -> Column:
-        rank = F.lit(p) * (F.col("_total") - 1)
-        below, above = F.floor(rank), F.ceil(rank)
-        low = F.min(F.when(F.col("_upto") > below, F.col(value)))
-        high = F.min(F.when(F.col("_upto") > above, F.col(value)))
-        return (low + F.max(rank - below) * (high - low)).cast("double")
+    def quantile(p: float) -> str:
+        rank = f"({p}D * (total_ - 1))"
+        low = f"min(CASE WHEN upto_ > floor({rank}) THEN {value} END)"
+        high = f"min(CASE WHEN upto_ > ceil({rank}) THEN {value} END)"
+        return f"cast({low} + max({rank} - floor({rank})) * ({high} - {low}) AS double)"
 
-    return ranked.groupBy(*keys).agg(
-        *[quantile(p).alias(name) for name, p in probabilities.items()], *extra
-    )
+    return tally(ranked, *keys, **{c: quantile(p) for c, p in probabilities.items()}, **extra)
 
 
 # --- Label sets -------------------------------------------------------------
@@ -70,24 +79,21 @@ def quantiles(
 # no collected arrays, and a study repeated millions of times stays one row.
 
 
-def label_bit(label: Column, vocabulary: Sequence[str]) -> Column:
+def label_bit(label: str, vocabulary: Sequence[str]) -> str:
     """Bit of a label; a label outside the vocabulary is an error, not a loss."""
-    chain = F.when(label == vocabulary[0], F.lit(1))
-    for i, name in enumerate(vocabulary[1:], start=1):
-        chain = chain.when(label == name, F.lit(1 << i))
-    unknown = F.raise_error(F.concat(F.lit("label outside the vocabulary: "), label))
-    return chain.otherwise(unknown.cast("int"))
+    bits = " ".join(f"WHEN {quote(name)} THEN {1 << i}" for i, name in enumerate(vocabulary))
+    unknown = f"cast(raise_error('label outside the vocabulary: ' || {label}) AS int)"
+    return f"CASE {label} {bits} ELSE {unknown} END"
 
 
-def labels_of(mask: Column, vocabulary: Sequence[str]) -> Column:
+def labels_of(mask: str, vocabulary: Sequence[str]) -> str:
     """Array of the labels whose bits are set."""
-    names = [
-        F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(name))
-        for i, name in enumerate(vocabulary)
-    ]
-    return F.array_compact(F.array(*names))
+    names = ", ".join(
+        f"if({mask} & {1 << i} != 0, {quote(name)}, NULL)" for i, name in enumerate(vocabulary)
+    )
+    return f"array_compact(array({names}))"
 
 
-def labels_or_all(mask: Column, vocabulary: Sequence[str]) -> Column:
+def labels_or_all(mask: str, vocabulary: Sequence[str]) -> str:
     """Labels of the mask plus one NULL entry that stands for "any label"."""
-    return F.concat(labels_of(mask, vocabulary), F.array(F.lit(None).cast("string")))
+    return f"array_append({labels_of(mask, vocabulary)}, cast(NULL AS string))"

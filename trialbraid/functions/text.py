@@ -1,12 +1,15 @@
-"""Text helpers as native Column expressions."""
+"""Text helpers as Spark SQL expressions.
+
+Functions here and in ``rules`` take the SQL text of an expression (mostly a
+column name) and return the SQL text of another, for ``F.expr`` and
+``selectExpr``. All of it is built-in functions, so it stays inside the JVM;
+long word lists reach the parser as one text instead of one call per word.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Fixed value: every character a whitespace strip removes (not only blanks).
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -15,66 +18,84 @@ WHITESPACE = (
 )
 
 
-def strip(c: Column) -> Column:
+def quote(value: str | None) -> str:
+    """SQL literal of a text."""
+    if value is None:
+        return "NULL"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def name(column: str) -> str:
+    """SQL text of a column name that may hold blanks."""
+    return f"`{column}`"
+
+
+def word_list(values: Iterable[str | None]) -> str:
+    return ", ".join(quote(v) for v in values)
+
+
+def is_in(c: str, values: Iterable[str]) -> str:
+    return f"{c} IN ({word_list(values)})"
+
+
+def case_of(branches: Iterable[tuple[str, str]], otherwise: str) -> str:
+    """``CASE WHEN test THEN 'label' ... ELSE otherwise END``."""
+    whens = " ".join(f"WHEN {test} THEN {quote(label)}" for test, label in branches)
+    return f"CASE {whens} ELSE {otherwise} END"
+
+
+def strip(c: str) -> str:
     """Remove leading and trailing whitespace of any kind."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    return f"btrim({c}, {quote(WHITESPACE)})"
 
 
-def pipe_tokens(c: Column) -> Column:
+def pipe_tokens(c: str) -> str:
     """Raw tokens of a pipe list: neither stripped nor filtered, NULL stays NULL."""
-    return F.split(c, r"\|")
+    return rf"split({c}, '\\|')"
 
 
-def split_pipe(c: Column) -> Column:
+def split_pipe(c: str) -> str:
     """Stripped, non-empty tokens of a pipe list; NULL gives an empty array."""
-    tokens = F.filter(F.transform(pipe_tokens(c), strip), lambda t: t != "")
-    return F.coalesce(tokens, F.array().cast("array<string>"))
+    stripped = f"transform({pipe_tokens(c)}, t -> {strip('t')})"
+    return f"coalesce(filter({stripped}, t -> t != ''), cast(array() AS array<string>))"
 
 
-def title_case(c: Column) -> Column:
+def title_case(c: str) -> str:
     """Capitalize every run of letters: ``crohn's 3rd`` becomes ``Crohn'S 3Rd``.
 
     ``initcap`` alone only restarts after a blank, which is enough for plain
     words, so only the other values pay for the split into runs.
     """
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
-    by_run = F.array_join(F.transform(runs, F.initcap), "")
-    return F.when(c.rlike("^[A-Za-z ]*$"), F.initcap(c)).otherwise(by_run)
+    runs = rf"regexp_extract_all({c}, '(\\p{{L}}+|\\P{{L}}+)', 1)"
+    by_run = f"array_join(transform({runs}, r -> initcap(r)), '')"
+    return f"CASE WHEN {c} RLIKE '^[A-Za-z ]*$' THEN initcap({c}) ELSE {by_run} END"
 
 
-def contains_any(c: Column, keywords: Sequence[str]) -> Column:
-    """True when any keyword occurs anywhere in ``c`` (one regex alternation)."""
-    return c.rlike("|".join(_literal(k) for k in keywords))
+def contains_any(c: str, keywords: Sequence[str]) -> str:
+    """True when any keyword occurs anywhere in ``c``.
 
-
-def case_of(branches: Iterable[tuple[Column, str]], otherwise: Column) -> Column:
-    """``CASE WHEN test THEN label ... ELSE otherwise END``."""
-    (test, label), *rest = branches
-    chain = F.when(test, F.lit(label))
-    for test, label in rest:
-        chain = chain.when(test, F.lit(label))
-    return chain.otherwise(otherwise)
+    Plain searches on the UTF-8 bytes that stop at the first hit; measured at
+    less than half the time of one regex alternation, which has to decode the
+    text first.
+    """
+    return "(" + " OR ".join(f"contains({c}, {quote(k)})" for k in keywords) + ")"
 
 
-def first_label(c: Column, keywords: Mapping[str, Sequence[str]], otherwise: Column) -> Column:
+def first_label(c: str, keywords: Mapping[str, Sequence[str]], otherwise: str) -> str:
     """Label of the first keyword list with a hit in ``c``, else ``otherwise``."""
     hits = ((contains_any(c, words), label) for label, words in keywords.items())
     return case_of(hits, otherwise)
 
 
-def last_comma_part(c: Column) -> Column:
+def last_comma_part(c: str) -> str:
     """Stripped text after the last comma (the whole text when there is none)."""
-    return strip(F.substring_index(c, ",", -1))
+    return strip(f"substring_index({c}, ',', -1)")
 
 
-def before_colon(c: Column) -> Column:
-    return strip(F.substring_index(c, ":", 1))
+def before_colon(c: str) -> str:
+    return strip(f"substring_index({c}, ':', 1)")
 
 
-def after_colon(c: Column) -> Column:
+def after_colon(c: str) -> str:
     """Stripped text after the first colon; NULL when there is none."""
-    return strip(F.get(F.split(c, ":", 2), F.lit(1)))
-
-
-def _literal(keyword: str) -> str:
-    return "".join("\\" + ch if ch in r"\.^$|?*+()[]{}" else ch for ch in keyword)
+    return strip(f"get(split({c}, ':', 2), 1)")

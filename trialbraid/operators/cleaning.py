@@ -9,34 +9,37 @@ from pyspark.sql import functions as F
 
 from trialbraid import vocab
 from trialbraid.functions import rules
+from trialbraid.functions.text import name
+
+PLACEHOLDER_COLUMNS = ["Completion Date", "Primary Completion Date"]
 
 
 def drop_expanded_access(flat: DataFrame) -> DataFrame:
     """Remove expanded-access programmes; a missing study type stays."""
-    return flat.filter(~rules.is_expanded_access(F.col("Study Type")))
+    return flat.filter(f"NOT {rules.is_expanded_access(name('Study Type'))}")
 
 
 def with_status_group(flat: DataFrame) -> DataFrame:
-    return flat.withColumn("status_group", rules.status_group(F.col("Status")))
+    return flat.withColumn("status_group", F.expr(rules.status_group("Status")))
 
 
 def with_clean_phase(flat: DataFrame) -> DataFrame:
-    return flat.withColumn("phase_clean", rules.clean_phase(F.col("Phases")))
+    return flat.withColumn("phase_clean", F.expr(rules.clean_phase("Phases")))
 
 
 def with_enrollment_number(flat: DataFrame) -> DataFrame:
-    return flat.withColumn("Enrollment", rules.enrollment_number(F.col("Enrollment")))
+    return flat.withColumn("Enrollment", F.expr(rules.enrollment_number("Enrollment")))
 
 
 def parse_dates(flat: DataFrame, columns: list[str], lenient: bool = False) -> DataFrame:
-    return flat.withColumns({c: rules.parse_date(F.col(c), lenient) for c in columns})
+    return flat.withColumns({c: F.expr(rules.parse_date(name(c), lenient)) for c in columns})
 
 
 def extraction_date(flat: DataFrame) -> DataFrame:
     """Extraction date and placeholder cutoff, from the newest update in the data."""
-    newest = F.max(rules.parse_date(F.col("Last Update Posted")))
-    return flat.agg(newest.alias("extraction_date")).withColumn(
-        "cutoff_date", rules.cutoff_after(F.col("extraction_date"))
+    newest = rules.parse_date(name("Last Update Posted"))
+    return flat.agg(F.expr(f"max({newest})").alias("extraction_date")).withColumn(
+        "cutoff_date", F.expr(rules.cutoff_after("extraction_date"))
     )
 
 
@@ -45,22 +48,19 @@ def data_cutoff(flat: DataFrame) -> Column:
     return extraction_date(flat).select("cutoff_date").scalar()
 
 
-def null_placeholder_dates(flat: DataFrame, cutoff: Column) -> DataFrame:
+def null_placeholder_dates(flat: DataFrame, cutoff: str) -> DataFrame:
     """Completion dates beyond the cutoff become NULL."""
     return flat.withColumns(
-        {
-            c: rules.keep_until(F.col(c), cutoff)
-            for c in ("Completion Date", "Primary Completion Date")
-        }
+        {c: F.expr(rules.keep_until(name(c), cutoff)) for c in PLACEHOLDER_COLUMNS}
     )
 
 
 def with_date_flags(flat: DataFrame) -> DataFrame:
-    start = F.col("Start Date")
+    start = name("Start Date")
     return flat.withColumns(
         {
-            "pre_covid_start": rules.starts_before(start, vocab.PRE_COVID_BEFORE),
-            "date_error": rules.starts_before(start, vocab.DATE_ERROR_BEFORE),
+            "pre_covid_start": F.expr(rules.starts_before(start, vocab.PRE_COVID_BEFORE)),
+            "date_error": F.expr(rules.starts_before(start, vocab.DATE_ERROR_BEFORE)),
         }
     )
 
@@ -77,6 +77,6 @@ def clean_pipeline(
     flat = with_clean_phase(flat)
     flat = with_status_group(flat)
     flat = parse_dates(flat, vocab.STUDY_DATE_COLUMNS, lenient_dates)
-    flat = null_placeholder_dates(flat, rules.cutoff_after(F.lit(extraction)))
+    flat = null_placeholder_dates(flat, rules.cutoff_after(rules.date_literal(extraction)))
     flat = with_date_flags(flat)
     return with_enrollment_number(flat)

@@ -127,7 +127,7 @@ def enrollment_by_study_type(flat: DataFrame) -> DataFrame:
 
 
 def expanded_access_profile(flat: DataFrame) -> DataFrame:
-    expanded = F.count_if(rules.is_expanded_access(F.col("Study Type")))
+    expanded = F.expr(f"count_if({rules.is_expanded_access(text.name('Study Type'))})")
     return flat.agg(F.count("*").alias("n_rows"), expanded.alias("n_expanded")).withColumn(
         "pct_expanded", stats.pct_half_even(F.col("n_expanded"), F.col("n_rows"))
     )
@@ -140,25 +140,30 @@ def date_range_profile(raw: DataFrame) -> DataFrame:
     columns = vocab.STUDY_DATE_COLUMNS
     parsed = cleaning.parse_dates(flat, columns)
     cutoff = cleaning.data_cutoff(flat)
-    versions = {}
-    for c in columns:
-        after = F.col(c) if c == "Start Date" else rules.keep_until(F.col(c), F.col("cutoff"))
-        versions[c] = {"before": F.col(c), "after": after}
+    versions = {
+        c: {
+            "before": text.name(c),
+            "after": rules.keep_until(text.name(c), "cutoff")
+            if c in cleaning.PLACEHOLDER_COLUMNS
+            else text.name(c),
+        }
+        for c in columns
+    }
     wide = parsed.withColumn("cutoff", cutoff).agg(
         F.count("*").alias("n_rows"),
         *[
-            f(value).alias(f"{what}|{c}|{stage}")
+            F.expr(f"{call}({value})").alias(f"{call}|{c}|{stage}")
             for c, stages in versions.items()
             for stage, value in stages.items()
-            for what, f in (("n", F.count), ("min", F.min), ("max", F.max))
+            for call in ("count", "min", "max")
         ],
     )
     rows = [
         F.struct(
             F.lit(stage).alias("stage"),
             F.lit(c).alias("column_name"),
-            F.col(f"n|{c}|{stage}").alias("valid"),
-            (F.col("n_rows") - F.col(f"n|{c}|{stage}")).alias("missing"),
+            F.col(f"count|{c}|{stage}").alias("valid"),
+            (F.col("n_rows") - F.col(f"count|{c}|{stage}")).alias("missing"),
             F.col(f"min|{c}|{stage}").alias("min_date"),
             F.col(f"max|{c}|{stage}").alias("max_date"),
         )
@@ -173,15 +178,15 @@ def date_issue_counts(raw: DataFrame) -> DataFrame:
     flat = cleaning.drop_expanded_access(raw)
     parsed = cleaning.parse_dates(flat, vocab.STUDY_DATE_COLUMNS)
     parsed = parsed.withColumn("cutoff", cleaning.data_cutoff(flat))
-    start, cutoff = F.col("Start Date"), F.col("cutoff")
     issues = {
-        "completion_after_cutoff": F.col("Completion Date") > cutoff,
-        "primary_completion_after_cutoff": F.col("Primary Completion Date") > cutoff,
-        "start_before_2020": start < F.lit(vocab.PRE_COVID_BEFORE),
-        "start_before_2000": start < F.lit(vocab.DATE_ERROR_BEFORE),
+        "completion_after_cutoff": "`Completion Date` > cutoff",
+        "primary_completion_after_cutoff": "`Primary Completion Date` > cutoff",
+        "start_before_2020": rules.starts_before("`Start Date`", vocab.PRE_COVID_BEFORE),
+        "start_before_2000": rules.starts_before("`Start Date`", vocab.DATE_ERROR_BEFORE),
     }
     counts = parsed.agg(
-        F.count("*").alias("n_rows"), *[F.count_if(test).alias(k) for k, test in issues.items()]
+        F.count("*").alias("n_rows"),
+        *[F.expr(f"count_if({test})").alias(k) for k, test in issues.items()],
     )
     rows = counts.unpivot("n_rows", list(issues), "issue", "n")
     return rows.select(
@@ -201,8 +206,8 @@ def pre_covid_status_mix(clean: DataFrame) -> DataFrame:
 # --- Conditions -------------------------------------------------------------------
 def explode_conditions(flat: DataFrame) -> DataFrame:
     """One row per stripped condition entry; empty entries stay in this report."""
-    entries = flat.select(F.explode(text.pipe_tokens(F.col("Conditions"))).alias("condition"))
-    return entries.select(text.strip(F.col("condition")).alias("condition"))
+    entries = flat.selectExpr(f"explode({text.pipe_tokens('Conditions')}) AS entry")
+    return entries.selectExpr(f"{text.strip('entry')} AS condition")
 
 
 def condition_counts(flat: DataFrame) -> DataFrame:
@@ -212,10 +217,7 @@ def condition_counts(flat: DataFrame) -> DataFrame:
 
 def classified_counts(flat: DataFrame) -> DataFrame:
     """Distinct condition texts with entries, canonical name and area."""
-    named = condition_counts(flat).withColumn(
-        "condition_name", rules.normalize_condition(F.col("condition"))
-    )
-    return named.withColumn("therapeutic_area", rules.therapeutic_area(F.col("condition_name")))
+    return rules.classify_conditions(condition_counts(flat), "condition")
 
 
 def condition_stats(flat: DataFrame, top: int = 20) -> DataFrame:
@@ -277,10 +279,10 @@ def other_top_terms(flat: DataFrame, top: int = 30) -> DataFrame:
 # --- Locations ----------------------------------------------------------------------
 def explode_locations(flat: DataFrame) -> DataFrame:
     """One row per stripped location entry with its position in the source."""
-    entries = flat.select(
-        INGEST_POS, F.posexplode(text.pipe_tokens(F.col("Locations"))).alias("list_pos", "location")
+    entries = flat.selectExpr(
+        INGEST_POS, f"posexplode({text.pipe_tokens('Locations')}) AS (list_pos, entry)"
     )
-    return entries.select(INGEST_POS, "list_pos", text.strip(F.col("location")).alias("location"))
+    return entries.selectExpr(INGEST_POS, "list_pos", f"{text.strip('entry')} AS location")
 
 
 def location_part_counts(flat: DataFrame, examples: int = 3) -> DataFrame:
@@ -304,11 +306,8 @@ def location_part_counts(flat: DataFrame, examples: int = 3) -> DataFrame:
 
 def country_entries(flat: DataFrame) -> DataFrame:
     """Entries per country text (the part after the last comma)."""
-    return (
-        explode_locations(flat)
-        .groupBy(text.last_comma_part(F.col("location")).alias("country"))
-        .agg(F.count("*").alias("n"))
-    )
+    country = F.expr(text.last_comma_part("location")).alias("country")
+    return explode_locations(flat).groupBy(country).agg(F.count("*").alias("n"))
 
 
 def country_counts(flat: DataFrame, top: int = 30) -> DataFrame:
@@ -319,7 +318,7 @@ def continent_entries(flat: DataFrame) -> DataFrame:
     """Entries and distinct countries per continent of the lookup."""
     return (
         country_entries(flat)
-        .groupBy(rules.continent(F.col("country")).alias("continent"))
+        .groupBy(F.expr(rules.continent("country")).alias("continent"))
         .agg(F.count("*").alias("n_countries"), F.sum("n").alias("n_entries"))
         .orderBy(F.desc("n_entries"), "continent")
     )
@@ -331,7 +330,7 @@ def unmapped_countries(flat: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("n")).scalar()
     return (
         counts.withColumn("total", total)
-        .filter(~rules.is_mapped_country(F.col("country")))
+        .filter(f"NOT ({rules.is_mapped_country('country')})")
         .select("country", "n", stats.pct_half_even(F.col("n"), F.col("total")).alias("pct"))
         .orderBy(F.desc("n"), "country")
     )

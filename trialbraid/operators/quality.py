@@ -8,29 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbraid import vocab
-from trialbraid.functions import rules, stats
+from trialbraid.functions import rules, stats, text
+from trialbraid.operators.cleaning import extraction_date
 from trialbraid.operators.profile import missing_profile
 
 
 def bounds(flat: DataFrame) -> DataFrame:
     """Violations per rule on the raw columns, in one pass."""
-    start = rules.parse_date(F.col("Start Date"))
-    completion = rules.parse_date(F.col("Completion Date"))
-    enrollment = F.col("Enrollment")
-    number = rules.enrollment_number(enrollment)
+    start, completion = (rules.parse_date(f"`{c} Date`") for c in ("Start", "Completion"))
+    number = rules.enrollment_number("Enrollment")
+    cutoff = rules.cutoff_after(rules.date_literal(vocab.EXTRACTION_DATE))
     checks = {
-        "nct_number_missing": F.col("NCT Number").isNull(),
-        "status_not_known": ~F.col("Status").isin(vocab.KNOWN_STATUSES),
-        "enrollment_not_a_number": enrollment.isNotNull() & number.isNull(),
-        "enrollment_negative": number < 0,
-        "start_date_not_a_date": F.col("Start Date").isNotNull() & start.isNull(),
-        "start_date_out_of_range": start < F.lit(vocab.DATE_ERROR_BEFORE),
-        "completion_date_out_of_range": completion
-        > rules.cutoff_after(F.lit(vocab.EXTRACTION_DATE)),
-        "completion_before_start": completion < start,
+        "nct_number_missing": "`NCT Number` IS NULL",
+        "status_not_known": f"NOT {text.is_in('Status', vocab.KNOWN_STATUSES)}",
+        "enrollment_not_a_number": f"Enrollment IS NOT NULL AND {number} IS NULL",
+        "enrollment_negative": f"{number} < 0",
+        "start_date_not_a_date": f"`Start Date` IS NOT NULL AND {start} IS NULL",
+        "start_date_out_of_range": rules.starts_before(start, vocab.DATE_ERROR_BEFORE),
+        "completion_date_out_of_range": f"{completion} > {cutoff}",
+        "completion_before_start": f"{completion} < {start}",
     }
     counts = flat.agg(
-        F.count("*").alias("n_rows"), *[F.count_if(c).alias(k) for k, c in checks.items()]
+        F.count("*").alias("n_rows"),
+        *[F.expr(f"count_if({c})").alias(k) for k, c in checks.items()],
     )
     rows = counts.unpivot("n_rows", list(checks), "rule", "violations")
     return rows.select(
@@ -56,7 +56,7 @@ def null_drift(previous: DataFrame, current: DataFrame, limit_points: float = 5.
 
 def freshness(flat: DataFrame, today: dt.date, max_age_days: int = 1) -> DataFrame:
     """Newest update and whether it is older than the expected cadence."""
-    newest = flat.agg(F.max(rules.parse_date(F.col("Last Update Posted"))).alias("newest_update"))
+    newest = extraction_date(flat).select(F.col("extraction_date").alias("newest_update"))
     age = F.datediff(F.lit(today), F.col("newest_update"))
     return newest.withColumn("age_days", age).withColumn(
         "late", F.coalesce(F.col("age_days") > max_age_days, F.lit(True))

@@ -18,13 +18,13 @@ from trialbraid.functions import text
 
 def ordinal(spark: SparkSession, values: Sequence[str], column: str) -> DataFrame:
     """(column, position): a fixed order as a tiny frame."""
-    rows = ", ".join("('{}', {})".format(v.replace("'", "\\'"), i) for i, v in enumerate(values))
+    rows = ", ".join(f"({text.quote(v)}, {i})" for i, v in enumerate(values))
     return spark.sql(f"SELECT * FROM VALUES {rows} AS fixed_order({column}, position)")
 
 
-def position_in(c: Column, values: Sequence[str]) -> Column:
+def position_in(c: str, values: Sequence[str]) -> Column:
     """0-based position in a fixed order; NULL outside of it."""
-    return F.nullif(F.array_position(F.array(*map(F.lit, values)), c), F.lit(0)) - 1
+    return F.expr(f"nullif(array_position(array({text.word_list(values)}), {c}), 0) - 1")
 
 
 # --- Question 1 ---------------------------------------------------------------
@@ -44,7 +44,7 @@ def main_window(timeline: DataFrame, last_month: dt.date = vocab.MAIN_WINDOW_END
         ["month", "month_label", "cumulative_total"], series, "series", "trials_started"
     )
     return (
-        long.withColumn("series_no", position_in(F.col("series"), series) + 1)
+        long.withColumn("series_no", position_in("series", series) + 1)
         .orderBy("month", "series_no")
     )
 
@@ -77,7 +77,7 @@ def design_risk_band(design: DataFrame) -> DataFrame:
 
 def masking_labels(design: DataFrame, min_trials: int = 10) -> DataFrame:
     """Masking levels with enough trials, labelled without the parentheses."""
-    label = text.strip(F.regexp_replace("feature_value", r"\(.*?\)", ""))
+    label = F.expr(text.strip(r"regexp_replace(feature_value, '\\(.*?\\)', '')"))
     return (
         design.filter(
             (F.col("design_feature") == "Masking") & (F.col("total_resolved") >= min_trials)
@@ -169,7 +169,7 @@ def label_with_count(name: str) -> Column:
 def duration_phase_chart(by_phase: DataFrame) -> DataFrame:
     """Clinical phases, last phase first, with label and quartile distances."""
     clinical = by_phase.filter(F.col("phase").isin(vocab.CLINICAL_PHASES)).withColumn(
-        "position", position_in(F.col("phase"), vocab.CLINICAL_PHASES)
+        "position", position_in("phase", vocab.CLINICAL_PHASES)
     )
     return clinical.select(
         label_with_count("phase").alias("y_label"),
@@ -192,7 +192,7 @@ def duration_area_chart(by_area: DataFrame) -> DataFrame:
 
 def duration_facets(by_area_and_phase: DataFrame) -> DataFrame:
     """Area facets with their phases in clinical order."""
-    position = position_in(F.col("phase"), vocab.CLINICAL_PHASES)
+    position = position_in("phase", vocab.CLINICAL_PHASES)
     return by_area_and_phase.withColumn("position", position).orderBy(
         "therapeutic_area", F.asc_nulls_last("position")
     )

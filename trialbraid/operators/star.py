@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialbraid import vocab
 from trialbraid.functions import rules, text
 from trialbraid.schema import INGEST_POS, STAR_SCHEMAS
 
@@ -31,9 +32,10 @@ _STUDY_COLUMNS = {
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns in the order and types of the table; absent ones are NULL."""
     present = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
+            f"cast({f.name if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) "
+            f"AS {f.name}"
             for f in STAR_SCHEMAS[table].fields
         ]
     )
@@ -46,17 +48,15 @@ def build_studies(flat: DataFrame) -> DataFrame:
     so a number registered millions of times is one row per task before the
     shuffle, and Catalyst drops the columns a query does not read.
     """
-    first = flat.filter(F.col("NCT Number").isNotNull()).groupBy(
-        F.col("NCT Number").alias("nct_id")
-    )
+    first = flat.filter("`NCT Number` IS NOT NULL").groupBy(F.col("NCT Number").alias("nct_id"))
     kept = first.agg(
-        *[F.min_by(F.col(c), F.col(INGEST_POS)).alias(name) for name, c in _STUDY_COLUMNS.items()]
+        *[
+            F.expr(f"min_by({text.name(c)}, {INGEST_POS})").alias(target)
+            for target, c in _STUDY_COLUMNS.items()
+        ]
     )
     keyed = kept.withColumns(
-        {
-            "study_id": rules.study_key(F.col("nct_id")),
-            "enrollment": F.bround("enrollment", 0),
-        }
+        {"study_id": F.expr(rules.study_key("nct_id")), "enrollment": F.bround("enrollment", 0)}
     )
     return conform(keyed, "studies")
 
@@ -66,76 +66,71 @@ def key_map(studies: DataFrame) -> DataFrame:
     return studies.select("study_id", "nct_id")
 
 
-def _keyed(flat: DataFrame, *columns: Column) -> DataFrame:
+def _keyed(flat: DataFrame, *columns: str) -> DataFrame:
     """Children of every row that has a study; all rows of a study count.
 
     The key is computed from the row itself, so no map is joined.
     """
-    return flat.filter(F.col("NCT Number").isNotNull()).select(
-        rules.study_key(F.col("NCT Number")).alias("study_id"), *columns
+    return flat.filter("`NCT Number` IS NOT NULL").selectExpr(
+        f"{rules.study_key(text.name('NCT Number'))} AS study_id", *columns
     )
 
 
 def _items(flat: DataFrame, column: str) -> DataFrame:
     """(study_id, item): the stripped, non-empty entries of a pipe list."""
-    raw = _keyed(flat, F.explode(text.pipe_tokens(F.col(column))).alias("item"))
-    return raw.withColumn("item", text.strip(F.col("item"))).filter(F.col("item") != "")
+    raw = _keyed(flat, f"explode({text.pipe_tokens(text.name(column))}) AS token")
+    return raw.selectExpr("study_id", f"{text.strip('token')} AS item").filter("item != ''")
 
 
 def build_conditions(flat: DataFrame) -> DataFrame:
-    item = F.col("item")
-    named = _items(flat, "Conditions").withColumn("condition_name", rules.normalize_condition(item))
-    area = rules.therapeutic_area(F.col("condition_name"))
-    return conform(named.withColumn("therapeutic_area", area), "conditions")
+    return conform(rules.classify_conditions(_items(flat, "Conditions"), "item"), "conditions")
 
 
 def build_interventions(flat: DataFrame) -> DataFrame:
-    item = F.col("item")
-    parsed = _items(flat, "Interventions").withColumns(
-        {"intervention_type": rules.intervention_type(item), "name": rules.intervention_name(item)}
+    parsed = _items(flat, "Interventions").selectExpr(
+        "study_id",
+        f"{rules.intervention_type('item')} AS intervention_type",
+        f"{rules.intervention_name('item')} AS name",
     )
     return conform(parsed, "interventions")
 
 
 def build_outcomes(flat: DataFrame) -> DataFrame:
-    return conform(
-        _items(flat, "Outcome Measures").withColumnRenamed("item", "measure"), "outcomes"
-    )
+    measured = _items(flat, "Outcome Measures").withColumnRenamed("item", "measure")
+    return conform(measured, "outcomes")
 
 
 def build_sponsors(flat: DataFrame) -> DataFrame:
     """Sponsors with the funder at the same position; the first one leads."""
     listed = _keyed(
         flat,
-        text.split_pipe(F.col("Funded Bys")).alias("funders"),
-        F.posexplode(text.split_pipe(F.col("Sponsor/Collaborators"))).alias("pos", "agency"),
+        f"{text.split_pipe(text.name('Funded Bys'))} AS funders",
+        f"posexplode({text.split_pipe(text.name('Sponsor/Collaborators'))}) AS (pos, agency)",
     )
-    role = F.when(F.col("pos") == 0, "Lead").otherwise("Collaborator")
-    return conform(
-        listed.withColumns(
-            {"agency_class": F.get("funders", F.col("pos")), "lead_or_collaborator": role}
-        ),
-        "sponsors",
+    roles = listed.selectExpr(
+        "study_id",
+        "agency",
+        "get(funders, pos) AS agency_class",
+        "if(pos = 0, 'Lead', 'Collaborator') AS lead_or_collaborator",
     )
+    return conform(roles, "sponsors")
 
 
 def build_locations(flat: DataFrame) -> DataFrame:
     """Country is the text after the last comma; the continent follows from it."""
-    country = text.last_comma_part(F.col("item"))
-    located = _items(flat, "Locations").withColumn("country", country)
+    located = _items(flat, "Locations").selectExpr(
+        "study_id", f"{text.last_comma_part('item')} AS country"
+    )
     return conform(
-        located.withColumn("continent", rules.continent(F.col("country"))), "locations"
+        located.withColumn("continent", F.expr(rules.continent("country"))), "locations"
     )
 
 
 def build_study_design(flat: DataFrame) -> DataFrame:
     """One row per registry row, all NULL when the design is missing."""
-    pairs = _keyed(flat, rules.design_pairs(F.col("Study Designs")).alias("pairs"))
-    slots = STAR_SCHEMAS["study_design"].fieldNames()[1:]
-    return conform(
-        pairs.withColumns({s: rules.design_value(F.col("pairs"), s) for s in slots}),
-        "study_design",
-    )
+    pairs = _keyed(flat, f"{rules.design_pairs(text.name('Study Designs'))} AS pairs")
+    slots = [f"{rules.design_value('pairs', slot)} AS {slot}" for slot in vocab.DESIGN_KEYS]
+    return conform(pairs.selectExpr("study_id", *slots), "study_design")
 
 
 BUILDERS = {

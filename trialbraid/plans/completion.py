@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbraid import vocab
 from trialbraid.functions import rules, stats
+from trialbraid.functions.stats import COUNT, tally
+from trialbraid.functions.text import is_in
 from trialbraid.operators.star import Star
 
 _DESIGN_FEATURES = {
@@ -14,64 +16,49 @@ _DESIGN_FEATURES = {
     "Intervention Model": "intervention_model",
     "Masking": "masking",
 }
+_COMPLETED = "count_if(status_group = 'Completed')"
+_STOPPED = "count_if(status_group = 'Stopped')"
+_RATE = f"{stats.pct('completed', 'total_resolved')} AS completion_rate_pct"
 
 
 def resolved(studies: DataFrame) -> DataFrame:
     """Trials that have reached an outcome."""
-    return studies.filter(F.col("status_group").isin(vocab.RESOLVED_GROUPS))
-
-
-def _rate() -> Column:
-    return stats.pct(F.col("completed"), F.col("total_resolved"))
+    return studies.filter(is_in("status_group", vocab.RESOLVED_GROUPS))
 
 
 def completion_by_phase(star: Star) -> DataFrame:
     """q2a: completion rate and median enrollment by phase and study type."""
     keys = ["phase", "study_type"]
-    histogram = (
-        resolved(star.studies)
-        .filter(F.col("phase") != vocab.UNKNOWN)
-        .groupBy(*keys, "enrollment")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(F.col("status_group") == "Completed").alias("n_completed"),
-        )
-    )
+    known = resolved(star.studies).filter(f"phase != '{vocab.UNKNOWN}'")
+    histogram = tally(known, *keys, "enrollment", n=COUNT, n_completed=_COMPLETED)
     summary = stats.quantiles(
         histogram,
         keys,
         "enrollment",
         "n",
         {"median": 0.5},
-        extra=[
-            F.sum("n").alias("total_resolved"),
-            F.sum("n_completed").alias("completed"),
-            F.sum(F.col("n") - F.col("n_completed")).alias("stopped"),
-        ],
+        total_resolved="sum(n)",
+        completed="sum(n_completed)",
+        stopped="sum(n - n_completed)",
     )
-    return summary.select(
+    return summary.selectExpr(
         *keys,
         "total_resolved",
         "completed",
         "stopped",
-        _rate().alias("completion_rate_pct"),
-        F.round("median", 0).alias("median_enrollment"),
+        _RATE,
+        "round(median, 0) AS median_enrollment",
     ).orderBy(F.desc("completion_rate_pct"), "phase", F.asc_nulls_last("study_type"))
 
 
 def completion_by_sponsor(star: Star) -> DataFrame:
     """q2b: completion rate by the class of the lead sponsor."""
-    leads = star.sponsors.filter(F.col("lead_or_collaborator") == "Lead").select(
-        "study_id", "agency_class"
-    )
+    leads = star.sponsors.filter("lead_or_collaborator = 'Lead'").select("study_id", "agency_class")
     joined = resolved(star.studies).select("study_id", "status_group").join(leads, "study_id")
-    is_completed = F.col("status_group") == "Completed"
-    counts = joined.groupBy("agency_class").agg(
-        F.count("*").alias("total_resolved"),
-        F.count_if(is_completed).alias("completed"),
-        F.count_if(~is_completed).alias("stopped"),
+    counts = tally(
+        joined, "agency_class", total_resolved=COUNT, completed=_COMPLETED, stopped=_STOPPED
     )
-    return counts.withColumn("completion_rate_pct", _rate()).orderBy(
+    return counts.selectExpr("*", _RATE).orderBy(
         F.desc("completion_rate_pct"), F.asc_nulls_last("agency_class")
     )
 
@@ -85,21 +72,20 @@ def completion_by_design(star: Star) -> DataFrame:
     features = list(_DESIGN_FEATURES.values())
     design = star.study_design.select("study_id", *features)
     joined = resolved(star.studies).select("study_id", "status_group").join(design, "study_id")
-    combos = (
-        joined.groupBy(*features)
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(F.col("status_group") == "Completed").alias("n_completed"),
-        )
-        .withColumnsRenamed({c: name for name, c in _DESIGN_FEATURES.items()})
+    combos = tally(joined, *features, n=COUNT, n_completed=_COMPLETED)
+    long = (
+        combos.withColumnsRenamed({c: name for name, c in _DESIGN_FEATURES.items()})
+        .unpivot(["n", "n_completed"], list(_DESIGN_FEATURES), "design_feature", "feature_value")
+        .filter("feature_value IS NOT NULL")
     )
-    long = combos.unpivot(
-        ["n", "n_completed"], list(_DESIGN_FEATURES), "design_feature", "feature_value"
-    ).filter(F.col("feature_value").isNotNull())
-    counts = long.groupBy("design_feature", "feature_value").agg(
-        F.sum("n").alias("total_resolved"), F.sum("n_completed").alias("completed")
+    counts = tally(
+        long,
+        "design_feature",
+        "feature_value",
+        total_resolved="sum(n)",
+        completed="sum(n_completed)",
     )
-    return counts.withColumn("completion_rate_pct", _rate()).orderBy(
+    return counts.selectExpr("*", _RATE).orderBy(
         "design_feature", F.desc("completion_rate_pct"), "feature_value"
     )
 
@@ -111,39 +97,29 @@ def stopped_deep_dive(star: Star) -> DataFrame:
     to one histogram and spread out again.
     """
     keys = ["status", "phase"]
-    stopped = (
-        star.studies.filter(F.col("status_group") == "Stopped")
-        .filter(F.col("phase") != vocab.UNKNOWN)
-        .select(
-            *keys,
-            "enrollment",
-            rules.age_days(F.col("completion_date"), F.col("start_date")).alias("duration_days"),
-        )
-    )
-    histogram = (
-        stopped.unpivot(keys, ["enrollment", "duration_days"], "measure", "value")
-        .groupBy(*keys, "measure", "value")
-        .agg(F.count("*").alias("n"))
+    stopped = star.studies.filter(
+        f"status_group = 'Stopped' AND phase != '{vocab.UNKNOWN}'"
+    ).selectExpr(
+        *keys, "enrollment", f"{rules.age_days('completion_date', 'start_date')} AS duration_days"
     )
+    long = stopped.unpivot(keys, ["enrollment", "duration_days"], "measure", "value")
     medians = stats.quantiles(
-        histogram,
+        tally(long, *keys, "measure", "value", n=COUNT),
         [*keys, "measure"],
         "value",
         "n",
         {"median": 0.5},
-        extra=[F.sum("n").alias("n_trials")],
+        n_trials="sum(n)",
     )
-
-    def median_of(measure: str) -> Column:
-        return F.round(F.max(F.when(F.col("measure") == measure, F.col("median"))), 0)
-
-    summary = medians.groupBy(*keys).agg(
-        F.max("n_trials").alias("n_trials"),
-        median_of("enrollment").alias("median_enrollment"),
-        median_of("duration_days").alias("median_duration_days"),
+    summary = tally(
+        medians,
+        *keys,
+        n_trials="max(n_trials)",
+        median_enrollment="round(max(if(measure = 'enrollment', median, NULL)), 0)",
+        median_duration_days="round(max(if(measure = 'duration_days', median, NULL)), 0)",
     )
-    by_size = Window.partitionBy("status").orderBy(F.desc("n_trials"))
-    return summary.withColumn("rank_within_status", F.rank().over(by_size)).orderBy(
+    rank = "rank() OVER (PARTITION BY status ORDER BY n_trials DESC)"
+    return summary.selectExpr("*", f"{rank} AS rank_within_status").orderBy(
         "status", "rank_within_status", "phase"
     )
 
@@ -151,8 +127,7 @@ def stopped_deep_dive(star: Star) -> DataFrame:
 def resolved_rate(star: Star) -> DataFrame:
     """KPI: completed share of all trials that reached an outcome."""
     counts = resolved(star.studies).agg(
-        F.count_if(F.col("status_group") == "Completed").alias("completed"),
-        F.count("*").alias("total_resolved"),
+        F.expr(_COMPLETED).alias("completed"), F.count("*").alias("total_resolved")
     )
-    rate = stats.pct(F.col("completed"), F.nullif(F.col("total_resolved"), F.lit(0)))
-    return counts.withColumn("completion_rate_pct", rate)
+    rate = stats.pct("completed", "nullif(total_resolved, 0)")
+    return counts.selectExpr("*", f"{rate} AS completion_rate_pct")

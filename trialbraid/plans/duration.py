@@ -7,47 +7,41 @@ from pyspark.sql import functions as F
 
 from trialbraid import vocab
 from trialbraid.functions import stats
+from trialbraid.functions.stats import COUNT, tally
 from trialbraid.operators.star import Star
 from trialbraid.plans.landscape import study_labels
 
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+_ROUNDED = [f"round({q}, 0) AS duration_{q}" for q in _QUARTILES]
 
 
 def durations(studies: DataFrame) -> DataFrame:
     """(study_id, phase, duration_days) of trials with a usable duration."""
-    days = F.datediff("completion_date", "start_date")
     usable = studies.filter(
-        (F.col("status_group") == "Completed") & ~F.col("pre_covid_start") & ~F.col("date_error")
+        "status_group = 'Completed' AND NOT pre_covid_start AND NOT date_error"
     )
-    return usable.select("study_id", "phase", days.alias("duration_days")).filter(
-        F.col("duration_days") >= 0
-    )
-
-
-def _rounded_quartiles() -> list:
-    return [F.round(q, 0).alias(f"duration_{q}") for q in _QUARTILES]
+    return usable.selectExpr(
+        "study_id", "phase", "datediff(completion_date, start_date) AS duration_days"
+    ).filter("duration_days >= 0")
 
 
 def _summary(histogram: DataFrame, key: str) -> DataFrame:
-    days, n = F.col("duration_days"), F.col("n")
     summary = stats.quantiles(
         histogram,
         [key],
         "duration_days",
         "n",
         _QUARTILES,
-        extra=[
-            F.sum(n).alias("n_trials"),
-            (F.sum(days * n) / F.sum(n)).alias("mean"),
-            F.min(days).alias("duration_min"),
-            F.max(days).alias("duration_max"),
-        ],
+        n_trials="sum(n)",
+        duration_mean="sum(duration_days * n) / cast(sum(n) AS double)",
+        duration_min="min(duration_days)",
+        duration_max="max(duration_days)",
     )
-    return summary.select(
+    return summary.selectExpr(
         key,
         "n_trials",
-        *_rounded_quartiles(),
-        F.round("mean", 0).alias("duration_mean"),
+        *_ROUNDED,
+        "round(duration_mean, 0) AS duration_mean",
         "duration_min",
         "duration_max",
     )
@@ -55,16 +49,12 @@ def _summary(histogram: DataFrame, key: str) -> DataFrame:
 
 def duration_by_phase(star: Star) -> DataFrame:
     """q5a: duration by phase."""
-    histogram = (
-        durations(star.studies)
-        .filter(F.col("phase") != vocab.UNKNOWN)
-        .groupBy("phase", "duration_days")
-        .agg(F.count("*").alias("n"))
-    )
+    known = durations(star.studies).filter(f"phase != '{vocab.UNKNOWN}'")
+    histogram = tally(known, "phase", "duration_days", n=COUNT)
     return _summary(histogram, "phase").orderBy("duration_median", "phase")
 
 
-def _area_histogram(star: Star, trials: DataFrame, keys: list[str]) -> DataFrame:
+def _area_histogram(star: Star, trials: DataFrame, *keys: str) -> DataFrame:
     """Histogram of durations by area and the other keys.
 
     Areas are one mask per study before the join, so both sides have one row
@@ -72,54 +62,48 @@ def _area_histogram(star: Star, trials: DataFrame, keys: list[str]) -> DataFrame
     the distinct combinations are spread over their areas.
     """
     masks = study_labels(star.conditions, "therapeutic_area", vocab.AREAS)
-    sets = (
-        trials.join(masks, "study_id")
-        .groupBy("mask", *keys, "duration_days")
-        .agg(F.count("*").alias("n"))
-    )
-    area = F.explode(stats.labels_of(F.col("mask"), vocab.AREAS)).alias("therapeutic_area")
-    return (
-        sets.select(*keys, "duration_days", "n", area)
-        .groupBy("therapeutic_area", *keys, "duration_days")
-        .agg(F.sum("n").alias("n"))
-    )
+    sets = tally(trials.join(masks, "study_id"), "mask", *keys, "duration_days", n=COUNT)
+    area = f"explode({stats.labels_of('mask', vocab.AREAS)}) AS therapeutic_area"
+    spread = sets.selectExpr(*keys, "duration_days", "n", area)
+    return tally(spread, "therapeutic_area", *keys, "duration_days", n="sum(n)")
 
 
 def duration_by_area(star: Star, min_trials: int = 10) -> DataFrame:
     """q5b: duration by therapeutic area."""
-    histogram = _area_histogram(star, durations(star.studies), [])
+    histogram = _area_histogram(star, durations(star.studies))
     return (
         _summary(histogram, "therapeutic_area")
-        .filter(F.col("n_trials") >= min_trials)
+        .filter(f"n_trials >= {min_trials}")
         .orderBy(F.desc("duration_median"), "therapeutic_area")
     )
 
 
 def duration_by_area_and_phase(star: Star) -> DataFrame:
     """q5c: duration by area and clinical phase."""
-    clinical = durations(star.studies).filter(~F.col("phase").isin(vocab.UNKNOWN, "Not Applicable"))
+    clinical = durations(star.studies).filter(
+        f"phase NOT IN ('{vocab.UNKNOWN}', 'Not Applicable')"
+    )
     keys = ["therapeutic_area", "phase"]
     summary = stats.quantiles(
-        _area_histogram(star, clinical, ["phase"]),
+        _area_histogram(star, clinical, "phase"),
         keys,
         "duration_days",
         "n",
         _QUARTILES,
-        extra=[F.sum("n").alias("n_trials")],
+        n_trials="sum(n)",
     )
-    return summary.select(*keys, "n_trials", *_rounded_quartiles()).orderBy(*keys)
+    return summary.selectExpr(*keys, "n_trials", *_ROUNDED).orderBy(*keys)
 
 
 def pipeline_outliers(star: Star, threshold: float = 1.5) -> DataFrame:
     """KPI: phases that take much longer than the median of their area."""
-    phases, areas = duration_by_area_and_phase(star), duration_by_area(star)
-    joined = phases.select(
-        "therapeutic_area", "phase", "n_trials", F.col("duration_median").alias("phase_median")
-    ).join(
-        areas.select("therapeutic_area", F.col("duration_median").alias("area_median")),
-        "therapeutic_area",
+    phases = duration_by_area_and_phase(star).selectExpr(
+        "therapeutic_area", "phase", "n_trials", "duration_median AS phase_median"
+    )
+    areas = duration_by_area(star).selectExpr(
+        "therapeutic_area", "duration_median AS area_median"
     )
-    ratio = F.round(F.col("phase_median") / F.nullif("area_median", F.lit(0.0)), 2)
-    return joined.withColumn("ratio", ratio).withColumn(
-        "longer_than_expected", F.col("ratio") >= threshold
+    ratio = "round(phase_median / nullif(area_median, 0.0D), 2)"
+    return phases.join(areas, "therapeutic_area").selectExpr(
+        "*", f"{ratio} AS ratio", f"{ratio} >= {threshold} AS longer_than_expected"
     )

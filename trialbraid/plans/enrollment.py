@@ -2,34 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbraid import vocab
 from trialbraid.functions import stats
+from trialbraid.functions.stats import COUNT, tally
 from trialbraid.operators.star import Star
 
 
 def enrollment_distribution(star: Star) -> DataFrame:
     """q3a: quartiles and maximum of the enrollment by study type and phase."""
     keys = ["study_type", "phase"]
-    histogram = (
-        star.studies.filter((F.col("enrollment") > 0) & (F.col("phase") != vocab.UNKNOWN))
-        .groupBy(*keys, "enrollment")
-        .agg(F.count("*").alias("n"))
-    )
+    enrolled = star.studies.filter(f"enrollment > 0 AND phase != '{vocab.UNKNOWN}'")
+    quartiles = {"q1": 0.25, "median": 0.5, "q3": 0.75}
     summary = stats.quantiles(
-        histogram,
+        tally(enrolled, *keys, "enrollment", n=COUNT),
         keys,
         "enrollment",
         "n",
-        {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        extra=[F.sum("n").alias("n_trials"), F.max("enrollment").alias("enrollment_max")],
+        quartiles,
+        n_trials="sum(n)",
+        enrollment_max="max(enrollment)",
     )
-    return summary.select(
+    return summary.selectExpr(
         *keys,
         "n_trials",
-        *[F.round(q, 0).alias(f"enrollment_{q}") for q in ("q1", "median", "q3")],
+        *[f"round({q}, 0) AS enrollment_{q}" for q in quartiles],
         "enrollment_max",
     ).orderBy(F.asc_nulls_last("study_type"), "phase")
 
@@ -43,12 +42,10 @@ def top_conditions(star: Star, top: int = 20) -> DataFrame:
     rank is taken on the top rows, where it equals the rank among all.
     """
     keys = ["condition_name", "therapeutic_area"]
-    listed = star.conditions.groupBy("study_id", *keys).agg(F.count("*").alias("times"))
-    enrolled = star.studies.filter(F.col("enrollment") > 0).select("study_id", "enrollment")
-    histogram = (
-        enrolled.join(listed, "study_id")
-        .groupBy(*keys, "enrollment")
-        .agg(F.count("*").alias("trials"), F.sum("times").alias("n"))
+    listed = tally(star.conditions, "study_id", *keys, times=COUNT)
+    enrolled = star.studies.filter("enrollment > 0").select("study_id", "enrollment")
+    histogram = tally(
+        enrolled.join(listed, "study_id"), *keys, "enrollment", trials=COUNT, n="sum(times)"
     )
     summary = stats.quantiles(
         histogram,
@@ -56,17 +53,14 @@ def top_conditions(star: Star, top: int = 20) -> DataFrame:
         "enrollment",
         "n",
         {"median": 0.5},
-        extra=[
-            F.sum("trials").alias("n_trials"),
-            F.sum(F.col("enrollment") * F.col("n")).alias("total_enrollment"),
-        ],
+        n_trials="sum(trials)",
+        total_enrollment="sum(enrollment * n)",
     )
     best = summary.orderBy(F.desc("total_enrollment"), *keys).limit(top)
-    by_total = Window.orderBy(F.desc("total_enrollment"))
-    return best.select(
+    return best.selectExpr(
         *keys,
         "n_trials",
         "total_enrollment",
-        F.round("median", 0).alias("median_enrollment_per_trial"),
-        F.rank().over(by_total).alias("enrollment_rank"),
+        "round(median, 0) AS median_enrollment_per_trial",
+        "rank() OVER (ORDER BY total_enrollment DESC) AS enrollment_rank",
     ).orderBy("enrollment_rank", *keys)

@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbraid import vocab
 from trialbraid.functions import stats
+from trialbraid.functions.stats import COUNT, tally
 from trialbraid.operators.star import Star
 from trialbraid.plans.landscape import study_labels
 
 
 def continent_counts(star: Star) -> DataFrame:
     """q4a: distinct trials per continent and share of the located trials."""
-    sets = (
-        study_labels(star.locations, "continent", vocab.CONTINENTS)
-        .groupBy("mask")
-        .agg(F.count("*").alias("n"))
+    sets = tally(study_labels(star.locations, "continent", vocab.CONTINENTS), "mask", n=COUNT)
+    labels = stats.labels_or_all("mask", vocab.CONTINENTS)
+    counts = tally(
+        sets.selectExpr("n", f"explode({labels}) AS continent"), "continent", trial_count="sum(n)"
     )
-    label = F.explode(stats.labels_or_all(F.col("mask"), vocab.CONTINENTS)).alias("continent")
-    counts = sets.select("n", label).groupBy("continent").agg(F.sum("n").alias("trial_count"))
-    located = F.max(F.when(F.col("continent").isNull(), F.col("trial_count")))
+    located = "max(if(continent IS NULL, trial_count, NULL)) OVER ()"
     return (
-        counts.withColumn("located", located.over(Window.partitionBy()))
-        .filter(F.col("continent").isNotNull())
-        .select(
-            "continent",
-            "trial_count",
-            stats.pct(F.col("trial_count"), F.col("located")).alias("pct_of_trials"),
+        counts.selectExpr("*", f"{located} AS located")
+        .filter("continent IS NOT NULL")
+        .selectExpr(
+            "continent", "trial_count", f"{stats.pct('trial_count', 'located')} AS pct_of_trials"
         )
         .orderBy(F.desc("trial_count"), "continent")
     )
@@ -35,10 +32,10 @@ def continent_counts(star: Star) -> DataFrame:
 
 def country_map(star: Star) -> DataFrame:
     """q4m: distinct trials per country."""
-    return (
-        star.locations.filter(F.col("country").isNotNull())
-        .groupBy("country")
-        .agg(F.countDistinct("study_id").alias("n_trials"))
+    return tally(
+        star.locations.filter("country IS NOT NULL"),
+        "country",
+        n_trials="count(DISTINCT study_id)",
     )
 
 
@@ -50,34 +47,29 @@ def label_cells(star: Star) -> DataFrame:
     only the distinct pairs are spread over their labels. All totals the index
     needs are cells of the same small result.
     """
-    places = star.locations.filter(F.col("continent").isNotNull()).select(
-        "study_id",
-        stats.label_bit(F.col("continent"), vocab.CONTINENTS).alias("continents"),
-        F.lit(0).alias("areas"),
-    )
-    topics = star.conditions.filter(F.col("therapeutic_area").isNotNull()).select(
-        "study_id",
-        F.lit(0).alias("continents"),
-        stats.label_bit(F.col("therapeutic_area"), vocab.AREAS).alias("areas"),
+    place = stats.label_bit("continent", vocab.CONTINENTS)
+    topic = stats.label_bit("therapeutic_area", vocab.AREAS)
+    places = star.locations.filter("continent IS NOT NULL").selectExpr(
+        "study_id", f"{place} AS place", "0 AS topic"
     )
-    sets = (
-        places.union(topics)
-        .groupBy("study_id")
-        .agg(F.bit_or("continents").alias("continents"), F.bit_or("areas").alias("areas"))
-        .groupBy("continents", "areas")
-        .agg(F.count("*").alias("n"))
+    topics = star.conditions.filter("therapeutic_area IS NOT NULL").selectExpr(
+        "study_id", "0 AS place", f"{topic} AS topic"
     )
-    by_continent = sets.select(
-        "n",
-        "areas",
-        F.explode(stats.labels_or_all(F.col("continents"), vocab.CONTINENTS)).alias("continent"),
+    per_study = tally(
+        places.union(topics), "study_id", places="bit_or(place)", topics="bit_or(topic)"
     )
-    by_both = by_continent.select(
-        "n",
-        "continent",
-        F.explode(stats.labels_or_all(F.col("areas"), vocab.AREAS)).alias("therapeutic_area"),
+    cells = (
+        tally(per_study, "places", "topics", n=COUNT)
+        .selectExpr(
+            "n", "topics", f"explode({stats.labels_or_all('places', vocab.CONTINENTS)}) AS continent"
+        )
+        .selectExpr(
+            "n",
+            "continent",
+            f"explode({stats.labels_or_all('topics', vocab.AREAS)}) AS therapeutic_area",
+        )
     )
-    return by_both.groupBy("continent", "therapeutic_area").agg(F.sum("n").alias("n"))
+    return tally(cells, "continent", "therapeutic_area", n="sum(n)")
 
 
 def specialization_index(star: Star, min_trials: int = 5) -> DataFrame:
@@ -86,24 +78,24 @@ def specialization_index(star: Star, min_trials: int = 5) -> DataFrame:
     The local share is of the trials with a location there, the global share
     of all trials.
     """
-    continent, area, n = F.col("continent"), F.col("therapeutic_area"), F.col("n")
-    in_continent = F.max(F.when(area.isNull(), n)).over(Window.partitionBy("continent"))
-    in_area = F.max(F.when(continent.isNull(), n)).over(Window.partitionBy("therapeutic_area"))
+    in_continent = "max(if(therapeutic_area IS NULL, n, NULL)) OVER (PARTITION BY continent)"
+    in_area = "max(if(continent IS NULL, n, NULL)) OVER (PARTITION BY therapeutic_area)"
     total = star.studies.agg(F.count("*")).scalar()
     cells = (
         label_cells(star)
-        .withColumns({"in_continent": in_continent, "in_area": in_area})
-        .filter(continent.isNotNull() & area.isNotNull() & (n >= min_trials))
-        .withColumn("total", total.cast("double"))
-    )
-    index = (n * F.col("total")) / F.nullif(
-        F.col("in_continent").cast("double") * F.col("in_area"), F.lit(0.0)
+        .selectExpr("*", f"{in_continent} AS in_continent", f"{in_area} AS in_area")
+        .filter(
+            "continent IS NOT NULL AND therapeutic_area IS NOT NULL "
+            f"AND n >= {min_trials}"
+        )
+        .withColumn("total", total)
     )
-    return cells.select(
+    index = "n * cast(total AS double) / nullif(cast(in_continent AS double) * in_area, 0.0D)"
+    return cells.selectExpr(
         "continent",
         "therapeutic_area",
-        n.alias("area_trials"),
-        stats.pct(n, F.col("in_continent")).alias("local_pct"),
-        stats.pct(F.col("in_area"), F.col("total")).alias("global_pct"),
-        F.round(index, 2).alias("specialization_index"),
+        "n AS area_trials",
+        f"{stats.pct('n', 'in_continent')} AS local_pct",
+        f"{stats.pct('in_area', 'total')} AS global_pct",
+        f"round({index}, 2) AS specialization_index",
     ).orderBy("continent", F.desc("specialization_index"), "therapeutic_area")

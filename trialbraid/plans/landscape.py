@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbraid import vocab
 from trialbraid.functions import stats
+from trialbraid.functions.stats import COUNT, tally
 from trialbraid.operators.star import Star
 
 
 def phase_distribution(star: Star) -> DataFrame:
     """q1a: trials per phase and share of all."""
-    counts = star.studies.groupBy("phase").agg(F.count("*").alias("trial_count"))
-    return counts.withColumn(
-        "pct", stats.pct(F.col("trial_count"), stats.grand_total("trial_count"))
-    ).orderBy(F.desc("trial_count"), "phase")
+    counts = tally(star.studies, "phase", trial_count=COUNT)
+    share = stats.pct("trial_count", stats.grand_total("trial_count"))
+    return counts.selectExpr("*", f"{share} AS pct").orderBy(F.desc("trial_count"), "phase")
 
 
 def status_distribution(star: Star) -> DataFrame:
@@ -24,57 +24,63 @@ def status_distribution(star: Star) -> DataFrame:
     One aggregate by (group, status); the group and overall totals are windows
     over its few rows, so the studies are read once.
     """
-    counts = star.studies.groupBy("status_group", "status").agg(
-        F.count("*").alias("status_count")
+    counts = tally(star.studies, "status_group", "status", status_count=COUNT)
+    grouped = counts.selectExpr(
+        "*", "sum(status_count) OVER (PARTITION BY status_group) AS group_count"
     )
-    n = F.col("status_count")
-    grouped = counts.withColumn("group_count", F.sum(n).over(Window.partitionBy("status_group")))
-    return grouped.withColumns(
-        {
-            "pct_within_group": stats.pct(n, F.col("group_count")),
-            "pct_overall": stats.pct(n, stats.grand_total("status_count")),
-        }
+    overall = stats.grand_total("status_count")
+    return grouped.selectExpr(
+        "*",
+        f"{stats.pct('status_count', 'group_count')} AS pct_within_group",
+        f"{stats.pct('status_count', overall)} AS pct_overall",
     ).orderBy(F.desc("group_count"), F.desc("status_count"), "status")
 
 
 def area_distribution(star: Star) -> DataFrame:
     """q1c: distinct trials per area; a trial counts once in each of its areas."""
-    counts = trials_per_label(
-        study_labels(star.conditions, "therapeutic_area", vocab.AREAS), vocab.AREAS
-    )
+    labels = study_labels(star.conditions, "therapeutic_area", vocab.AREAS)
+    counts = trials_per_label(labels, "therapeutic_area", vocab.AREAS)
     total = star.studies.agg(F.count("*")).scalar()
-    return counts.select(
-        F.col("label").alias("therapeutic_area"),
-        "trial_count",
-        stats.pct(F.col("trial_count"), total).alias("pct_of_all_studies"),
-    ).orderBy(F.desc("trial_count"), "therapeutic_area")
+    return (
+        counts.withColumn("total", total)
+        .selectExpr(
+            "therapeutic_area",
+            "trial_count",
+            f"{stats.pct('trial_count', 'total')} AS pct_of_all_studies",
+        )
+        .orderBy(F.desc("trial_count"), "therapeutic_area")
+    )
 
 
 def monthly_timeline(star: Star) -> DataFrame:
     """q1d: trials started per month, by group, with a running total."""
-    started = star.studies.filter(~F.col("pre_covid_start") & F.col("start_date").isNotNull())
-    group = F.col("status_group")
-    monthly = started.groupBy(F.trunc("start_date", "month").alias("month")).agg(
-        F.count("*").alias("total_started"),
-        F.count_if(group == "Active").alias("active"),
-        F.count_if(group == "Completed").alias("completed"),
-        F.count_if(group == "Stopped").alias("stopped"),
+    started = star.studies.filter("NOT pre_covid_start AND start_date IS NOT NULL").selectExpr(
+        "trunc(start_date, 'month') AS month", "status_group"
+    )
+    monthly = tally(
+        started,
+        "month",
+        total_started=COUNT,
+        active="count_if(status_group = 'Active')",
+        completed="count_if(status_group = 'Completed')",
+        stopped="count_if(status_group = 'Stopped')",
     )
-    return monthly.withColumn(
-        "cumulative_total", F.sum("total_started").over(Window.orderBy("month"))
+    # Ordered over months, of which there are few whatever the number of trials.
+    return monthly.selectExpr(
+        "*", "sum(total_started) OVER (ORDER BY month) AS cumulative_total"
     ).orderBy("month")
 
 
 def study_labels(children: DataFrame, label: str, vocabulary: list[str]) -> DataFrame:
     """(study_id, mask): the distinct labels of each study as bits."""
-    bits = children.filter(F.col(label).isNotNull()).select(
-        "study_id", stats.label_bit(F.col(label), vocabulary).alias("bit")
+    bits = children.filter(f"{label} IS NOT NULL").selectExpr(
+        "study_id", f"{stats.label_bit(label, vocabulary)} AS bit"
     )
-    return bits.groupBy("study_id").agg(F.bit_or("bit").alias("mask"))
+    return tally(bits, "study_id", mask="bit_or(bit)")
 
 
-def trials_per_label(labels: DataFrame, vocabulary: list[str]) -> DataFrame:
+def trials_per_label(labels: DataFrame, column: str, vocabulary: list[str]) -> DataFrame:
     """(label, trial_count): studies are counted by label set, then spread out."""
-    sets = labels.groupBy("mask").agg(F.count("*").alias("n"))
-    spread = sets.select("n", F.explode(stats.labels_of(F.col("mask"), vocabulary)).alias("label"))
-    return spread.groupBy("label").agg(F.sum("n").alias("trial_count"))
+    sets = tally(labels, "mask", n=COUNT)
+    spread = sets.selectExpr("n", f"explode({stats.labels_of('mask', vocabulary)}) AS {column}")
+    return tally(spread, column, trial_count="sum(n)")

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from trialbraid import vocab
 from trialbraid.functions import rules
+from trialbraid.functions.text import name, word_list
 from trialbraid.schema import INGEST_POS, RAW_COLUMNS
 
 # --- Fixed values of the derived registry ------------------------------------
@@ -75,109 +75,93 @@ ACRONYMS = ["RECOVER", "SOLID", "ACTT", None]
 GENDERS = ["All", "Female", "Male", None]
 
 
-def _pick(values: Sequence[str | None], index: Column) -> Column:
+def _pick(values: Sequence[str | None], index: str) -> str:
     """Value at a 0-based position of a fixed list (folded to one literal)."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return f"element_at(array({word_list(values)}), cast({index} AS int) + 1)"
 
 
-def _day_text(k: Column, day: Column) -> Column:
+def _day_text(day: str) -> str:
     """A date as text: ISO, the long form, or (rarely) a month without a day."""
     return (
-        F.when(k % 97 == 13, F.date_format(day, "MMMM yyyy"))
-        .when(k % 4 == 1, F.date_format(day, "MMMM d, yyyy"))
-        .otherwise(F.date_format(day, "yyyy-MM-dd"))
+        f"CASE WHEN k % 97 = 13 THEN date_format({day}, 'MMMM yyyy') "
+        f"WHEN k % 4 = 1 THEN date_format({day}, 'MMMM d, yyyy') "
+        f"ELSE date_format({day}, 'yyyy-MM-dd') END"
     )
 
 
-def _registry_columns() -> dict[str, Column]:
-    k, os = F.col("o_orderkey"), F.col("o_orderstatus")
-    day = F.date_add(F.col("o_orderdate").cast("date"), 8766)
-    completion = F.date_add(day, (k * 37 % 400 - 20).cast("int"))
-    expanded = k % 170 == 0
-    observational = k % 3 == 0
-
-    # Every 750th row registers the study before it a second time.
-    number = F.when(k % 750 == 11, k - 1).otherwise(k).cast("string")
-    nct_id = F.concat(F.lit("NCT"), F.lpad(number, 8, "0"))
-    nct_id = F.when(F.length(number) <= 8, nct_id).otherwise(F.concat(F.lit("NCT"), number))
-
-    status = (
-        F.when(expanded, _pick(vocab.EXPANDED_ACCESS_STATUSES, F.floor(k / 170) % 4))
-        .when(os == "F", "Completed")
-        .when(os == "O", _pick(ACTIVE_STATUSES, k % 4))
-        .otherwise(_pick(STOPPED_STATUSES, k % 5))
-    )
-    first = _pick(CONDITION_TERMS, k % 40)
-    second = _pick(CONDITION_TERMS, (k * 7 + 3) % 40)
-    third = _pick(CONDITION_TERMS, (k * 11 + 5) % 40)
-    site = [_pick(LOCATION_TERMS, i) for i in (k % 11, (k * 5 + 2) % 11, k % 11)]
-    outcome = [_pick(OUTCOME_TERMS, i) for i in (k % 7, (k * 3 + 1) % 7)]
-    interventional = F.concat(
-        F.lit("Allocation: "),
-        _pick(ALLOCATIONS, k % 3 - 1 + k % 2),
-        F.lit("|Intervention Model: "),
-        _pick(MODELS, F.floor(k / 5) % 4),
-        F.lit("|Masking: "),
-        _pick(MASKINGS, F.floor(k / 7) % 4),
-        F.lit("|Primary Purpose: "),
-        _pick(PURPOSES, F.floor(k / 11) % 5),
-        F.when(k % 101 == 0, "|Masking: Triple").otherwise(""),
+def _derivations() -> dict[str, str]:
+    first = _pick(CONDITION_TERMS, "k % 40")
+    second = _pick(CONDITION_TERMS, "(k * 7 + 3) % 40")
+    third = _pick(CONDITION_TERMS, "(k * 11 + 5) % 40")
+    sites = [_pick(LOCATION_TERMS, i) for i in ("k % 11", "(k * 5 + 2) % 11", "k % 11")]
+    outcomes = [_pick(OUTCOME_TERMS, i) for i in ("k % 7", "(k * 3 + 1) % 7")]
+    design = " || ".join(
+        [
+            "'Allocation: '",
+            _pick(ALLOCATIONS, "k % 3 - 1 + k % 2"),
+            "'|Intervention Model: '",
+            _pick(MODELS, "k div 5 % 4"),
+            "'|Masking: '",
+            _pick(MASKINGS, "k div 7 % 4"),
+            "'|Primary Purpose: '",
+            _pick(PURPOSES, "k div 11 % 5"),
+            "if(k % 101 = 0, '|Masking: Triple', '')",
+        ]
     )
-    watching = F.concat(
-        F.lit("Observational Model: "),
-        _pick(OBSERVATIONAL_MODELS, F.floor(k / 3) % 3),
-        F.lit("|Time Perspective: "),
-        _pick(PERSPECTIVES, F.floor(k / 9) % 3),
+    observation = " || ".join(
+        [
+            "'Observational Model: '",
+            _pick(OBSERVATIONAL_MODELS, "k div 3 % 3"),
+            "'|Time Perspective: '",
+            _pick(PERSPECTIVES, "k div 9 % 3"),
+        ]
     )
+    status = f"""CASE
+        WHEN k % 170 = 0 THEN {_pick(vocab.EXPANDED_ACCESS_STATUSES, "k div 170 % 4")}
+        WHEN os = 'F' THEN 'Completed'
+        WHEN os = 'O' THEN {_pick(vocab.STATUS_GROUPS["Active"], "k % 4")}
+        ELSE {_pick(STOPPED_STATUSES, "k % 5")} END"""
     return {
-        "NCT Number": nct_id,
-        "Title": F.replace(_pick(TITLES, k % 3), F.lit("{}"), first),
-        "Acronym": _pick(ACRONYMS, k % 4),
+        # Every 750th row registers the study before it a second time.
+        "NCT Number": "'NCT' || lpad(n, greatest(8, length(n)), '0')",
+        "Title": f"replace({_pick(TITLES, 'k % 3')}, '{{}}', {first})",
+        "Acronym": _pick(ACRONYMS, "k % 4"),
         "Status": status,
-        "Conditions": F.when(k % 3 == 0, first)
-        .when(k % 3 == 1, F.concat(first, F.lit("| "), second))
-        .otherwise(F.concat(first, F.lit("| "), second, F.lit("|"), third, F.lit("|"))),
-        "Interventions": F.when(k % 2 == 0, _pick(INTERVENTION_FIRST, k % 5)).otherwise(
-            F.concat(
-                _pick(INTERVENTION_FIRST, k % 5),
-                F.lit("|"),
-                _pick(INTERVENTION_SECOND, (k + 1) % 5),
-            )
-        ),
-        "Outcome Measures": F.when(k % 19 == 4, None)
-        .when(k % 2 == 0, outcome[0])
-        .otherwise(F.concat(outcome[0], F.lit("|"), outcome[1])),
-        "Gender": _pick(GENDERS, k % 4),
-        "Phases": F.when(~observational, _pick(PHASE_LISTS, k % 11)),
-        "Enrollment": F.when(k % 1009 == 7, "n/a")
-        .when(k % 1009 == 8, "approx. 200")
-        .when(status == "Withdrawn", "0")
-        .otherwise(F.floor(F.col("o_totalprice") / 100).cast("string")),
-        "Funded Bys": _pick(FUNDER_LISTS, k % 5),
-        "Study Type": F.when(expanded, "Expanded Access: Treatment IND")
-        .when(k % 997 == 5, None)
-        .when(observational, "Observational")
-        .otherwise("Interventional"),
-        "Study Designs": F.when(expanded, None)
-        .when(observational, watching)
-        .otherwise(interventional),
-        "Start Date": F.when(k % 12 == 5, None)
-        .when(k % 1000 == 1, "1998-01-01")
-        .otherwise(_day_text(k, day)),
-        "Primary Completion Date": F.when(k % 1500 == 3, "2099-12-31")
-        .when((os == "O") & (k % 2 == 0), None)
-        .otherwise(_day_text(k, F.date_sub(completion, 30))),
-        "Completion Date": F.when(k % 500 == 3, "2099-12-31")
-        .when((os == "O") & (k % 2 == 0), None)
-        .otherwise(_day_text(k, completion)),
-        "First Posted": _day_text(k, F.date_sub(day, 10)),
-        "Last Update Posted": F.date_format(
-            F.date_sub(F.lit(vocab.EXTRACTION_DATE), (k % 60).cast("int")), "yyyy-MM-dd"
-        ),
-        "Locations": F.when(k % 10 == 9, None)
-        .when(k % 3 == 0, site[0])
-        .when(k % 3 == 1, F.concat(site[0], F.lit("|"), site[1]))
-        .otherwise(F.concat(site[0], F.lit("|"), site[1], F.lit("| "), site[2])),
+        "Conditions": f"""CASE WHEN k % 3 = 0 THEN {first}
+            WHEN k % 3 = 1 THEN {first} || '| ' || {second}
+            ELSE {first} || '| ' || {second} || '|' || {third} || '|' END""",
+        "Interventions": f"""{_pick(INTERVENTION_FIRST, "k % 5")}
+            || if(k % 2 = 0, '', '|' || {_pick(INTERVENTION_SECOND, "(k + 1) % 5")})""",
+        "Outcome Measures": f"""CASE WHEN k % 19 = 4 THEN NULL
+            WHEN k % 2 = 0 THEN {outcomes[0]}
+            ELSE {outcomes[0]} || '|' || {outcomes[1]} END""",
+        "Sponsor/Collaborators": """c_name || CASE WHEN k % 3 = 0 THEN ''
+            WHEN k % 3 = 1 THEN '|Univ. of X' ELSE '| WHO|Univ. of X|' END""",
+        "Gender": _pick(GENDERS, "k % 4"),
+        "Phases": f"CASE WHEN k % 3 != 0 THEN {_pick(PHASE_LISTS, 'k % 11')} END",
+        "Enrollment": f"""CASE WHEN k % 1009 = 7 THEN 'n/a'
+            WHEN k % 1009 = 8 THEN 'approx. 200'
+            WHEN ({status}) = 'Withdrawn' THEN '0'
+            ELSE cast(floor(price / 100) AS string) END""",
+        "Funded Bys": _pick(FUNDER_LISTS, "k % 5"),
+        "Study Type": """CASE WHEN k % 170 = 0 THEN 'Expanded Access: Treatment IND'
+            WHEN k % 997 = 5 THEN NULL
+            WHEN k % 3 = 0 THEN 'Observational' ELSE 'Interventional' END""",
+        "Study Designs": f"""CASE WHEN k % 170 = 0 THEN NULL
+            WHEN k % 3 = 0 THEN {observation} ELSE {design} END""",
+        "Start Date": f"""CASE WHEN k % 12 = 5 THEN NULL
+            WHEN k % 1000 = 1 THEN '1998-01-01' ELSE {_day_text("day")} END""",
+        "Primary Completion Date": f"""CASE WHEN k % 1500 = 3 THEN '2099-12-31'
+            WHEN os = 'O' AND k % 2 = 0 THEN NULL
+            ELSE {_day_text("date_sub(completion, 30)")} END""",
+        "Completion Date": f"""CASE WHEN k % 500 = 3 THEN '2099-12-31'
+            WHEN os = 'O' AND k % 2 = 0 THEN NULL ELSE {_day_text("completion")} END""",
+        "First Posted": _day_text("date_sub(day, 10)"),
+        "Last Update Posted": "cast(date_sub(DATE '2021-04-14', cast(k % 60 AS int)) AS string)",
+        "Locations": f"""CASE WHEN k % 10 = 9 THEN NULL
+            WHEN k % 3 = 0 THEN {sites[0]}
+            WHEN k % 3 = 1 THEN {sites[0]} || '|' || {sites[1]}
+            ELSE {sites[0]} || '|' || {sites[1]} || '| ' || {sites[2]} END""",
     }
 
 
@@ -191,16 +175,20 @@ def raw_registry(
     is a sort-merge join whose hot customers AQE splits.
     """
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    derived = _registry_columns()
+    base = [
+        "o_orderkey AS k",
+        "o_orderstatus AS os",
+        "o_totalprice AS price",
+        "date_add(cast(o_orderdate AS date), 8766) AS day",
+        "cast(if(o_orderkey % 750 = 11, o_orderkey - 1, o_orderkey) AS string) AS n",
+    ]
     if "Sponsor/Collaborators" in columns:
         customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
-        orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-        k = F.col("o_orderkey")
-        derived["Sponsor/Collaborators"] = F.concat(
-            F.col("c_name"),
-            F.when(k % 3 == 0, "").when(k % 3 == 1, "|Univ. of X").otherwise("| WHO|Univ. of X|"),
-        )
-    return orders.select(
-        F.col("o_orderkey").alias(INGEST_POS),
-        *[rules.nullify_tokens(derived[c]).alias(c) for c in columns],
+        orders = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
+        base.append("c_name")
+    derived = _derivations()
+    completion = "date_add(day, cast(k * 37 % 400 - 20 AS int)) AS completion"
+    cells = orders.selectExpr(*base).selectExpr("*", completion)
+    return cells.selectExpr(f"k AS {INGEST_POS}", *[f"{derived[c]} AS `{c}`" for c in columns]).selectExpr(
+        INGEST_POS, *[f"{rules.nullify_tokens(name(c))} AS `{c}`" for c in columns]
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialbraid import vocab
 from trialbraid.functions import rules
+from trialbraid.functions.text import name
 from trialbraid.operators import cleaning
 from trialbraid.schema import INGEST_POS
 
@@ -52,7 +53,7 @@ def scan_raw_csv(
     )
     kept = F.col(INGEST_POS).try_cast("bigint") if INGEST_POS in raw.columns else position
     return raw.select(
-        kept.alias(INGEST_POS), *[rules.nullify_tokens(F.col(c)).alias(c) for c in wanted]
+        kept.alias(INGEST_POS), *[F.expr(rules.nullify_tokens(name(c))).alias(c) for c in wanted]
     )
 
 
