@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trialbraid import vocab
 from trialbraid.functions import rules, stats, text
+from trialbraid.functions.stats import COUNT, tally
 from trialbraid.operators import cleaning
 from trialbraid.schema import INGEST_POS
 
@@ -19,21 +20,21 @@ from trialbraid.schema import INGEST_POS
 def missing_profile(flat: DataFrame, columns: list[str] = vocab.CRITICAL_COLUMNS) -> DataFrame:
     """Missing count and share per column, most incomplete first."""
     counts = flat.agg(
-        F.count("*").alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+        F.count("*").alias("n_rows"),
+        *[F.expr(f"count_if({text.name(c)} IS NULL)").alias(c) for c in columns],
     )
     rows = counts.unpivot("n_rows", columns, "column_name", "missing_count")
-    return rows.select(
+    return rows.selectExpr(
         "column_name",
         "missing_count",
-        stats.pct_half_even(F.col("missing_count"), F.col("n_rows")).alias("missing_pct"),
+        f"{stats.pct_half_even('missing_count', 'n_rows')} AS missing_pct",
     ).orderBy(F.desc("missing_pct"), "column_name")
 
 
-def missing_severity(profile: DataFrame) -> DataFrame:
+def missing_severity(missing: DataFrame) -> DataFrame:
     """High above 20 %, medium above 5 %, else low."""
-    share = F.col("missing_pct")
-    band = F.when(share > 20, "high").when(share > 5, "medium").otherwise("low")
-    return profile.select("column_name", "missing_pct", band.alias("severity"))
+    band = "CASE WHEN missing_pct > 20 THEN 'high' WHEN missing_pct > 5 THEN 'medium' ELSE 'low' END"
+    return missing.selectExpr("column_name", "missing_pct", f"{band} AS severity")
 
 
 def value_counts(flat: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,95 +43,86 @@ def value_counts(flat: DataFrame, columns: list[str]) -> DataFrame:
     The columns are counted together first, so the unpivot multiplies the few
     distinct combinations and not the rows.
     """
-    combos = flat.groupBy(*columns).agg(F.count("*").alias("n"))
-    long = combos.unpivot("n", columns, "column_name", "value")
-    counted = long.groupBy("column_name", "value").agg(F.sum("n").alias("n"))
-    return counted.orderBy("column_name", F.desc("n"), F.asc_nulls_last("value"))
+    long = tally(flat, *columns, n=COUNT).unpivot("n", columns, "column_name", "value")
+    return tally(long, "column_name", "value", n="sum(n)").orderBy(
+        "column_name", F.desc("n"), F.asc_nulls_last("value")
+    )
 
 
 def status_group_share(flat: DataFrame) -> DataFrame:
-    counts = flat.groupBy("status_group").agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", stats.pct(F.col("n"), stats.grand_total("n"))).orderBy(
-        F.desc("n"), "status_group"
-    )
+    counts = tally(flat, "status_group", n=COUNT)
+    share = stats.pct("n", stats.grand_total("n"))
+    return counts.selectExpr("*", f"{share} AS pct").orderBy(F.desc("n"), "status_group")
 
 
 # --- Enrollment ---------------------------------------------------------------
 def enrollment_describe(flat: DataFrame) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of the enrollment."""
-    e, n = F.col("Enrollment"), F.col("n")
-    values = cleaning.with_enrollment_number(flat).filter(e.isNotNull())
-    histogram = values.groupBy("Enrollment").agg(F.count("*").alias("n"))
-    average = values.agg(F.avg(e)).scalar()
-    total = F.sum(n)
-    spread = F.sum(F.pow(e - F.col("average"), 2) * n)
+    values = cleaning.with_enrollment_number(flat).filter("Enrollment IS NOT NULL")
+    average = values.agg(F.avg("Enrollment")).scalar()
     summary = stats.quantiles(
-        histogram.withColumn("average", average),
+        tally(values, "Enrollment", n=COUNT).withColumn("average", average),
         ["average"],
         "Enrollment",
         "n",
         {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        extra=[
-            total.alias("n_values"),
-            F.sqrt(spread / F.nullif(total - 1, F.lit(0))).alias("stddev"),
-            F.min(e).alias("min"),
-            F.max(e).alias("max"),
-        ],
+        n_values="sum(n)",
+        variance="sum(pow(Enrollment - average, 2) * n) / nullif(sum(n) - 1, 0)",
+        min="min(Enrollment)",
+        max="max(Enrollment)",
     )
-    return summary.select(
+    return summary.selectExpr(
         "n_values",
-        F.round("average", 6).alias("mean"),
-        F.round("stddev", 6).alias("stddev"),
+        "round(average, 6) AS mean",
+        "round(sqrt(variance), 6) AS stddev",
         *["min", "q1", "median", "q3", "max"],
     )
 
 
 def enrollment_flags(flat: DataFrame) -> DataFrame:
-    e = F.col("Enrollment")
-    return cleaning.with_enrollment_number(flat).agg(
-        F.count_if(e.isNull()).alias("missing"),
-        F.count_if(e == 0).alias("zero"),
-        F.count_if(e > vocab.LARGE_ENROLLMENT).alias("over_100k"),
+    return cleaning.with_enrollment_number(flat).selectExpr(
+        "count_if(Enrollment IS NULL) AS missing",
+        "count_if(Enrollment = 0) AS zero",
+        f"count_if(Enrollment > {vocab.LARGE_ENROLLMENT}) AS over_100k",
     )
 
 
 def zero_enrollment_by_status(flat: DataFrame) -> DataFrame:
-    zero = cleaning.with_enrollment_number(flat).filter(F.col("Enrollment") == 0)
-    return (
-        zero.groupBy(F.col("Status").alias("status"))
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "status")
+    zero = cleaning.with_enrollment_number(flat).filter("Enrollment = 0")
+    return tally(zero.withColumnRenamed("Status", "status"), "status", n=COUNT).orderBy(
+        F.desc("n"), "status"
     )
 
 
 def enrollment_by_study_type(flat: DataFrame) -> DataFrame:
     """Median, mean and maximum per study type, rounded half to even."""
-    e, n = F.col("Enrollment"), F.col("n")
-    histogram = (
+    typed = (
         cleaning.with_enrollment_number(flat)
-        .filter(F.col("Study Type").isNotNull())
-        .groupBy(F.col("Study Type").alias("study_type"), "Enrollment")
-        .agg(F.count("*").alias("n"))
+        .withColumnRenamed("Study Type", "study_type")
+        .filter("study_type IS NOT NULL")
     )
-    mean = F.sum(e * n) / F.nullif(F.sum(F.when(e.isNotNull(), n)), F.lit(0))
+    weights = "sum(if(Enrollment IS NULL, NULL, n))"
     summary = stats.quantiles(
-        histogram,
+        tally(typed, "study_type", "Enrollment", n=COUNT),
         ["study_type"],
         "Enrollment",
         "n",
         {"median": 0.5},
-        extra=[mean.alias("mean"), F.max(e).alias("max")],
+        mean=f"sum(Enrollment * n) / {weights}",
+        max="max(Enrollment)",
     )
-    return summary.select(
-        "study_type", *[F.bround(c, 0).alias(c) for c in ("median", "mean", "max")]
+    return summary.selectExpr(
+        "study_type", *[f"bround({c}, 0) AS {c}" for c in ("median", "mean", "max")]
     )
 
 
 def expanded_access_profile(flat: DataFrame) -> DataFrame:
-    expanded = F.expr(f"count_if({rules.is_expanded_access(text.name('Study Type'))})")
-    return flat.agg(F.count("*").alias("n_rows"), expanded.alias("n_expanded")).withColumn(
-        "pct_expanded", stats.pct_half_even(F.col("n_expanded"), F.col("n_rows"))
+    counts = flat.selectExpr(
+        "count(*) AS n_rows",
+        f"count_if({rules.is_expanded_access('`Study Type`')}) AS n_expanded",
     )
+    share = stats.pct_half_even("n_expanded", "n_rows")
+    return counts.selectExpr("*", f"{share} AS pct_expanded")
 
 
 # --- Dates ----------------------------------------------------------------------
@@ -189,9 +181,7 @@ def date_issue_counts(raw: DataFrame) -> DataFrame:
         *[F.expr(f"count_if({test})").alias(k) for k, test in issues.items()],
     )
     rows = counts.unpivot("n_rows", list(issues), "issue", "n")
-    return rows.select(
-        "issue", "n", stats.pct_half_even(F.col("n"), F.col("n_rows")).alias("pct")
-    )
+    return rows.selectExpr("issue", "n", f"{stats.pct_half_even('n', 'n_rows')} AS pct")
 
 
 def pre_covid_status_mix(clean: DataFrame) -> DataFrame:
@@ -252,15 +242,13 @@ def normalization_effect(flat: DataFrame) -> DataFrame:
 
 def area_entry_distribution(flat: DataFrame) -> DataFrame:
     """Condition entries and share per therapeutic area."""
-    counts = (
-        classified_counts(flat).groupBy("therapeutic_area").agg(F.sum("n").alias("n_entries"))
-    )
+    counts = tally(classified_counts(flat), "therapeutic_area", n_entries="sum(n)")
     total = stats.grand_total("n_entries")
-    return counts.select(
+    return counts.selectExpr(
         "therapeutic_area",
         "n_entries",
-        stats.pct_half_even(F.col("n_entries"), total).alias("pct"),
-        total.alias("total_entries"),
+        f"{stats.pct_half_even('n_entries', total)} AS pct",
+        f"{total} AS total_entries",
     ).orderBy(F.desc("n_entries"), "therapeutic_area")
 
 
@@ -331,6 +319,6 @@ def unmapped_countries(flat: DataFrame) -> DataFrame:
     return (
         counts.withColumn("total", total)
         .filter(f"NOT ({rules.is_mapped_country('country')})")
-        .select("country", "n", stats.pct_half_even(F.col("n"), F.col("total")).alias("pct"))
+        .selectExpr("country", "n", f"{stats.pct_half_even('n', 'total')} AS pct")
         .orderBy(F.desc("n"), "country")
     )

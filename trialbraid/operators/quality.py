@@ -33,11 +33,8 @@ def bounds(flat: DataFrame) -> DataFrame:
         *[F.expr(f"count_if({c})").alias(k) for k, c in checks.items()],
     )
     rows = counts.unpivot("n_rows", list(checks), "rule", "violations")
-    return rows.select(
-        "rule",
-        "violations",
-        stats.pct_half_even(F.col("violations"), F.col("n_rows")).alias("pct"),
-    )
+    share = stats.pct_half_even("violations", "n_rows")
+    return rows.selectExpr("rule", "violations", f"{share} AS pct")
 
 
 def null_drift(previous: DataFrame, current: DataFrame, limit_points: float = 5.0) -> DataFrame:

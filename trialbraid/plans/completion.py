@@ -118,7 +118,7 @@ def stopped_deep_dive(star: Star) -> DataFrame:
         median_enrollment="round(max(if(measure = 'enrollment', median, NULL)), 0)",
         median_duration_days="round(max(if(measure = 'duration_days', median, NULL)), 0)",
     )
-    rank = "rank() OVER (PARTITION BY status ORDER BY n_trials DESC)"
+    rank = "cast(rank() OVER (PARTITION BY status ORDER BY n_trials DESC) AS bigint)"
     return summary.selectExpr("*", f"{rank} AS rank_within_status").orderBy(
         "status", "rank_within_status", "phase"
     )

@@ -62,5 +62,5 @@ def top_conditions(star: Star, top: int = 20) -> DataFrame:
         "n_trials",
         "total_enrollment",
         "round(median, 0) AS median_enrollment_per_trial",
-        "rank() OVER (ORDER BY total_enrollment DESC) AS enrollment_rank",
+        "cast(rank() OVER (ORDER BY total_enrollment DESC) AS bigint) AS enrollment_rank",
     ).orderBy("enrollment_rank", *keys)
