@@ -129,14 +129,16 @@ def design_pairs(designs: str) -> str:
     A slot is the design column a key belongs to. A key naming several of them
     goes to the first; a part without a colon has no slot.
     """
-    key = f"lower({text.before_colon('p')})"
-    slots = text.case_of(
-        ((f"contains({key}, {text.quote(w)})", slot) for slot, w in vocab.DESIGN_KEYS.items()),
+    key = f"CASE WHEN contains(p, ':') THEN lower({text.before_colon('p')}) END"
+    keyed = (
+        f"transform({text.pipe_tokens(designs)}, "
+        f"p -> struct({key} AS key, {text.after_colon('p')} AS value))"
+    )
+    slot = text.case_of(
+        ((f"contains(kv.key, {text.quote(w)})", slot) for slot, w in vocab.DESIGN_KEYS.items()),
         "NULL",
     )
-    slot = f"CASE WHEN contains(p, ':') THEN {slots} END"
-    pair = f"struct({slot} AS slot, {text.after_colon('p')} AS value)"
-    return f"transform({text.pipe_tokens(designs)}, p -> {pair})"
+    return f"transform({keyed}, kv -> struct({slot} AS slot, kv.value AS value))"
 
 
 def design_value(pairs: str, slot: str) -> str:

@@ -253,12 +253,21 @@ def area_entry_distribution(flat: DataFrame) -> DataFrame:
 
 
 def other_top_terms(flat: DataFrame, top: int = 30) -> DataFrame:
-    """Most frequent names that no area claims."""
+    """Most frequent names that no area claims.
+
+    The area is carried as an aggregate, so the filter on it stays above the
+    aggregation: as a grouping key it would be pushed down and the rules would
+    run on every row again.
+    """
+    by_name = tally(
+        classified_counts(flat),
+        "condition_name",
+        n="sum(n)",
+        therapeutic_area="max(therapeutic_area)",
+    )
     return (
-        classified_counts(flat)
-        .filter(F.col("therapeutic_area") == vocab.OTHER)
-        .groupBy("condition_name")
-        .agg(F.sum("n").alias("n"))
+        by_name.filter(f"therapeutic_area = '{vocab.OTHER}'")
+        .select("condition_name", "n")
         .orderBy(F.desc("n"), "condition_name")
         .limit(top)
     )

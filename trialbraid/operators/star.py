@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialbraid import vocab
@@ -13,6 +13,7 @@ from trialbraid.functions import rules, text
 from trialbraid.schema import INGEST_POS, STAR_SCHEMAS
 
 _STUDY_COLUMNS = {
+    "nct_id": "NCT Number",
     "title": "Title",
     "acronym": "Acronym",
     "status": "Status",
@@ -44,20 +45,20 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 def build_studies(flat: DataFrame) -> DataFrame:
     """One row per study: of a repeated registration the first one is kept.
 
-    ``min_by`` per column instead of a row number: it combines on the map side,
-    so a number registered millions of times is one row per task before the
-    shuffle, and Catalyst drops the columns a query does not read.
+    The "first row" filter becomes a limit per task before the shuffle: of a
+    number registered millions of times every task sends one row. The window
+    keeps only the columns a query reads.
     """
-    first = flat.filter("`NCT Number` IS NOT NULL").groupBy(F.col("NCT Number").alias("nct_id"))
-    kept = first.agg(
-        *[
-            F.expr(f"min_by({text.name(c)}, {INGEST_POS})").alias(target)
-            for target, c in _STUDY_COLUMNS.items()
-        ]
-    )
-    keyed = kept.withColumns(
-        {"study_id": F.expr(rules.study_key("nct_id")), "enrollment": F.bround("enrollment", 0)}
+    first = Window.partitionBy("NCT Number").orderBy(INGEST_POS)
+    kept = (
+        flat.filter("`NCT Number` IS NOT NULL")
+        .withColumn("registration", F.row_number().over(first))
+        .filter("registration = 1")
     )
+    columns = [f"{text.name(c)} AS {target}" for target, c in _STUDY_COLUMNS.items()]
+    keyed = kept.selectExpr(
+        f"{rules.study_key(text.name('NCT Number'))} AS study_id", *columns
+    ).withColumn("enrollment", F.bround("enrollment", 0))
     return conform(keyed, "studies")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trialbraid import vocab
 from trialbraid.functions import rules
-from trialbraid.functions.text import name, word_list
+from trialbraid.functions.text import word_list
 from trialbraid.schema import INGEST_POS, RAW_COLUMNS
 
 # --- Fixed values of the derived registry ------------------------------------
@@ -116,17 +116,12 @@ def _derivations() -> dict[str, str]:
             _pick(PERSPECTIVES, "k div 9 % 3"),
         ]
     )
-    status = f"""CASE
-        WHEN k % 170 = 0 THEN {_pick(vocab.EXPANDED_ACCESS_STATUSES, "k div 170 % 4")}
-        WHEN os = 'F' THEN 'Completed'
-        WHEN os = 'O' THEN {_pick(vocab.STATUS_GROUPS["Active"], "k % 4")}
-        ELSE {_pick(STOPPED_STATUSES, "k % 5")} END"""
     return {
         # Every 750th row registers the study before it a second time.
         "NCT Number": "'NCT' || lpad(n, greatest(8, length(n)), '0')",
         "Title": f"replace({_pick(TITLES, 'k % 3')}, '{{}}', {first})",
         "Acronym": _pick(ACRONYMS, "k % 4"),
-        "Status": status,
+        "Status": "st",
         "Conditions": f"""CASE WHEN k % 3 = 0 THEN {first}
             WHEN k % 3 = 1 THEN {first} || '| ' || {second}
             ELSE {first} || '| ' || {second} || '|' || {third} || '|' END""",
@@ -139,9 +134,9 @@ def _derivations() -> dict[str, str]:
             WHEN k % 3 = 1 THEN '|Univ. of X' ELSE '| WHO|Univ. of X|' END""",
         "Gender": _pick(GENDERS, "k % 4"),
         "Phases": f"CASE WHEN k % 3 != 0 THEN {_pick(PHASE_LISTS, 'k % 11')} END",
-        "Enrollment": f"""CASE WHEN k % 1009 = 7 THEN 'n/a'
+        "Enrollment": """CASE WHEN k % 1009 = 7 THEN 'n/a'
             WHEN k % 1009 = 8 THEN 'approx. 200'
-            WHEN ({status}) = 'Withdrawn' THEN '0'
+            WHEN st = 'Withdrawn' THEN '0'
             ELSE cast(floor(price / 100) AS string) END""",
         "Funded Bys": _pick(FUNDER_LISTS, "k % 5"),
         "Study Type": """CASE WHEN k % 170 = 0 THEN 'Expanded Access: Treatment IND'
@@ -187,8 +182,13 @@ def raw_registry(
         orders = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
         base.append("c_name")
     derived = _derivations()
-    completion = "date_add(day, cast(k * 37 % 400 - 20 AS int)) AS completion"
-    cells = orders.selectExpr(*base).selectExpr("*", completion)
-    return cells.selectExpr(f"k AS {INGEST_POS}", *[f"{derived[c]} AS `{c}`" for c in columns]).selectExpr(
-        INGEST_POS, *[f"{rules.nullify_tokens(name(c))} AS `{c}`" for c in columns]
-    )
+    derived["Enrollment"] = rules.nullify_tokens(f"({derived['Enrollment']})")
+    steps = [
+        "date_add(day, cast(k * 37 % 400 - 20 AS int)) AS completion",
+        f"""CASE WHEN k % 170 = 0 THEN {_pick(vocab.EXPANDED_ACCESS_STATUSES, "k div 170 % 4")}
+            WHEN os = 'F' THEN 'Completed'
+            WHEN os = 'O' THEN {_pick(vocab.STATUS_GROUPS["Active"], "k % 4")}
+            ELSE {_pick(STOPPED_STATUSES, "k % 5")} END AS st""",
+    ]
+    cells = orders.selectExpr(*base).selectExpr("*", *steps)
+    return cells.selectExpr(f"k AS {INGEST_POS}", *[f"{derived[c]} AS `{c}`" for c in columns])
