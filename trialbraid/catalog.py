@@ -61,10 +61,12 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def star(spark: SparkSession, sf_dir: str) -> Star:
     """The star over the registry; only the sponsors table reads the customers."""
+    flat = clean(spark, sf_dir)
 
     def make(table: str) -> DataFrame:
-        source = raw_registry if table == "sponsors" else raw
-        return tables.BUILDERS[table](cleaning.clean_pipeline(source(spark, sf_dir)))
+        if table == "sponsors":
+            return tables.build_sponsors(cleaning.clean_pipeline(raw_registry(spark, sf_dir)))
+        return tables.BUILDERS[table](flat)
 
     return Star(make)
 

@@ -213,18 +213,16 @@ def classified_counts(flat: DataFrame) -> DataFrame:
 def condition_stats(flat: DataFrame, top: int = 20) -> DataFrame:
     """The most frequent lower-cased conditions, with the overall counts."""
     counts = condition_counts(flat)
-    overall = counts.agg(F.struct(F.sum("n").alias("entries"), F.count("*").alias("names")))
     best = (
-        counts.groupBy(F.lower("condition").alias("condition"))
-        .agg(F.sum("n").alias("n"))
+        tally(counts.withColumn("condition", F.lower("condition")), "condition", n="sum(n)")
         .orderBy(F.desc("n"), "condition")
         .limit(top)
     )
-    return best.withColumn("overall", overall.scalar()).select(
+    return best.select(
         "condition",
         "n",
-        F.col("overall.entries").alias("total_entries"),
-        F.col("overall.names").alias("unique_conditions"),
+        counts.agg(F.sum("n")).scalar().alias("total_entries"),
+        counts.agg(F.count("*")).scalar().alias("unique_conditions"),
     )
 
 

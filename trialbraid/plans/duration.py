@@ -95,15 +95,35 @@ def duration_by_area_and_phase(star: Star) -> DataFrame:
     return summary.selectExpr(*keys, "n_trials", *_ROUNDED).orderBy(*keys)
 
 
-def pipeline_outliers(star: Star, threshold: float = 1.5) -> DataFrame:
-    """KPI: phases that take much longer than the median of their area."""
-    phases = duration_by_area_and_phase(star).selectExpr(
-        "therapeutic_area", "phase", "n_trials", "duration_median AS phase_median"
+def pipeline_outliers(star: Star, threshold: float = 1.5, min_trials: int = 10) -> DataFrame:
+    """KPI: phases that take much longer than the median of their area.
+
+    Phase medians and area medians come out of one pass: every histogram row
+    counts for its phase and for the NULL phase that stands for all of them.
+    """
+    keys = ["therapeutic_area", "phase"]
+    histogram = _area_histogram(star, durations(star.studies), "phase").selectExpr(
+        "therapeutic_area", "explode(array(phase, NULL)) AS phase", "duration_days", "n"
     )
-    areas = duration_by_area(star).selectExpr(
-        "therapeutic_area", "duration_median AS area_median"
+    medians = stats.quantiles(
+        tally(histogram, *keys, "duration_days", n="sum(n)"),
+        keys,
+        "duration_days",
+        "n",
+        {"median": 0.5},
+        n_trials="sum(n)",
+    ).selectExpr(*keys, "n_trials", "round(median, 0) AS phase_median")
+
+    def of_area(value: str) -> str:
+        return f"max(if(phase IS NULL, {value}, NULL)) OVER (PARTITION BY therapeutic_area)"
+
+    compared = medians.selectExpr(
+        "*", f"{of_area('phase_median')} AS area_median", f"{of_area('n_trials')} AS area_trials"
+    ).filter(
+        f"phase IS NOT NULL AND phase NOT IN ('{vocab.UNKNOWN}', 'Not Applicable') "
+        f"AND area_trials >= {min_trials}"
     )
     ratio = "round(phase_median / nullif(area_median, 0.0D), 2)"
-    return phases.join(areas, "therapeutic_area").selectExpr(
+    return compared.drop("area_trials").selectExpr(
         "*", f"{ratio} AS ratio", f"{ratio} >= {threshold} AS longer_than_expected"
     )

@@ -18,6 +18,13 @@ from trialbraid.functions import rules
 from trialbraid.functions.text import word_list
 from trialbraid.schema import INGEST_POS, RAW_COLUMNS
 
+# Columns read of the source tables; a given schema saves the inference job.
+ORDERS = (
+    "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz"
+)
+CUSTOMERS = "c_custkey bigint, c_name string"
+
 # --- Fixed values of the derived registry ------------------------------------
 CONDITION_TERMS = [
     "Covid19", "COVID-19", "SARS-CoV 2", "Corona Virus Infection", "Cytokine Storm",
@@ -160,6 +167,16 @@ def _derivations() -> dict[str, str]:
     }
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a source with fewer partitions than cores, spread over the cores.
+
+    A large source has more partitions than cores and is left as it is; a
+    single small file would otherwise keep all but one core idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def raw_registry(
     spark: SparkSession, sf_dir: str, columns: Sequence[str] = RAW_COLUMNS
 ) -> DataFrame:
@@ -169,7 +186,8 @@ def raw_registry(
     left to the optimizer: a measured small side is broadcast, any other size
     is a sort-merge join whose hot customers AQE splits.
     """
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
+    orders = _spread(orders, "o_orderkey")
     base = [
         "o_orderkey AS k",
         "o_orderstatus AS os",
@@ -178,7 +196,7 @@ def raw_registry(
         "cast(if(o_orderkey % 750 = 11, o_orderkey - 1, o_orderkey) AS string) AS n",
     ]
     if "Sponsor/Collaborators" in columns:
-        customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+        customers = spark.read.schema(CUSTOMERS).parquet(f"{sf_dir}/customer.parquet")
         orders = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
         base.append("c_name")
     derived = _derivations()
