@@ -25,12 +25,19 @@ def status_group(status: str) -> str:
 
 
 def clean_phase(phases: str) -> str:
-    """Highest phase of a pipe list; among equals the last one wins."""
+    """Highest phase of a pipe list; among equals the last one wins.
+
+    Most cells hold one phase, which needs no list.
+    """
     stripped = f"transform({text.pipe_tokens(phases)}, t -> {text.strip('t')})"
     # array_position counts from 1 and gives 0 for a label outside of the order.
     rank = f"array_position(array({text.word_list(vocab.PHASE_ORDER)}), t)"
     ranked = f"transform({stripped}, (t, i) -> struct({rank} AS rank, i AS pos, t AS name))"
-    return f"coalesce(array_max({ranked}).name, {text.quote(vocab.UNKNOWN)})"
+    unknown = text.quote(vocab.UNKNOWN)
+    return (
+        f"CASE WHEN contains({phases}, '|') THEN array_max({ranked}).name "
+        f"ELSE coalesce({text.strip(phases)}, {unknown}) END"
+    )
 
 
 def enrollment_number(c: str) -> str:
@@ -43,14 +50,18 @@ def enrollment_number(c: str) -> str:
 def parse_date(c: str, lenient: bool = False) -> str:
     """Date of ``2020-11-09`` or ``November 9, 2020``; other text gives NULL.
 
-    ``lenient`` also takes a month without a day and puts it on the first.
+    ``lenient`` also takes a month without a day and puts it on the first. The
+    shape is tested first, because a failing parse costs an exception.
     """
     day = text.strip(c)
-    iso = f"CASE WHEN {day} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$' THEN try_cast({day} AS date)"
-    options = [f"try_to_date({day}, 'MMMM d, yyyy')"]
+    shapes = [
+        ("[0-9]{4}-[0-9]{2}-[0-9]{2}", f"try_cast({day} AS date)"),
+        ("[A-Za-z]+ [0-9]{1,2}, [0-9]{4}", f"try_to_date({day}, 'MMMM d, yyyy')"),
+    ]
     if lenient:
-        options.append(f"try_to_date({day}, 'MMMM yyyy')")
-    return f"{iso} ELSE coalesce({', '.join(options)}) END"
+        shapes.append(("[A-Za-z]+ [0-9]{4}", f"try_to_date({day}, 'MMMM yyyy')"))
+    branches = " ".join(f"WHEN {day} RLIKE '^{shape}$' THEN {date}" for shape, date in shapes)
+    return f"CASE {branches} END"
 
 
 def cutoff_after(extraction: str) -> str:
