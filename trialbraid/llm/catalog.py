@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialbraid.llm import fertility, subword, token_counts
+from trialbraid.llm import decontaminate, fertility, secrets, subword, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,31 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.digest_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    return found.selectExpr(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        "sha2(array_join(item_ids, ','), 256) AS items_sha256",
+        "contaminated",
+    )
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        f"sha2({secrets.span_text('base')}, 256) AS base_sha256",
+        f"{secrets.span_text('spans')} AS spans",
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -24,6 +49,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
-    f.__name__: f for f in (op2_sentencepiece, op7_token_counts, op9_quality_rules)
+    f.__name__: f for f in (op2_sentencepiece, op4_decontamination, op6_secret_scan, op7_token_counts, op9_quality_rules)
 }
 LLM_ORACLE: dict[str, str] = {}
