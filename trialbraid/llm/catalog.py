@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialbraid.llm import decontaminate, fertility, secrets, subword, token_counts
+from trialbraid.llm import (
+    decontaminate,
+    fertility,
+    line_dedup,
+    ngram_join,
+    secrets,
+    subword,
+    token_counts,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(_table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.digest_documents(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +60,27 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge_documents(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).selectExpr(
+        "doc_id",
+        "n_lines",
+        "n_deleted",
+        "n_deleted_words",
+        "emptied",
+        "sha2(text, 256) AS text_sha256",
+    )
+
+
 LLM_QUERIES = {
-    f.__name__: f for f in (op2_sentencepiece, op4_decontamination, op6_secret_scan, op7_token_counts, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_ngram_join,
+        op2_sentencepiece,
+        op4_decontamination,
+        op6_secret_scan,
+        op7_token_counts,
+        op9_quality_rules,
+        op10_line_dedup,
+    )
 }
 LLM_ORACLE: dict[str, str] = {}
