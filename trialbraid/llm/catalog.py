@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from trialbraid.llm import (
     decontaminate,
     fertility,
+    language_id,
     line_dedup,
     ngram_join,
+    quality_lm,
     secrets,
     subword,
     token_counts,
+    url_filter,
 )
 
 
@@ -27,6 +30,23 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword.digest_documents(_table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [
+    url_filter.Rule("allow", "org/"),
+    url_filter.Rule("block", "example.org/es/"),
+    url_filter.Rule("block", "example.org/en/1"),
+    url_filter.Rule("allow", "com/fr/"),
+    url_filter.Rule("block", "com/de/"),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that a rule decides are the labelled table for the others."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    ruled = url_filter.with_rule(url_filter.split_urls(pages), URL_RULES)
+    labelled = ruled.where("rule IS NOT NULL").selectExpr("host", "path", "rule_verdict AS verdict")
+    return url_filter.judge_urls(pages, URL_RULES, url_filter.train(labelled))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -41,6 +61,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.classify_documents(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ).select("doc_id", "lang", "n_chars", "perplexity", "score", "threshold", "kept")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents")).selectExpr(
         "doc_id",
@@ -56,6 +82,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = "coalesce(crc32(cast(doc_id AS string)) % 3 = 1, false)"
+    learned = docs.where(f"NOT ({held_out})").select("doc_id", "lang", "text")
+    found = language_id.predict_language(docs, language_id.training_sample(learned))
+    return found.selectExpr("doc_id", f"{held_out} AS held_out", "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge_documents(_table(spark, sf_dir, "documents"))
 
@@ -76,9 +110,12 @@ LLM_QUERIES = {
     for f in (
         op1_ngram_join,
         op2_sentencepiece,
+        op3_url_filter,
         op4_decontamination,
+        op5_quality_classifier,
         op6_secret_scan,
         op7_token_counts,
+        op8_language_id,
         op9_quality_rules,
         op10_line_dedup,
     )
