@@ -27,7 +27,9 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return subword.digest_documents(_table(spark, sf_dir, "documents"))
+    return subword.encode_documents(
+        _table(spark, sf_dir, "documents"), ("n_tokens", "ids_sha256", "decoded_sha256")
+    )
 
 
 URL_RULES = [

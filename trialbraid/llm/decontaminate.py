@@ -76,7 +76,7 @@ def _positions(words: DataFrame, length: int, *keep: str) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Words of every whole document that stand inside a window of an item.
 
-    Returns doc_id, n_words, n_hit, n_items, item_ids (sorted as strings),
+    Returns doc_id, text_key, n_words, n_hit, n_items, item_ids (sorted as strings),
     contaminated (n_hit > 0 and 20 * n_hit >= n_words). A null text has no
     words. Rows are told apart by doc_id (null included) and text, so repeated
     rows repeat their result. An empty benchmark hits nothing; items without
@@ -138,9 +138,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     result = counted.alias("d").join(summary.alias("s"), same, "left")
     return result.selectExpr(
         "d.doc_id",
+        "d.text_key",
         "n_words",
         "coalesce(n_hit, 0L) AS n_hit",
         "cast(coalesce(size(item_ids), 0) AS bigint) AS n_items",
         "coalesce(item_ids, array()) AS item_ids",
         "coalesce(n_hit, 0L) > 0 AND 20 * coalesce(n_hit, 0L) >= n_words AS contaminated",
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    bad = decontaminate(docs, benchmark).where("contaminated").select("doc_id", "text_key")
+    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (
+        F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("b.text_key")
+    )
+    return docs.alias("d").join(stored(bad.distinct()).alias("b"), same, "left_anti")

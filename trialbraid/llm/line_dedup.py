@@ -220,3 +220,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return cut.withColumn(
         "emptied", F.expr(r"n_deleted > 0 AND NOT text RLIKE '[^\\x20\\x09-\\x0D]'")
     )
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents with their repeated blocks deleted, without those that held nothing else.
+
+    All columns stay; where there is an ``n_chars``, it follows the text.
+    """
+    kept = dedup_lines(docs, min_words).where("NOT coalesce(emptied, false)")
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        kept = kept.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return kept.select(docs.columns)

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialbraid.llm.arrowtext import Runs, mix, shingles, slices, text_bytes, words
@@ -318,3 +318,21 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> Da
         "doc_id", "n AS n_shingles", "doc_id AS component_id", "1L AS n_copies"
     )
     return linked.union(alone)
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, with all its columns.
+
+    Documents without words or without a doc_id stay. Of rows that share a
+    doc_id, the one with the smallest text hash stays.
+    """
+    joined = join_documents(docs, width, percent)
+    dropped = stored(joined.where("doc_id != component_id").select("doc_id").distinct())
+    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
+    repeated = stored(repeated.select("doc_id"))
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    again = kept.join(repeated, "doc_id", "left_semi").select(docs.columns)
+    ranked = again.select(F.struct("*").alias("row"), F.row_number().over(order).alias("k"))
+    return single.union(ranked.where("k = 1").select("row.*"))

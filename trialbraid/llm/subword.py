@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -105,63 +105,61 @@ class ChunkTable:
         return "".join(chunks)[1:].replace(MARKER, " ")
 
 
+#: What can be returned for a text, with its SQL type.
+OUTPUTS = {
+    "n_tokens": "bigint",
+    "ids_sha256": "string",
+    "decoded_sha256": "string",
+    "ids": "array<int>",
+    "decoded": "string",
+}
+
+
 def encode_documents(
-    docs: DataFrame, model_path: str | None = None, keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame,
+    outputs: Sequence[str] = tuple(OUTPUTS),
+    keep: Sequence[str] = ("doc_id",),
+    model_path: str | None = None,
 ) -> DataFrame:
-    """Ids (with begin and end) and decoded text of every whole text.
+    """Encode every whole text, with begin and end ids, and decode it again.
 
-    Returns the ``keep`` columns, ``ids`` (array of int) and ``decoded``.
-    A null or empty text has the begin and end ids only and decodes to ''.
-    Repeated rows give repeated results; other columns are not read.
+    Returns the ``keep`` columns and the ``outputs``: n_tokens (all ids), ids,
+    decoded, and lowercase SHA-256 of the ids as little-endian unsigned 32-bit
+    integers and of the decoded text in UTF-8. A null or empty text has the
+    begin and end ids only and decodes to ''. Repeated rows give repeated
+    results; other columns are not read.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model_path or piece_model())
-        begin, end = (np.array([f()], "<u4").tobytes() for f in (table.library.bos_id, table.library.eos_id))
-        for part in slices(batches):
-            chunked = [table.chunks(t or "") for t in part.column("text").to_pylist()]
-            table.learn(chunked)
-            ids = [begin + table.join_ids(c) + end for c in chunked]
-            offsets = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(part.column(c) for c in keep),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    pa.array([table.join_text(c) for c in chunked], pa.string()),
-                ],
-                names=[*keep, "ids", "decoded"],
-            )
-
-    source = docs.select(*keep, "text")
-    fields = [source.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return source.mapInArrow(run, f"{schema}, ids array<int>, decoded string")
-
-
-def digest_documents(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """Per document: number of ids, digests of the ids and of the decoded text.
-
-    The ids stay in the task that made them; only the digests leave it.
-    """
+    def arrays(table: ChunkTable, texts: list[str | None]) -> dict[str, pa.Array]:
+        chunked = [table.chunks(t or "") for t in texts]
+        table.learn(chunked)
+        begin, end = (
+            np.array([i], "<u4").tobytes() for i in (table.library.bos_id(), table.library.eos_id())
+        )
+        ids = [begin + table.join_ids(c) + end for c in chunked]
+        made: dict[str, pa.Array] = {"n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64())}
+        if "ids_sha256" in outputs:
+            made["ids_sha256"] = pa.array([hashlib.sha256(i).hexdigest() for i in ids])
+        if "ids" in outputs:
+            bounds = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            made["ids"] = pa.ListArray.from_arrays(pa.array(bounds), flat)
+        if {"decoded", "decoded_sha256"} & set(outputs):
+            decoded = [table.join_text(c) for c in chunked]
+            made["decoded"] = pa.array(decoded, pa.string())
+            digests = [hashlib.sha256(t.encode()).hexdigest() for t in decoded]
+            made["decoded_sha256"] = pa.array(digests, pa.string())
+        return made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path or piece_model())
-        begin, end = (np.array([f()], "<u4").tobytes() for f in (table.library.bos_id, table.library.eos_id))
         for part in slices(batches):
-            chunked = [table.chunks(t or "") for t in part.column("text").to_pylist()]
-            table.learn(chunked)
-            ids = [begin + table.join_ids(c) + end for c in chunked]
+            made = arrays(table, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([len(i) // 4 for i in ids], pa.int64()),
-                    pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
-                    pa.array([hashlib.sha256(table.join_text(c).encode()).hexdigest() for c in chunked]),
-                ],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                [*(part.column(c) for c in keep), *(made[c] for c in outputs)],
+                names=[*keep, *outputs],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
+    source = docs.select(*keep, "text")
+    kept = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep]
+    return source.mapInArrow(run, ", ".join([*kept, *(f"{c} {OUTPUTS[c]}" for c in outputs)]))
