@@ -181,7 +181,7 @@ _HEAT = ", ".join(
     f" AS {_plain(a)}"
     for a in vocab.AREAS
 )
-_RAW_OUT = """ingest_pos, nct AS nct_number, title, acronym, status, conditions, interventions,
+_RAW_OUT = """nct AS nct_number, title, acronym, status, conditions, interventions,
     outcomes AS outcome_measures, sponsors AS sponsor_collaborators, gender, phases, enrollment,
     funders AS funded_bys, study_type, designs AS study_designs, start_text AS start_date,
     primary_text AS primary_completion_date, completion_text AS completion_date,

@@ -42,7 +42,7 @@ FLAT_OUTPUT = [
 STATUS_SQL = """
     SELECT status_group, status, count(*) AS status_count,
            sum(count(*)) OVER (PARTITION BY status_group) AS group_count
-    FROM studies GROUP BY status_group, status
+    FROM {studies} GROUP BY status_group, status
 """
 
 
@@ -61,46 +61,66 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def star(spark: SparkSession, sf_dir: str) -> Star:
     """The star over the registry; only the sponsors table reads the customers."""
-    flat = clean(spark, sf_dir)
 
-    def make(table: str) -> DataFrame:
-        if table == "sponsors":
-            return tables.build_sponsors(cleaning.clean_pipeline(raw_registry(spark, sf_dir)))
-        return tables.BUILDERS[table](flat)
+    def sponsors() -> DataFrame:
+        return tables.build_sponsors(cleaning.clean_pipeline(raw_registry(spark, sf_dir)))
 
-    return Star(make)
+    return Star.of_flat(clean(spark, sf_dir), sponsors=sponsors)
 
 
 # --- Sources and sinks ---------------------------------------------------------
+def _raw_extract(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The raw registry as an extract of two groups of files with different column orders.
+
+    As in a real extract, there is no position column. Rows that repeat an
+    earlier registration stand in the second group, behind the first one.
+    """
+    folder = stored.work_folder(spark, name)
+    cells = raw_registry(spark, sf_dir)
+    later = F.col(INGEST_POS) % 750 == 11
+    files.write_flat(cells.filter(~later).select(RAW_COLUMNS), f"{folder}/a", "csv")
+    files.write_flat(cells.filter(later).select(RAW_COLUMNS[::-1]), f"{folder}/b", "csv")
+    return f"{folder}/*"
+
+
 def scan_raw_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = stored.shared_folder(spark)
-    files.write_flat(raw_registry(spark, sf_dir), path, "csv")
-    return files.scan_raw_csv(spark, path).select(
-        INGEST_POS, *[F.col(c).alias(reshape.column_label(c)) for c in RAW_COLUMNS]
+    path = _raw_extract(spark, sf_dir, "scan_raw_csv")
+    return files.scan_raw_csv(spark, path, multi_line=False).select(
+        *[F.col(c).alias(reshape.column_label(c)) for c in RAW_COLUMNS]
     )
 
 
+def _clean_extract(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Raw CSV, scanned and cleaned."""
+    path = _raw_extract(spark, sf_dir, name)
+    return cleaning.clean_pipeline(files.scan_raw_csv(spark, path, multi_line=False))
+
+
 def scan_clean_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = stored.shared_folder(spark)
-    files.write_flat(clean(spark, sf_dir), path, "csv")
-    return files.scan_clean_csv(spark, path).selectExpr(*FLAT_OUTPUT)
+    path = stored.work_folder(spark, "scan_clean_csv_clean")
+    files.write_flat(_clean_extract(spark, sf_dir, "scan_clean_csv_raw"), path, "csv")
+    return files.scan_clean_csv(spark, path, multi_line=False).selectExpr(*FLAT_OUTPUT)
 
 
 def sink_clean_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = stored.shared_folder(spark)
-    files.write_flat(clean(spark, sf_dir), path)
+    path = stored.work_folder(spark, "sink_clean_flat_clean")
+    files.write_flat(_clean_extract(spark, sf_dir, "sink_clean_flat_raw"), path)
     return files.scan_clean(spark, path).selectExpr(*FLAT_OUTPUT)
 
 
 def sink_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = stored.shared_folder(spark)
+    """The same load twice is one load."""
+    folder = stored.work_folder(spark, "sink_tables")
+    stored.reset_tables(spark, folder)
     stored.append_tables(star(spark, sf_dir), folder)
+    stored.append_tables(star(spark, sf_dir), folder, repeated="skip")
     return tables.row_count_audit(stored.read_star(spark, folder))
 
 
 def reset_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads with a reset between them leave one load."""
-    folder = stored.shared_folder(spark)
+    folder = stored.work_folder(spark, "reset_tables")
+    stored.reset_tables(spark, folder)
     stored.append_tables(star(spark, sf_dir), folder)
     stored.reset_tables(spark, folder)
     stored.append_tables(star(spark, sf_dir), folder)

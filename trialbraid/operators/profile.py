@@ -320,12 +320,18 @@ def continent_entries(flat: DataFrame) -> DataFrame:
 
 
 def unmapped_countries(flat: DataFrame) -> DataFrame:
-    """Country texts outside the lookup with their share of all entries."""
-    counts = country_entries(flat)
+    """Country texts outside the lookup with their share of all entries.
+
+    Whether a text is mapped is an aggregate, so the lookup runs once per
+    distinct text and the total shares the one count.
+    """
+    counts = country_entries(flat).groupBy("country").agg(
+        F.sum("n").alias("n"), F.expr(f"bool_or({rules.is_mapped_country('country')})").alias("mapped")
+    )
     total = counts.agg(F.sum("n")).scalar()
     return (
         counts.withColumn("total", total)
-        .filter(f"NOT ({rules.is_mapped_country('country')})")
+        .filter("NOT mapped")
         .selectExpr("country", "n", f"{stats.pct_half_even('n', 'total')} AS pct")
         .orderBy(F.desc("n"), "country")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbraid import vocab
@@ -45,21 +45,24 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 def build_studies(flat: DataFrame) -> DataFrame:
     """One row per study: of a repeated registration the first one is kept.
 
-    The "first row" filter becomes a limit per task before the shuffle: of a
-    number registered millions of times every task sends one row. The window
-    keeps only the columns a query reads.
+    The rows are reduced by the study key, the key of all later joins, so the
+    study side of a join is shuffled once. Map-side combine sends one row per
+    task of a number that is registered millions of times; columns that a
+    query does not read are pruned. Two numbers with one key are an error.
     """
-    first = Window.partitionBy("NCT Number").orderBy(INGEST_POS)
-    kept = (
-        flat.filter("`NCT Number` IS NOT NULL")
-        .withColumn("registration", F.row_number().over(first))
-        .filter("registration = 1")
+    rows = flat.filter("`NCT Number` IS NOT NULL").selectExpr(
+        f"{rules.study_key(text.name('NCT Number'))} AS study_id",
+        INGEST_POS,
+        *[f"{text.name(c)} AS {target}" for target, c in _STUDY_COLUMNS.items()],
     )
-    columns = [f"{text.name(c)} AS {target}" for target, c in _STUDY_COLUMNS.items()]
-    keyed = kept.selectExpr(
-        f"{rules.study_key(text.name('NCT Number'))} AS study_id", *columns
-    ).withColumn("enrollment", F.bround("enrollment", 0))
-    return conform(keyed, "studies")
+    first = rows.groupBy("study_id").agg(
+        *[F.min_by(c, INGEST_POS).alias(c) for c in _STUDY_COLUMNS],
+        F.min("nct_id").alias("least_id"),
+        F.max("nct_id").alias("largest_id"),
+    )
+    clash = "raise_error('study key of two numbers: ' || least_id || ', ' || largest_id)"
+    checked = first.filter(f"if(least_id = largest_id, true, cast({clash} AS boolean))")
+    return conform(checked.withColumn("enrollment", F.bround("enrollment", 0)), "studies")
 
 
 def key_map(studies: DataFrame) -> DataFrame:
@@ -152,13 +155,22 @@ class Star:
     ``sources.tables.read_star``); the questions do not see a difference.
     """
 
-    def __init__(self, make: Callable[[str], DataFrame]):
+    def __init__(
+        self, make: Callable[[str], DataFrame], count: Callable[[], DataFrame] | None = None
+    ):
         self._make = make
+        self._count = count
         self._tables: dict[str, DataFrame] = {}
 
     @classmethod
-    def of_flat(cls, flat: DataFrame) -> Star:
-        return cls(lambda name: BUILDERS[name](flat))
+    def of_flat(cls, flat: DataFrame, **other: Callable[[], DataFrame]) -> Star:
+        """The star over a clean flat file; ``other`` gives tables with a source of their own."""
+        make = lambda name: other[name]() if name in other else BUILDERS[name](flat)
+        return cls(make, lambda: count_studies(flat))
+
+    def n_studies(self) -> DataFrame:
+        """One row, one column: the number of studies, without building them."""
+        return self._count() if self._count else self.studies.agg(F.count("*"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in STAR_SCHEMAS:
@@ -170,10 +182,10 @@ class Star:
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in STAR_SCHEMAS}
 
-    def create_views(self) -> None:
-        """Temporary views under the table names, for SQL text."""
-        for name, df in self.tables().items():
-            df.createOrReplaceTempView(name)
+
+def count_studies(flat: DataFrame) -> DataFrame:
+    """Distinct registry numbers of a flat file."""
+    return flat.agg(F.count_distinct("NCT Number"))
 
 
 def row_count_audit(star: Star) -> DataFrame:

@@ -17,7 +17,7 @@ _DESIGN_FEATURES = {
     "Masking": "masking",
 }
 _COMPLETED = "count_if(status_group = 'Completed')"
-_STOPPED = "count_if(status_group = 'Stopped')"
+_TIMES_COMPLETED = "sum(if(status_group = 'Completed', times, 0))"
 _RATE = f"{stats.pct('completed', 'total_resolved')} AS completion_rate_pct"
 
 
@@ -26,6 +26,15 @@ def resolved(studies: DataFrame) -> DataFrame:
     return studies.filter(is_in("status_group", vocab.RESOLVED_GROUPS))
 
 
+def _with_outcome(star: Star, weighted: DataFrame) -> DataFrame:
+    """Weighted children of resolved trials.
+
+    The children are counted per study and class before the join, so a study
+    registered millions of times arrives there as a few rows.
+    """
+    return resolved(star.studies).select("study_id", "status_group").join(weighted, "study_id")
+
+
 def completion_by_phase(star: Star) -> DataFrame:
     """q2a: completion rate and median enrollment by phase and study type."""
     keys = ["phase", "study_type"]
@@ -53,10 +62,14 @@ def completion_by_phase(star: Star) -> DataFrame:
 
 def completion_by_sponsor(star: Star) -> DataFrame:
     """q2b: completion rate by the class of the lead sponsor."""
-    leads = star.sponsors.filter("lead_or_collaborator = 'Lead'").select("study_id", "agency_class")
-    joined = resolved(star.studies).select("study_id", "status_group").join(leads, "study_id")
+    leads = star.sponsors.filter("lead_or_collaborator = 'Lead'")
+    joined = _with_outcome(star, tally(leads, "study_id", "agency_class", times=COUNT))
     counts = tally(
-        joined, "agency_class", total_resolved=COUNT, completed=_COMPLETED, stopped=_STOPPED
+        joined,
+        "agency_class",
+        total_resolved="sum(times)",
+        completed=_TIMES_COMPLETED,
+        stopped="sum(if(status_group = 'Stopped', times, 0))",
     )
     return counts.selectExpr("*", _RATE).orderBy(
         F.desc("completion_rate_pct"), F.asc_nulls_last("agency_class")
@@ -70,9 +83,8 @@ def completion_by_design(star: Star) -> DataFrame:
     works on the few combinations instead of reading the trials three times.
     """
     features = list(_DESIGN_FEATURES.values())
-    design = star.study_design.select("study_id", *features)
-    joined = resolved(star.studies).select("study_id", "status_group").join(design, "study_id")
-    combos = tally(joined, *features, n=COUNT, n_completed=_COMPLETED)
+    joined = _with_outcome(star, tally(star.study_design, "study_id", *features, times=COUNT))
+    combos = tally(joined, *features, n="sum(times)", n_completed=_TIMES_COMPLETED)
     long = (
         combos.withColumnsRenamed({c: name for name, c in _DESIGN_FEATURES.items()})
         .unpivot(["n", "n_completed"], list(_DESIGN_FEATURES), "design_feature", "feature_value")

@@ -80,7 +80,7 @@ def specialization_index(star: Star, min_trials: int = 5) -> DataFrame:
     """
     in_continent = "max(if(therapeutic_area IS NULL, n, NULL)) OVER (PARTITION BY continent)"
     in_area = "max(if(continent IS NULL, n, NULL)) OVER (PARTITION BY therapeutic_area)"
-    total = star.studies.agg(F.count("*")).scalar()
+    total = star.n_studies().scalar()
     cells = (
         label_cells(star)
         .selectExpr("*", f"{in_continent} AS in_continent", f"{in_area} AS in_area")

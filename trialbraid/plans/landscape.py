@@ -40,7 +40,7 @@ def area_distribution(star: Star) -> DataFrame:
     """q1c: distinct trials per area; a trial counts once in each of its areas."""
     labels = study_labels(star.conditions, "therapeutic_area", vocab.AREAS)
     counts = trials_per_label(labels, "therapeutic_area", vocab.AREAS)
-    total = star.studies.agg(F.count("*")).scalar()
+    total = star.n_studies().scalar()
     return (
         counts.withColumn("total", total)
         .selectExpr(

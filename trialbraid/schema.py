@@ -44,8 +44,6 @@ def _table(**columns) -> StructType:
 
 _S, _L, _I, _D, _B = StringType(), LongType(), IntegerType(), DateType(), BooleanType()
 
-RAW_SCHEMA = StructType([StructField(c, _S) for c in RAW_COLUMNS])
-
 STAR_SCHEMAS: dict[str, StructType] = {
     "studies": _table(
         study_id=_L,

@@ -167,16 +167,6 @@ def _derivations() -> dict[str, str]:
     }
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a source with fewer partitions than cores, spread over the cores.
-
-    A large source has more partitions than cores and is left as it is; a
-    single small file would otherwise keep all but one core idle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def raw_registry(
     spark: SparkSession, sf_dir: str, columns: Sequence[str] = RAW_COLUMNS
 ) -> DataFrame:
@@ -187,7 +177,6 @@ def raw_registry(
     is a sort-merge join whose hot customers AQE splits.
     """
     orders = spark.read.schema(ORDERS).parquet(f"{sf_dir}/orders.parquet")
-    orders = _spread(orders, "o_orderkey")
     base = [
         "o_orderkey AS k",
         "o_orderstatus AS os",

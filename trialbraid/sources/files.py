@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from trialbraid import vocab
 from trialbraid.functions import rules
@@ -17,20 +20,50 @@ _FLAGS = ["pre_covid_start", "date_error"]
 
 
 def scan_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """All columns of a CSV with header, as text, under the names in the header.
-
-    No inference pass over the data. ``multi_line`` is right for every file
-    but reads each file in one task; an extract without line breaks inside
-    cells should be read with ``multi_line=False``, which splits large files.
+    """All columns of CSV files with headers, as text, under the names in the headers.
+
+    Each file is mapped by its own header: files are grouped by header, one
+    scan per group, and the groups united by name. A column that some files
+    lack is NULL there. No inference pass over the data. ``multi_line`` is
+    right for every file but reads each file in one task; an extract without
+    line breaks inside cells should be read with ``multi_line=False``, which
+    splits large files.
     """
-    return (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("inferSchema", False)
-        .csv(path)
-    )
+    scans = []
+    for header, paths in _files_by_header(spark, path).items():
+        names = next(csv.reader([header.removeprefix("\ufeff")]))
+        schema = StructType([StructField(n, StringType()) for n in names])
+        scan = (
+            spark.read.schema(schema)
+            .option("header", True)
+            .option("enforceSchema", False)
+            .option("multiLine", multi_line)
+            .option("quote", '"')
+            .option("escape", '"')
+            .csv(paths)
+        )
+        # Rows as they stand in the files: by file, block and row of the block.
+        place = (
+            "concat_ws(':', _metadata.file_name, lpad(_metadata.file_block_start, 15, '0'), "
+            "lpad(monotonically_increasing_id(), 19, '0'))"
+        )
+        own = [c for c in names if c != INGEST_POS]
+        kept = name(INGEST_POS) if INGEST_POS in names else place
+        scans.append(scan.selectExpr(f"{kept} AS {INGEST_POS}", *[name(c) for c in own]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+
+
+def _files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Paths of the files by their first line; headers and paths only come to the driver."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"),
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        groups.setdefault(row.header, []).append(row.file)
+    return groups
 
 
 def scan_raw_csv(
@@ -41,19 +74,14 @@ def scan_raw_csv(
 ) -> DataFrame:
     """The raw registry extract, with the cells that mean "missing" as NULL.
 
-    The ingest position orders the rows as they stand in the files: by file,
-    by block within the file, then by row.
+    The ingest position is a text that orders the rows as they stand in the
+    files; a position that an earlier scan has written is kept. A wanted
+    column that no file has is an error.
     """
     raw = scan_csv(spark, path, multi_line)
     wanted = list(columns) if columns else [c for c in raw.columns if c != INGEST_POS]
-    position = F.struct(
-        F.col("_metadata.file_path"),
-        F.col("_metadata.file_block_start"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    kept = F.col(INGEST_POS).try_cast("bigint") if INGEST_POS in raw.columns else position
     return raw.select(
-        kept.alias(INGEST_POS), *[F.expr(rules.nullify_tokens(name(c))).alias(c) for c in wanted]
+        INGEST_POS, *[F.expr(rules.nullify_tokens(name(c))).alias(c) for c in wanted]
     )
 
 
@@ -69,9 +97,9 @@ def write_flat(flat: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.format(fmt).save(path)
 
 
-def scan_clean_csv(spark: SparkSession, path: str) -> DataFrame:
+def scan_clean_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """The clean flat file from CSV: dates, numbers and flags typed again."""
-    text_frame = scan_raw_csv(spark, path)
+    text_frame = scan_raw_csv(spark, path, multi_line=multi_line)
     typed = cleaning.parse_dates(text_frame, vocab.STUDY_DATE_COLUMNS)
     typed = cleaning.with_enrollment_number(typed)
     return typed.withColumns({c: F.col(c).try_cast("boolean") for c in _FLAGS})

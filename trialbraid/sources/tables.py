@@ -1,8 +1,7 @@
-"""The star as stored tables, and SQL over them."""
+"""The star as stored tables in loads, and SQL over them."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,43 +9,84 @@ from pyspark.sql import DataFrame, SparkSession
 from trialbraid.operators.star import Star
 from trialbraid.schema import STAR_SCHEMAS
 
+#: One row per finished load; a load without a row here is invisible.
+LOADS = "loads"
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for tables that later jobs read.
 
-    It lies in the shared folder the cluster names. Only a local session
-    without that setting uses a folder of the machine.
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A folder all executors share, for tables that later jobs of this application read.
+
+    It lies under ``spark.checkpoint.dir`` where the cluster names one, else
+    under the warehouse; the next use under the same name overwrites it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="trialbraid-")
-    return f"{base.rstrip('/')}/trialbraid-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/trialbraid-{spark.sparkContext.applicationId}/{name}"
+
+
+def _mark(spark: SparkSession, folder: str, loads: list[str], mode: str) -> None:
+    frame = spark.createDataFrame([(load,) for load in loads], "load string")
+    frame.coalesce(1).write.mode(mode).parquet(f"{folder}/{LOADS}")
 
 
 def reset_tables(spark: SparkSession, folder: str) -> Star:
-    """Replace all seven tables by empty ones with the fixed schemas."""
-    for name, schema in STAR_SCHEMAS.items():
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{name}")
+    """Make every earlier load invisible in one step; the schemas stay."""
+    _mark(spark, folder, [], "overwrite")
     return read_star(spark, folder)
 
 
-def append_tables(star: Star, folder: str) -> None:
-    """Append the seven tables of a load.
+def append_tables(
+    star: Star, folder: str, repeated: str = "refuse", load: str | None = None
+) -> str | None:
+    """Append the seven tables of a load; returns its name.
 
-    Rows are written where they are computed: no shuffle besides the one that
-    finds the first registration of each study.
+    The tables go into a folder of the load and become visible together by the
+    last step, one row in the list of loads. A failure before it leaves
+    nothing to be seen. Study numbers are unique over all loads: one that is
+    stored already is an error by default; ``repeated="skip"`` leaves such
+    studies and their children out.
     """
-    for name, df in star.tables().items():
-        df.write.mode("append").parquet(f"{folder}/{name}")
+    if repeated not in ("refuse", "skip"):
+        raise ValueError("repeated is 'refuse' or 'skip'")
+    tables = star.tables()
+    spark = tables["studies"].sparkSession
+    load = load or uuid.uuid4().hex
+    if finished_loads(spark, folder):
+        known = read_star(spark, folder).studies.select("study_id")
+        if repeated == "refuse":
+            clash = tables["studies"].join(known, "study_id", "left_semi")
+            if not clash.isEmpty():
+                raise ValueError("the load holds studies that are stored already")
+        else:
+            tables = {n: df.join(known, "study_id", "left_anti") for n, df in tables.items()}
+    for name, df in tables.items():
+        columns = STAR_SCHEMAS[name].names
+        df.select(columns).write.mode("overwrite").parquet(f"{folder}/{name}/load={load}")
+    _mark(spark, folder, [load], "append")
+    return load
+
+
+def finished_loads(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the finished loads; a folder without a list has none."""
+    try:
+        rows = spark.read.schema("load string").parquet(f"{folder}/{LOADS}").collect()
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return []
+        raise
+    return sorted(r.load for r in rows)
 
 
 def read_star(spark: SparkSession, folder: str) -> Star:
-    """The stored tables; the schema is fixed, so no file is opened to infer it."""
-    return Star(
-        lambda name: spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{folder}/{name}")
-    )
+    """The tables of all finished loads; the schema is fixed, so no file is opened to infer it."""
+    loads = finished_loads(spark, folder)
+
+    def make(name: str) -> DataFrame:
+        if not loads:
+            return spark.createDataFrame([], STAR_SCHEMAS[name])
+        paths = [f"{folder}/{name}/load={load}" for load in loads]
+        return spark.read.schema(STAR_SCHEMAS[name]).parquet(*paths)
+
+    return Star(make)
 
 
 def save_bucketed(star: Star, database: str, buckets: int) -> None:
@@ -61,6 +101,10 @@ def save_bucketed(star: Star, database: str, buckets: int) -> None:
 
 
 def query(star: Star, sql: str) -> DataFrame:
-    """Run SQL text over the star."""
-    star.create_views()
-    return next(iter(star.tables().values())).sparkSession.sql(sql)
+    """Run SQL text over the star; its tables stand in braces, as in ``FROM {studies}``.
+
+    The frames are arguments of the text, so no view is left behind.
+    """
+    tables = star.tables()
+    used = {n: df for n, df in tables.items() if f"{{{n}}}" in sql}
+    return next(iter(tables.values())).sparkSession.sql(sql, **used)
