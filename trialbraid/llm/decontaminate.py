@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialbraid.llm.shared import stored
+from trialbraid.llm.shared import small, stored
 
 #: Words of a full window, of a k-gram, and k-grams of a winnowing window.
 SPAN = 13
@@ -110,7 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = (F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))) & (
         F.col("d.text_key") == F.col("s.text_key")
     )
-    again = docs.alias("d").join(suspects.alias("s"), same, "left_semi")
+    again = docs.alias("d").join(small(suspects).alias("s"), same, "left_semi")
     words = _exact_words(again, "doc_id", "text_key")
     hits = None
     for n in [*short, SPAN]:
@@ -153,4 +153,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (
         F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("b.text_key")
     )
-    return docs.alias("d").join(stored(bad.distinct()).alias("b"), same, "left_anti")
+    return docs.alias("d").join(small(stored(bad.distinct())).alias("b"), same, "left_anti")

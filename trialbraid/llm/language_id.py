@@ -142,7 +142,7 @@ class CrossParser:
         start, length, text = start[order], length[order], text[order]
         roots = np.array(self.roots, np.int64)[:, None]
         state = np.repeat(roots, len(text), axis=1)
-        count = np.ones((len(roots), len(text)), np.int64)
+        count = np.zeros((len(roots), len(text)), np.int64)
         moves, width = self.table.ravel(), self.table.shape[1]
         live = np.searchsorted(-length, -np.arange(1, SEGMENT + 1), "right")
         for step in range(int(length[0]) if len(length) else 0):
@@ -150,8 +150,8 @@ class CrossParser:
             symbol = flat[start[:n] + step]
             after = moves[state[:, :n] * width + symbol]
             ended = after < 0
-            if step:
-                count[:, :n] += ended
+            # A phrase starts behind the last one; a letter that no sample holds is a phrase.
+            count[:, :n] += ended | (state[:, :n] == roots)
             anew = moves[roots * width + symbol]
             after = np.where(ended, np.where(anew >= 0, anew, roots), after)
             state[:, :n] = after
@@ -179,7 +179,6 @@ def predict_language(docs: DataFrame, sample: dict[str, list[str]]) -> DataFrame
         for part in slices(batches):
             points = [letters_only(t or "") for t in part.column("text").to_pylist()]
             letters = np.array([int((p > 0).sum()) for p in points])
-            # In front and behind, a text has no symbol of its own.
             phrases = own.phrases([own.symbols(p) for p in points])
             best = np.full(len(points), len(own.languages))
             score, fewest = np.zeros(len(points)), np.zeros(len(points), np.int64)

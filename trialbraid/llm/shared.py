@@ -5,6 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a stored table, or values in its arrays, that may be broadcast (tens of megabytes).
+BROADCAST_VALUES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,3 +26,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(table: DataFrame, values: str = "count(*)") -> DataFrame:
+    """A stored table, marked for broadcast if it is measured as small.
+
+    ``values`` is an aggregate that bounds what a broadcast would hold. A
+    larger table takes part in a sort-merge join instead.
+    """
+    measured = table.selectExpr(f"{values} AS n").first().n or 0
+    return F.broadcast(table) if measured <= BROADCAST_VALUES else table
