@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbraid.llm.arrowtext import lines, mix, slices, text_bytes, words
-from trialbraid.llm.shared import stored
+from trialbraid.llm.shared import small, stored
 
 #: Words of a common block that is worth deleting. Shorter shared lines
 #: (headings, licences, menus) also stand in clean documents.
@@ -202,7 +202,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .groupBy(*_ORDER)
         .agg(F.collect_set("line").alias("gone"))
     )
-    deleted = stored(deleted)
+    deleted = small(stored(deleted), "count(*) + sum(size(gone))")
 
     cut = keyed.join(deleted, _ORDER, "left")
     cut = cut.withColumn("old_lines", F.expr("split(text, '\\n', -1)"))
