@@ -59,18 +59,20 @@ def _half_even_pct(part: str, whole: str) -> str:
     return f"round_even(100.0::DOUBLE * ({part}) / ({whole}), 1)"
 
 
-_A, _B, _C = "k % 40", "(k * 7 + 3) % 40", "(k * 11 + 5) % 40"
+_A, _B, _C = "CASE WHEN k % 3 = 1 THEN 0 ELSE k % 40 END", "(k * 7 + 3) % 40", "(k * 11 + 5) % 40"
 _TERM = {i: _at(words.CONDITION_TERMS, i) for i in (_A, _B, _C)}
 _SITE = [_at(words.LOCATION_TERMS, i) for i in ("k % 11", "(k * 5 + 2) % 11")]
 _OUT = [_at(words.OUTCOME_TERMS, i) for i in ("k % 7", "(k * 3 + 1) % 7")]
 _CELLS = {
-    "nct": "'NCT' || CASE WHEN length(n) < 8 THEN lpad(n, 8, '0') ELSE n END",
+    "nct": """CASE WHEN k % 1361 = 9 THEN NULL
+        ELSE 'NCT' || CASE WHEN length(n) < 8 THEN lpad(n, 8, '0') ELSE n END END""",
     "title": f"replace({_at(words.TITLES, 'k % 3')}, '{{}}', {_TERM[_A]})",
     "acronym": _at(words.ACRONYMS, "k % 4"),
     "status": "st",
     "conditions": f"""CASE k % 3 WHEN 0 THEN {_TERM[_A]}
         WHEN 1 THEN concat({_TERM[_A]}, '| ', {_TERM[_B]})
-        ELSE concat({_TERM[_A]}, '| ', {_TERM[_B]}, '|', {_TERM[_C]}, '|') END""",
+        ELSE concat({_TERM[_A]}, '| ', {_TERM[_B]}, '|', {_TERM[_C]},
+            CASE WHEN k % 7 = 3 THEN ' variant ' || k END, '|') END""",
     "interventions": f"""concat({_at(words.INTERVENTION_FIRST, "k % 5")},
         CASE WHEN k % 2 = 1 THEN '|' || {_at(words.INTERVENTION_SECOND, "(k + 1) % 5")} END)""",
     "outcomes": f"""CASE WHEN k % 19 = 4 THEN NULL WHEN k % 2 = 0 THEN {_OUT[0]}
@@ -79,7 +81,7 @@ _CELLS = {
         WHEN 2 THEN '| WHO|Univ. of X|' END)""",
     "gender": _at(words.GENDERS, "k % 4"),
     "phases": f"CASE WHEN k % 3 = 0 THEN NULL ELSE {_at(words.PHASE_LISTS, 'k % 11')} END",
-    "enrollment": """CASE WHEN k % 1009 = 7 THEN NULL WHEN k % 1009 = 8 THEN 'approx. 200'
+    "enrollment": """CASE WHEN k % 1361 = 10 THEN '3000000000' WHEN k % 1009 = 7 THEN NULL WHEN k % 1009 = 8 THEN 'approx. 200'
         WHEN st = 'Withdrawn' THEN '0' ELSE floor(o_totalprice / 100)::BIGINT::VARCHAR END""",
     "funders": _at(words.FUNDER_LISTS, "k % 5"),
     "study_type": """CASE WHEN k % 170 = 0 THEN 'Expanded Access: Treatment IND'
@@ -135,14 +137,15 @@ def _slot(key: str) -> str:
 
 def _items(column: str) -> str:
     return f"""SELECT study_id, trim(t) AS item FROM
-        (SELECT study_id, unnest(string_split({column}, '|')) AS t FROM flat) WHERE trim(t) != ''"""
+        (SELECT study_id, unnest(string_split({column}, '|')) AS t FROM accepted) WHERE trim(t) != ''"""
 
 
 # Name -> text. Each may use the names before it; unused ones cost nothing.
 _WITH = {
     "base": f"""SELECT *, o_orderkey AS k, o_orderdate::DATE + 8766 AS day,
             o_orderdate::DATE + 8766 + (o_orderkey * 37 % 400 - 20)::INT AS done,
-            (o_orderkey - CASE WHEN o_orderkey % 750 = 11 THEN 1 ELSE 0 END)::VARCHAR AS n,
+            (CASE WHEN o_orderkey % 750 = 11 THEN o_orderkey - 1 WHEN o_orderkey % 10 = 7 THEN 7
+                ELSE o_orderkey END)::VARCHAR AS n,
             CASE WHEN o_orderkey % 170 = 0
                  THEN {_at(vocab.EXPANDED_ACCESS_STATUSES, "o_orderkey // 170 % 4")}
                  WHEN o_orderstatus = 'F' THEN 'Completed'
@@ -169,10 +172,12 @@ _WITH = {
         start_date IS NOT NULL AND start_date < DATE '2020-01-01' AS pre_covid_start,
         start_date IS NOT NULL AND start_date < DATE '2000-01-01' AS date_error
         FROM kept""",
+    "accepted": """SELECT * FROM flat
+        WHERE nct IS NOT NULL AND (enrolled IS NULL OR abs(enrolled) <= 2147483647)""",
     "studies": """SELECT study_id, nct AS nct_id, title, acronym, status, status_group,
         phase_clean AS phase, study_type, start_date, completion_date, primary_completion_date,
         round_even(enrolled, 0)::INTEGER AS enrollment, gender, pre_covid_start, date_error
-        FROM flat QUALIFY row_number() OVER (PARTITION BY nct ORDER BY ingest_pos) = 1""",
+        FROM accepted QUALIFY row_number() OVER (PARTITION BY nct ORDER BY ingest_pos) = 1""",
     "named": f"""SELECT study_id, {_first_hit("lower(item)", vocab.CONDITION_KEYWORDS, _TITLE)}
         AS condition_name FROM ({_items("conditions")})""",
     "conditions": f"""SELECT study_id, condition_name, NULL::VARCHAR AS mesh_term,
@@ -192,7 +197,7 @@ _WITH = {
             SELECT study_id,
                 [trim(x) for x in string_split(sponsors, '|') if trim(x) != ''] AS agencies,
                 [trim(x) for x in string_split(funders, '|') if trim(x) != ''] AS classes
-            FROM flat))""",
+            FROM accepted))""",
     "countries": f"SELECT * FROM (VALUES {_COUNTRIES}) AS v(country, continent)",
     "locations": f"""SELECT study_id, NULL::VARCHAR AS facility, NULL::VARCHAR AS city,
         NULL::VARCHAR AS state, l.country, coalesce(continent, 'Other') AS continent
@@ -201,7 +206,7 @@ _WITH = {
         LEFT JOIN countries USING (country)""",
     "study_design": "SELECT study_id, "
     + ", ".join(f"{_slot(key)} AS {name}" for name, key in vocab.DESIGN_KEYS.items())
-    + " FROM flat",
+    + " FROM accepted",
     "entries": """SELECT ingest_pos, trim(t) AS condition
         FROM (SELECT ingest_pos, unnest(string_split(conditions, '|')) AS t FROM kept)""",
     "classified": f"""SELECT condition, condition_name,
@@ -227,15 +232,16 @@ _DEPENDS = {
     "grouped": ["raw"],
     "kept": ["grouped"],
     "flat": ["kept"],
-    "studies": ["flat"],
-    "named": ["flat"],
+    "accepted": ["flat"],
+    "studies": ["accepted"],
+    "named": ["accepted"],
     "conditions": ["named"],
-    "interventions": ["flat"],
-    "outcomes": ["flat"],
-    "sponsors": ["flat"],
+    "interventions": ["accepted"],
+    "outcomes": ["accepted"],
+    "sponsors": ["accepted"],
     "countries": [],
-    "locations": ["flat", "countries"],
-    "study_design": ["flat"],
+    "locations": ["accepted", "countries"],
+    "study_design": ["accepted"],
     "entries": ["kept"],
     "classified": ["entries"],
     "sites": ["kept"],

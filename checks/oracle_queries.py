@@ -197,7 +197,13 @@ ORACLE: dict[str, str] = {
     "sink_clean_flat": sql(f"SELECT {_FLAT} FROM flat", "flat"),
     "sink_tables": _audit(),
     "reset_tables": _audit(),
-    "read_key_map": sql("SELECT DISTINCT study_id, nct AS nct_id FROM flat", "flat"),
+    "read_key_map": sql("SELECT DISTINCT study_id, nct AS nct_id FROM accepted", "accepted"),
+    "rejected_rows": sql(
+        """SELECT CASE WHEN nct IS NULL THEN 'no registry number' ELSE 'enrollment out of range' END
+            AS reason, count(*) AS n_rows
+        FROM flat WHERE nct IS NULL OR abs(enrolled) > 2147483647 GROUP BY ALL""",
+        "flat",
+    ),
     "query_to_frame": sql(
         """SELECT status_group, status, count(*) AS status_count,
         (SELECT count(*) FROM studies g WHERE g.status_group = s.status_group) AS group_count

@@ -9,7 +9,7 @@ import pytest
 from trialbraid.catalog import clean
 from trialbraid.catalog import star as derived_star
 from trialbraid.operators import cleaning, profile, quality, reshape
-from trialbraid.operators.star import Star, row_count_audit
+from trialbraid.operators.star import Star, accepted, rejected_rows, row_count_audit
 from trialbraid.plans import completion, duration, enrollment, geography, landscape
 from trialbraid.schema import INGEST_POS, RAW_COLUMNS, STAR_SCHEMAS
 from trialbraid.sources import files
@@ -39,7 +39,7 @@ def test_children_have_a_study(star):
 def test_studies_are_unique_and_designs_complete(spark, sf_dir, star):
     studies = star.studies
     assert studies.select("study_id").distinct().count() == studies.count()
-    assert star.study_design.count() == clean(spark, sf_dir).count()
+    assert star.study_design.count() == accepted(clean(spark, sf_dir)).count()
     assert studies.join(star.study_design, "study_id", "left_anti").count() == 0
 
 
@@ -208,6 +208,28 @@ def test_two_numbers_with_one_key_are_an_error(registry, monkeypatch):
         Star.of_flat(flat).studies.collect()
 
 
+def test_enrollment_report_of_nothing_has_a_row(registry):
+    (row,) = profile.enrollment_describe(registry({"Enrollment": "unknown"})).collect()
+    assert row.n_values == 0 and row.median is None and row.mean is None
+
+
+def test_rows_without_a_place_are_counted(registry):
+    flat = cleaning.clean_pipeline(
+        registry(
+            {"Title": "no number", "Conditions": "Asthma"},
+            {"NCT Number": "NCT00000001", "Enrollment": "3000000000", "Conditions": "Asthma"},
+            {"NCT Number": "NCT00000002", "Enrollment": "30", "Conditions": "Asthma"},
+        )
+    )
+    assert {(r.reason, r.n_rows) for r in rejected_rows(flat).collect()} == {
+        ("no registry number", 1),
+        ("enrollment out of range", 1),
+    }
+    star = Star.of_flat(flat)
+    assert [r.nct_id for r in star.studies.collect()] == ["NCT00000002"]
+    assert star.conditions.count() == 1 and star.n_studies().first()[0] == 1
+
+
 def test_hot_study_counts_once_per_registration(registry):
     """Many rows of one number weigh as their count in the questions on sponsors and designs."""
     row = {

@@ -42,6 +42,40 @@ def test_quantiles_equal_numpy(spark, rows):
                 assert row[name] == pytest.approx(np.quantile(values, p), abs=1e-9)
 
 
+@settings(
+    max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(
+    st.lists(
+        st.tuples(
+            st.sampled_from("ab"),
+            st.one_of(st.none(), st.floats(-1e12, 1e12), st.floats(0, 1e-9), st.integers(0, 9).map(float)),
+        ),
+        max_size=60,
+    )
+)
+def test_spread_quantiles_equal_numpy(spark, rows):
+    df = spark.createDataFrame(rows, "k string, v double")
+    frame = pd.DataFrame(rows, columns=["k", "v"]).dropna()
+    by_key = stats.spread_quantiles(tally(df, "k", "v", n=COUNT), ["k"], "v", "n", PROBABILITIES)
+    groups = {r.k: (r, frame[frame.k == r.k].v.to_numpy(float)) for r in by_key.collect()}
+    assert set(groups) == set(frame.k)
+    (whole,) = stats.spread_quantiles(tally(df, "v", n=COUNT), [], "v", "n", PROBABILITIES).collect()
+    for row, values in [*groups.values(), (whole, frame.v.to_numpy(float))]:
+        for name, p in PROBABILITIES.items():
+            expected = np.quantile(values, p) if len(values) else None
+            assert row[name] == (expected if expected is None else pytest.approx(expected, rel=1e-9, abs=1e-12))
+
+
+def test_values_spread_over_tasks(spark):
+    """Only ranges are ordered together, never the values of a key."""
+    df = spark.createDataFrame([(float(i), "ab"[i % 2]) for i in range(100)], "v double, k string")
+    plan = stats.spread_quantiles(tally(df, "k", "v", n=COUNT), ["k"], "v", "n", {"m": 0.5})
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in text.splitlines() if "Window [" in line]
+    assert windows and all("range_" in line for line in windows)
+
+
 def test_rounding_rules_differ_at_the_half(spark):
     row = spark.sql(
         f"SELECT {stats.pct('1', '16')} AS up, {stats.pct_half_even('1', '16')} AS even,"

@@ -72,14 +72,13 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
 def _raw_extract(spark: SparkSession, sf_dir: str, name: str) -> str:
     """The raw registry as an extract of two groups of files with different column orders.
 
-    As in a real extract, there is no position column. Rows that repeat an
-    earlier registration stand in the second group, behind the first one.
+    As in a real extract, there is no position column.
     """
     folder = stored.work_folder(spark, name)
     cells = raw_registry(spark, sf_dir)
-    later = F.col(INGEST_POS) % 750 == 11
-    files.write_flat(cells.filter(~later).select(RAW_COLUMNS), f"{folder}/a", "csv")
-    files.write_flat(cells.filter(later).select(RAW_COLUMNS[::-1]), f"{folder}/b", "csv")
+    turned = F.col(INGEST_POS) % 3 == 0
+    files.write_flat(cells.filter(~turned).select(RAW_COLUMNS), f"{folder}/a", "csv")
+    files.write_flat(cells.filter(turned).select(RAW_COLUMNS[::-1]), f"{folder}/b", "csv")
     return f"{folder}/*"
 
 
@@ -267,6 +266,7 @@ QUERIES: dict[str, Query] = {
     "build_outcomes": _table("outcomes"),
     "build_locations": _table("locations"),
     "build_study_design": _table("study_design"),
+    "rejected_rows": lambda s, d: tables.rejected_rows(clean(s, d)),
     "row_count_audit": _on_star(tables.row_count_audit),
     # questions
     "q1a_phase_distribution": _on_star(landscape.phase_distribution),

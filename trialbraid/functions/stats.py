@@ -63,13 +63,51 @@ def quantiles(
         {"upto_": F.sum(w).over(up_to_value), "total_": F.sum(w).over(per_key)}
     )
 
-    def quantile(p: float) -> str:
-        rank = f"({p}D * (total_ - 1))"
-        low = f"min(CASE WHEN upto_ > floor({rank}) THEN {value} END)"
-        high = f"min(CASE WHEN upto_ > ceil({rank}) THEN {value} END)"
-        return f"cast({low} + max({rank} - floor({rank})) * ({high} - {low}) AS double)"
+    return tally(ranked, *keys, **{c: _quantile(p, value) for c, p in probabilities.items()}, **extra)
 
-    return tally(ranked, *keys, **{c: quantile(p) for c, p in probabilities.items()}, **extra)
+
+def spread_quantiles(
+    histogram: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weight: str,
+    probabilities: Mapping[str, float],
+) -> DataFrame:
+    """The quantiles of :func:`quantiles` for values without a bound on their number.
+
+    The values of a key fall into ranges of a binary order of magnitude cut in
+    eight, of which there are a few thousand at most. Running sums over the
+    ranges find those that hold a quantile; only their values are ordered, each
+    range in a task of its own. Keys are not NULL. Without keys there is one
+    row, with NULLs where there is no value.
+    """
+    # Falls and rises with the value; doubles reach from -1074 to 1024 binary orders.
+    order = (
+        f"if({value} = 0, 0D, signum({value}) * (10000 + floor(log2(abs({value})) * 8)))"
+    )
+    valued = histogram.filter(f"{value} IS NOT NULL").withColumn("range_", F.expr(order))
+    whole = Window.partitionBy(*keys)
+    running = whole.orderBy("range_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = tally(valued, *keys, "range_", n_=f"sum({weight})").withColumns(
+        {"upto_": F.sum("n_").over(running), "total_": F.sum("n_").over(whole)}
+    )
+    ranks = [f"{f}({p}D * (total_ - 1))" for p in probabilities.values() for f in ("floor", "ceil")]
+    holds = " OR ".join(f"(upto_ - n_ <= {r} AND {r} < upto_)" for r in ranks)
+    held = ranges.filter(holds).selectExpr(*keys, "range_", "upto_ - n_ AS before_", "total_")
+    inside = Window.partitionBy(*keys, "range_").orderBy(value)
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = valued.join(held, [*keys, "range_"]).withColumn(
+        "upto_", F.col("before_") + F.sum(weight).over(inside)
+    )
+    return tally(ranked, *keys, **{c: _quantile(p, value) for c, p in probabilities.items()})
+
+
+def _quantile(p: float, value: str) -> str:
+    """SQL: interpolated quantile of rows with running sums ``upto_`` of ``total_``."""
+    rank = f"({p}D * (total_ - 1))"
+    low = f"min(CASE WHEN upto_ > floor({rank}) THEN {value} END)"
+    high = f"min(CASE WHEN upto_ > ceil({rank}) THEN {value} END)"
+    return f"cast({low} + max({rank} - floor({rank})) * ({high} - {low}) AS double)"
 
 
 # --- Label sets -------------------------------------------------------------

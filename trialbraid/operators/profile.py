@@ -57,26 +57,26 @@ def status_group_share(flat: DataFrame) -> DataFrame:
 
 # --- Enrollment ---------------------------------------------------------------
 def enrollment_describe(flat: DataFrame) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles of the enrollment."""
+    """Count, mean, deviation, extremes and exact quartiles of the enrollment.
+
+    One row always; without any value the count is 0 and the rest NULL.
+    """
     values = cleaning.with_enrollment_number(flat).filter("Enrollment IS NOT NULL")
-    average = values.agg(F.avg("Enrollment")).scalar()
-    summary = stats.quantiles(
-        tally(values, "Enrollment", n=COUNT).withColumn("average", average),
-        ["average"],
-        "Enrollment",
-        "n",
-        {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        n_values="sum(n)",
-        variance="sum(pow(Enrollment - average, 2) * n) / nullif(sum(n) - 1, 0)",
+    histogram = tally(values, "Enrollment", n=COUNT)
+    moments = tally(
+        values,
+        n_values=COUNT,
+        mean="round(avg(Enrollment), 6)",
+        stddev="round(stddev_samp(Enrollment), 6)",
         min="min(Enrollment)",
         max="max(Enrollment)",
     )
-    return summary.selectExpr(
-        "n_values",
-        "round(average, 6) AS mean",
-        "round(sqrt(variance), 6) AS stddev",
-        *["min", "q1", "median", "q3", "max"],
+    quartiles = stats.spread_quantiles(
+        histogram, [], "Enrollment", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75}
     )
+    columns = ["n_values", "mean", "stddev", "min", "q1", "median", "q3", "max"]
+    both = moments.unionByName(quartiles, allowMissingColumns=True)
+    return tally(both, **{c: f"max({c})" for c in columns})
 
 
 def enrollment_flags(flat: DataFrame) -> DataFrame:
@@ -101,16 +101,15 @@ def enrollment_by_study_type(flat: DataFrame) -> DataFrame:
         .withColumnRenamed("Study Type", "study_type")
         .filter("study_type IS NOT NULL")
     )
-    weights = "sum(if(Enrollment IS NULL, NULL, n))"
-    summary = stats.quantiles(
+    medians = stats.spread_quantiles(
         tally(typed, "study_type", "Enrollment", n=COUNT),
         ["study_type"],
         "Enrollment",
         "n",
         {"median": 0.5},
-        mean=f"sum(Enrollment * n) / {weights}",
-        max="max(Enrollment)",
     )
+    means = tally(typed, "study_type", mean="avg(Enrollment)", max="max(Enrollment)")
+    summary = means.join(medians, "study_type", "left")
     return summary.selectExpr(
         "study_type", *[f"bround({c}, 0) AS {c}" for c in ("median", "mean", "max")]
     )

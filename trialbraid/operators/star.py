@@ -30,6 +30,25 @@ _STUDY_COLUMNS = {
 }
 
 
+#: Why a row of the flat file has no place in the star.
+REJECTS = {
+    "no registry number": "`NCT Number` IS NULL",
+    "enrollment out of range": "coalesce(abs(Enrollment) > 2147483647, false)",
+}
+
+
+def accepted(flat: DataFrame) -> DataFrame:
+    """The rows that the star takes; :func:`rejected_rows` counts the others."""
+    return flat.filter(f"NOT ({' OR '.join(f'({e})' for e in REJECTS.values())})")
+
+
+def rejected_rows(flat: DataFrame) -> DataFrame:
+    """(reason, n_rows): rows left out of the star, by the first reason that holds."""
+    cases = " ".join(f"WHEN {e} THEN '{reason}'" for reason, e in REJECTS.items())
+    counts = flat.selectExpr(f"CASE {cases} END AS reason").filter("reason IS NOT NULL")
+    return counts.groupBy("reason").agg(F.count("*").alias("n_rows"))
+
+
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Columns in the order and types of the table; absent ones are NULL."""
     present = set(df.columns)
@@ -50,7 +69,7 @@ def build_studies(flat: DataFrame) -> DataFrame:
     task of a number that is registered millions of times; columns that a
     query does not read are pruned. Two numbers with one key are an error.
     """
-    rows = flat.filter("`NCT Number` IS NOT NULL").selectExpr(
+    rows = accepted(flat).selectExpr(
         f"{rules.study_key(text.name('NCT Number'))} AS study_id",
         INGEST_POS,
         *[f"{text.name(c)} AS {target}" for target, c in _STUDY_COLUMNS.items()],
@@ -75,7 +94,7 @@ def _keyed(flat: DataFrame, *columns: str) -> DataFrame:
 
     The key is computed from the row itself, so no map is joined.
     """
-    return flat.filter("`NCT Number` IS NOT NULL").selectExpr(
+    return accepted(flat).selectExpr(
         f"{rules.study_key(text.name('NCT Number'))} AS study_id", *columns
     )
 
@@ -184,8 +203,8 @@ class Star:
 
 
 def count_studies(flat: DataFrame) -> DataFrame:
-    """Distinct registry numbers of a flat file."""
-    return flat.agg(F.count_distinct("NCT Number"))
+    """Distinct registry numbers of the accepted rows of a flat file."""
+    return accepted(flat).agg(F.count_distinct("NCT Number"))
 
 
 def row_count_audit(star: Star) -> DataFrame:

@@ -97,7 +97,8 @@ def _day_text(day: str) -> str:
 
 
 def _derivations() -> dict[str, str]:
-    first = _pick(CONDITION_TERMS, "k % 40")
+    # A third of the rows is on one condition; some have a text of their own.
+    first = _pick(CONDITION_TERMS, "CASE WHEN k % 3 = 1 THEN 0 ELSE k % 40 END")
     second = _pick(CONDITION_TERMS, "(k * 7 + 3) % 40")
     third = _pick(CONDITION_TERMS, "(k * 11 + 5) % 40")
     sites = [_pick(LOCATION_TERMS, i) for i in ("k % 11", "(k * 5 + 2) % 11", "k % 11")]
@@ -124,14 +125,16 @@ def _derivations() -> dict[str, str]:
         ]
     )
     return {
-        # Every 750th row registers the study before it a second time.
-        "NCT Number": "'NCT' || lpad(n, greatest(8, length(n)), '0')",
+        # Every 750th row registers the study before it a second time, every tenth row one
+        # and the same study; some rows have no number or an impossible enrollment.
+        "NCT Number": "CASE WHEN k % 1361 != 9 THEN 'NCT' || lpad(n, greatest(8, length(n)), '0') END",
         "Title": f"replace({_pick(TITLES, 'k % 3')}, '{{}}', {first})",
         "Acronym": _pick(ACRONYMS, "k % 4"),
         "Status": "st",
         "Conditions": f"""CASE WHEN k % 3 = 0 THEN {first}
             WHEN k % 3 = 1 THEN {first} || '| ' || {second}
-            ELSE {first} || '| ' || {second} || '|' || {third} || '|' END""",
+            ELSE {first} || '| ' || {second} || '|' || {third}
+                || if(k % 7 = 3, ' variant ' || k, '') || '|' END""",
         "Interventions": f"""{_pick(INTERVENTION_FIRST, "k % 5")}
             || if(k % 2 = 0, '', '|' || {_pick(INTERVENTION_SECOND, "(k + 1) % 5")})""",
         "Outcome Measures": f"""CASE WHEN k % 19 = 4 THEN NULL
@@ -141,7 +144,8 @@ def _derivations() -> dict[str, str]:
             WHEN k % 3 = 1 THEN '|Univ. of X' ELSE '| WHO|Univ. of X|' END""",
         "Gender": _pick(GENDERS, "k % 4"),
         "Phases": f"CASE WHEN k % 3 != 0 THEN {_pick(PHASE_LISTS, 'k % 11')} END",
-        "Enrollment": """CASE WHEN k % 1009 = 7 THEN 'n/a'
+        "Enrollment": """CASE WHEN k % 1361 = 10 THEN '3000000000'
+            WHEN k % 1009 = 7 THEN 'n/a'
             WHEN k % 1009 = 8 THEN 'approx. 200'
             WHEN st = 'Withdrawn' THEN '0'
             ELSE cast(floor(price / 100) AS string) END""",
@@ -182,7 +186,8 @@ def raw_registry(
         "o_orderstatus AS os",
         "o_totalprice AS price",
         "date_add(cast(o_orderdate AS date), 8766) AS day",
-        "cast(if(o_orderkey % 750 = 11, o_orderkey - 1, o_orderkey) AS string) AS n",
+        """cast(CASE WHEN o_orderkey % 750 = 11 THEN o_orderkey - 1 WHEN o_orderkey % 10 = 7 THEN 7
+            ELSE o_orderkey END AS string) AS n""",
     ]
     if "Sponsor/Collaborators" in columns:
         customers = spark.read.schema(CUSTOMERS).parquet(f"{sf_dir}/customer.parquet")

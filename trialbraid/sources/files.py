@@ -44,7 +44,7 @@ def scan_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
         )
         # Rows as they stand in the files: by file, block and row of the block.
         place = (
-            "concat_ws(':', _metadata.file_name, lpad(_metadata.file_block_start, 15, '0'), "
+            "concat_ws(':', _metadata.file_path, lpad(_metadata.file_block_start, 15, '0'), "
             "lpad(monotonically_increasing_id(), 19, '0'))"
         )
         own = [c for c in names if c != INGEST_POS]
