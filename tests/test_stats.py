@@ -73,7 +73,7 @@ def test_values_spread_over_tasks(spark):
     plan = stats.spread_quantiles(tally(df, "k", "v", n=COUNT), ["k"], "v", "n", {"m": 0.5})
     text = plan._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in text.splitlines() if "Window [" in line]
-    assert windows and all("range_" in line for line in windows)
+    assert windows and all("range_" in line or "v#" not in line for line in windows)
 
 
 def test_rounding_rules_differ_at_the_half(spark):
