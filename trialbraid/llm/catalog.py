@@ -10,6 +10,7 @@ from trialbraid.llm import (
     language_id,
     line_dedup,
     ngram_join,
+    oracle,
     quality_lm,
     secrets,
     subword,
@@ -23,7 +24,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_documents(_table(spark, sf_dir, "documents"))
+    joined = ngram_join.join_documents(_table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,4 +124,7 @@ LLM_QUERIES = {
         op10_line_dedup,
     )
 }
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE = {
+    "op1_ngram_join": oracle.NGRAM_JOIN,
+    "op4_decontamination": oracle.DECONTAMINATION,
+}
