@@ -12,9 +12,12 @@ BROADCAST_VALUES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where unset, one beside the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """A folder of this application under ``spark.checkpoint.dir``, where unset under the warehouse.
+
+    It may be removed when the application has ended.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/trialbraid-{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame) -> DataFrame:
