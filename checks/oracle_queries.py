@@ -482,8 +482,8 @@ ORACLE: dict[str, str] = {
     "r3b_top8": sql(
         """SELECT condition_name, n_trials, total_enrollment,
         CASE WHEN total_enrollment >= 1000000
-             THEN printf('%.1fM', round_even(total_enrollment / 1e6, 1))
-             ELSE printf('%.0fK', round_even(total_enrollment / 1e3, 0)) END AS label
+             THEN printf('%.1fM', total_enrollment / 1e6)
+             ELSE printf('%.0fK', total_enrollment / 1e3) END AS label
         FROM q ORDER BY total_enrollment DESC, condition_name LIMIT 8""",
         "studies",
         "conditions",

@@ -280,13 +280,13 @@ def test_missing_phases_are_rows_of_nulls(spark):
 
 
 def test_enrollment_labels(spark):
-    totals = [118_700_000, 1_250_000, 499_600, 0]
+    totals = [1_118_700_000, 1_250_000, 1_150_000, 499_600, 0]
     df = spark.createDataFrame(
         [(f"c{i}", 1, t) for i, t in enumerate(totals)],
         "condition_name string, n_trials bigint, total_enrollment bigint",
     )
     labels = [r.label for r in reshape.enrollment_top8(df).collect()]
-    assert labels == ["118.7M", "1.2M", "500K", "0K"]
+    assert labels == ["1118.7M", "1.2M", "1.1M", "500K", "0K"]
 
 
 def test_freshness(registry):

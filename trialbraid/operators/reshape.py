@@ -123,9 +123,12 @@ def iqr_spread(result: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame
 def enrollment_top8(top_conditions: DataFrame, top: int = 8) -> DataFrame:
     """Largest conditions with a short label: ``118.7M`` or ``500K``."""
     total = F.col("total_enrollment")
-    label = F.when(
-        total >= 1_000_000, F.format_string("%.1fM", F.bround(total / F.lit(1e6), 1))
-    ).otherwise(F.format_string("%.0fK", F.bround(total / F.lit(1e3), 0)))
+
+    def short(divisor: float, digits: int, unit: str):
+        """Rounds the binary value, as printing a float does: 1.15 is below the half."""
+        return F.concat(F.replace(F.format_number(total / F.lit(divisor), digits), F.lit(",")), F.lit(unit))
+
+    label = F.when(total >= 1_000_000, short(1e6, 1, "M")).otherwise(short(1e3, 0, "K"))
     best = top_conditions.orderBy(F.desc("total_enrollment"), "condition_name").limit(top)
     return best.select("condition_name", "n_trials", "total_enrollment", label.alias("label"))
 
