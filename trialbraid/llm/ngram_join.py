@@ -14,8 +14,8 @@ common order (here: thin groups of a corpus-wide count vector first, so widely
 shared passages come last). Each such cell holds an R-tree of its own.
 
 1. Sets that are equal are one node.
-2. Every member of a cell is compared with the cell's first member, through
-   the bound and then in full. Links give components: a group of thousands
+2. Every member of a cell is compared with the cell's centre, the member that
+   shares most shingles with others, through the bound and then in full. Links give components: a group of thousands
    of near copies takes one comparison per copy and cell, not all pairs.
 3. Cells whose other members lie in several components are joined within by
    their R-tree, in blocks of bounded size, and survivors compared in full.
@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 
 from trialbraid.llm.arrowtext import Runs, mix, shingles, slices, text_bytes, words
 from trialbraid.llm.components import connected_components
-from trialbraid.llm.shared import stored
+from trialbraid.llm.shared import small, stored
 
 #: Words of a shingle.
 WIDTH = 5
-#: Coordinates of a point.
-GROUPS = 64
+#: Coordinates of a point, and of the folded points (sums of neighbours) in the nodes of a tree.
+GROUPS = 256
+FOLDED = 64
 #: Groups of the corpus-wide count vector; its logarithms are a broadcast of this many bytes.
 CORPUS_GROUPS = 1 << 18
 #: Points of a leaf of a tree, and points of a block of a cell.
@@ -136,6 +137,10 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.minimum(a, b).sum(-1, dtype=np.int64)
 
 
+def _folded(points: np.ndarray) -> np.ndarray:
+    return points.reshape(len(points), FOLDED, -1).sum(-1)
+
+
 def _may_link(overlap: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """100 * i >= percent * (a + b - i) for the largest possible overlap i."""
     return (100 + percent) * overlap >= percent * sizes
@@ -148,7 +153,10 @@ def tree_pairs(
 
     Leaves are packed by size and then by the halves with the larger share of
     the coordinates; each node keeps the upper corner and the smallest size.
+    Nodes are pruned by folded points, pairs by the folded and the full ones.
     """
+    full, full_queries = points, queries
+    points, queries = _folded(points), _folded(queries)
     lean = points[:, : points.shape[1] // 2].sum(1) / np.maximum(sizes, 1)
     slab = np.argsort(sizes, kind="stable")
     width = LEAF * max(int(np.sqrt(len(sizes) / LEAF)), 1)
@@ -188,8 +196,12 @@ def tree_pairs(
                         percent,
                     )
                 )
-                hits_q.append(low + mine[at_q])
-                hits_p.append(members[at_p])
+                at_q, at_p = low + mine[at_q], members[at_p]
+                fine = _may_link(
+                    overlap_bound(full_queries[at_q], full[at_p]), query_sizes[at_q] + sizes[at_p], percent
+                )
+                hits_q.append(at_q[fine])
+                hits_p.append(at_p[fine])
     none = np.empty(0, np.int64)
     return np.concatenate([none, *hits_q]), np.concatenate([none, *hits_p])
 
@@ -233,7 +245,7 @@ def _compare(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     wanted = stored(pairs.selectExpr("explode(array(a, b)) AS id").distinct())
-    texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi").select("doc_id", "text")
+    texts = docs.join(small(wanted), docs.doc_id == wanted.id, "left_semi").select("doc_id", "text")
     full = stored(texts.mapInArrow(sets, "id bigint, members binary"))
     joined = pairs.join(full.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b")
     joined = joined.join(full.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
@@ -278,10 +290,15 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> Da
     )
     sets = stored(sets)
     nodes = known.join(sets, ["h1", "h2", "n"]).where("doc_id = id").dropDuplicates(["id", "h1", "h2"])
-    tokens = nodes.selectExpr("id", "explode(rare) AS token")
-    first = tokens.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    first = stored(first.where("first != last").select("token", "first"))
-    cells = stored(tokens.join(first, "token"))
+    # Shingles of at least two different sets; copies collapse before the shuffle.
+    shared = known.selectExpr("h1", "explode(rare) AS token").groupBy("token")
+    shared = shared.agg(F.min("h1").alias("x"), F.max("h1").alias("y"), F.count("*").alias("n"))
+    shared = stored(shared.where("x != y").select("token", "n"))
+    cells = stored(nodes.selectExpr("id", "explode(rare) AS token").join(shared, "token"))
+    # The member with the most company is the one that others were copied from, if any was.
+    weight = cells.groupBy("id").agg(F.sum("n").alias("w"))
+    centre = cells.join(weight, "id").groupBy("token").agg(F.max_by("id", "w").alias("first"))
+    cells = cells.select("token", "id").join(stored(centre), "token")
     points = stored(nodes.select("id", "point"))
 
     def compared(pairs: DataFrame) -> DataFrame:
@@ -290,7 +307,8 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> Da
         near = stored(_within_bound(near.select("a", "b", "pa", "pb"), percent))
         return _compare(near, docs, width, percent)
 
-    stars = cells.where("first != id").selectExpr("first AS a", "id AS b").distinct()
+    stars = cells.where("first != id").selectExpr("least(first, id) AS a", "greatest(first, id) AS b")
+    stars = stars.distinct()
     # Texts of one doc_id hold together.
     same = known.join(sets, ["h1", "h2", "n"]).groupBy("doc_id").agg(
         F.min("id").alias("a"), F.max("id").alias("b")
@@ -298,12 +316,19 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> Da
     links = stored(compared(stars).union(same.where("a != b").select("a", "b")))
     component = connected_components(links)
 
-    # Cells whose members besides the first still lie in several components.
+    # Cells whose members besides the centre still lie in several components.
     rest = cells.where("first != id").join(component, "id", "left")
-    rest = rest.selectExpr("token", "id", "coalesce(component, id) AS component")
-    split = rest.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-    split = stored(split.where("x != y").select("token"))
-    rest = stored(rest.join(split, "token", "left_semi"))
+    rest = rest.selectExpr("token", "id", "coalesce(component, id) AS component").distinct()
+    split = rest.groupBy("token").agg(
+        F.min("component").alias("x"),
+        F.max("component").alias("y"),
+        F.count("*").alias("members"),
+        F.expr("bit_xor(xxhash64(id))").alias("u"),
+        F.expr("bit_xor(xxhash64(id, 1))").alias("v"),
+    )
+    # Of cells with the same members (the shingles of one shared passage) one is enough.
+    split = split.where("x != y").groupBy("members", "u", "v").agg(F.min("token").alias("token"))
+    rest = stored(rest.join(stored(split.select("token")), "token", "left_semi"))
     pairs = _cell_pairs(rest.join(points, "id"), percent).distinct()
     more = stored(compared(pairs))
     component = connected_components(links.union(more))
@@ -327,9 +352,9 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> DataFram
     doc_id, the one with the smallest text hash stays.
     """
     joined = join_documents(docs, width, percent)
-    dropped = stored(joined.where("doc_id != component_id").select("doc_id").distinct())
+    dropped = small(stored(joined.where("doc_id != component_id").select("doc_id").distinct()))
     repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
-    repeated = stored(repeated.select("doc_id"))
+    repeated = small(stored(repeated.select("doc_id")))
     kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
