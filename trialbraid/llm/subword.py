@@ -25,7 +25,7 @@ MARKER = "▁"
 #: Line breaks stand alone; a word keeps the markers before it.
 _CHUNK = re.compile(f"\n|{MARKER}*[^{MARKER}\n]+|{MARKER}+")
 #: Entries of the table before it is emptied.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 100_000
 
 
 def piece_model(name: str = "piece_bpe_32k.model") -> str:
