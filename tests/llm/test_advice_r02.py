@@ -1,0 +1,50 @@
+"""Cases of the second advice: each failed before its change."""
+
+from __future__ import annotations
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from trialbraid.llm import line_dedup
+
+
+def by_doc(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+# --- 10: line dedup ---------------------------------------------------------------------------------
+def all_common_runs(earlier, later, n_words, least):
+    """Plain version: lines in any common run of enough words, again for what is left."""
+    left, gone = list(range(len(later))), set()
+    while True:
+        now, found = [later[j] for j in left], set()
+        for i in range(len(earlier)):
+            for k in range(len(now)):
+                n = 0
+                while i + n < len(earlier) and k + n < len(now) and earlier[i + n] == now[k + n]:
+                    n += 1
+                if sum(n_words[j] for j in left[k : k + n]) >= least:
+                    found |= set(left[k : k + n])
+        if not found:
+            return sorted(gone)
+        gone |= found
+        left = [j for j in left if j not in found]
+
+
+LINES = st.lists(st.integers(0, 5), max_size=14)
+
+
+@settings(max_examples=400, deadline=None)
+@given(LINES, LINES, st.lists(st.integers(1, 35), min_size=6, max_size=6))
+def test_all_common_blocks_are_found(earlier, later, size):
+    n_words = [size[x] for x in later]
+    assert line_dedup.common_blocks(earlier, later, n_words) == all_common_runs(earlier, later, n_words, 30)
+
+
+def test_blocks_that_short_lines_cross():
+    p, h, g, a, b, s = range(6)
+    assert line_dedup.common_blocks([h, p], [p, h], [60, 1]) == [0]
+    assert line_dedup.common_blocks([p, h, g], [h, g, p], [1, 1, 60]) == [2]
+    assert line_dedup.common_blocks([a, s, b], [s, a, s, b], [1, 25, 1, 25]) == [1, 2, 3]
+    # Runs that overlap in a line.
+    assert line_dedup.common_blocks([a, b, 9, b, s], [a, b, s], [20, 20, 20]) == [0, 1, 2]

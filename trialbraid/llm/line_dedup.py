@@ -3,16 +3,17 @@
 Every run of consecutive lines that just reaches ``MIN_WORDS`` words is an
 anchor. All holders of an anchor are paired with its first holder only, so an
 anchor that a third of the documents share costs one pair per document, while
-rare anchors, held by two or three, find every overlap. Each pair is aligned by
-patience diff over its lines; aligned common blocks of at least ``MIN_WORDS``
-words go from the later document. What is left of it is aligned again, so moved
-and repeated blocks are found too.
+rare anchors, held by two or three, find every overlap. Each pair is aligned over
+its lines; all common blocks of at least ``MIN_WORDS`` words go from the later
+document. One rising chain of lines, as patience diff takes it, would leave out
+blocks that are moved, repeated or crossed by short lines, so every maximal
+common run is taken instead. What is left is aligned again.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -89,56 +90,71 @@ def _chain(hashes: np.ndarray) -> int:
     return int(mix(np.array([value]))[:1].view(np.int64)[0])
 
 
-def _numbered(hashes: Sequence[int]) -> list[tuple[int, int]]:
-    """Lines with the number of equal lines before them, which makes them unique."""
-    seen: dict[int, int] = {}
-    out = []
-    for h in hashes:
-        seen[h] = seen.get(h, -1) + 1
-        out.append((h, seen[h]))
-    return out
-
-
-def _longest_rising(values: Sequence[int]) -> list[int]:
-    """Indexes of a longest strictly rising subsequence (patience sorting)."""
-    tops: list[int] = []
-    piles: list[int] = []
-    before = [-1] * len(values)
-    for i, v in enumerate(values):
-        k = bisect_left(tops, v)
-        before[i] = piles[k - 1] if k else -1
-        tops[k : k + 1] = [v]
-        piles[k : k + 1] = [i]
-    out, i = [], piles[-1] if piles else -1
-    while i >= 0:
-        out.append(i)
-        i = before[i]
-    return out[::-1]
+def _substrings(symbols: Sequence[object]) -> tuple[list[dict], list[int], list[int]]:
+    """Transitions, suffix links and lengths of the suffix automaton of a sequence."""
+    step: list[dict] = [{}]
+    link, length = [-1], [0]
+    last = 0
+    for s in symbols:
+        new = len(step)
+        step.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and s not in step[p]:
+            step[p][s] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][s]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                clone = len(step)
+                step.append(dict(step[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and step[p].get(s) == q:
+                    step[p][s] = clone
+                    p = link[p]
+                link[q] = link[new] = clone
+        last = new
+    return step, link, length
 
 
 def common_blocks(
     earlier: Sequence[int], later: Sequence[int], n_words: Sequence[int], min_words: int = MIN_WORDS
 ) -> list[int]:
-    """Indexes of the lines of the later document that stand in aligned common blocks.
+    """Indexes of the lines of the later document that stand in common blocks.
 
-    A block is a run of lines that follow each other in both documents. After
-    each alignment the rest is aligned anew with the whole earlier document.
+    A block is a run of lines that follow each other in both documents. All
+    blocks of ``min_words`` words are found, wherever they stand: at each line
+    of the later document the suffix automaton of the earlier one gives the
+    longest run that ends there. After each pass the rest is aligned anew with
+    the whole earlier document.
     """
-    where = {line: i for i, line in enumerate(_numbered(earlier))}
+    known = set(later)
+    # Lines that the later document lacks only part the runs.
+    shared = [h if h in known else None for h in earlier]
+    shared = [h for i, h in enumerate(shared) if h is not None or (i and shared[i - 1] is not None)]
+    step, link, length = _substrings(shared)
     left = list(range(len(later)))
     deleted: list[int] = []
     while left:
-        numbered = _numbered([later[j] for j in left])
-        met = [(where[x], j) for x, j in zip(numbered, left) if x in where]
-        chain = [met[k] for k in _longest_rising([i for i, _ in met])]
+        total = [0, *accumulate(n_words[j] for j in left)]
         found: list[int] = []
-        block: list[tuple[int, int]] = []
-        for pair in [*chain, (-1, -1)]:
-            if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
-                if sum(n_words[j] for _, j in block) >= min_words:
-                    found += [j for _, j in block]
-                block = []
-            block.append(pair)
+        state = matched = done = 0
+        for k, j in enumerate(left):
+            while state and later[j] not in step[state]:
+                state = link[state]
+                matched = length[state]
+            if later[j] in step[state]:
+                state = step[state][later[j]]
+                matched += 1
+            start = k + 1 - matched
+            if matched and total[k + 1] - total[start] >= min_words:
+                # Starts never fall, so what lies before ``done`` is settled.
+                found += left[max(start, done) : k + 1]
+                done = k + 1
         if not found:
             break
         deleted += found
