@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -13,22 +15,26 @@ def by_doc(df):
 
 
 # --- 10: line dedup ---------------------------------------------------------------------------------
+def first_pass(earlier, later, n_words, least):
+    """Plain version: indexes of the lines in any common run of enough words."""
+    found = set()
+    for i in range(len(earlier)):
+        for k in range(len(later)):
+            n = 0
+            while i + n < len(earlier) and k + n < len(later) and earlier[i + n] == later[k + n]:
+                n += 1
+            if sum(n_words[k : k + n]) >= least:
+                found |= set(range(k, k + n))
+    return sorted(found)
+
+
 def all_common_runs(earlier, later, n_words, least):
-    """Plain version: lines in any common run of enough words, again for what is left."""
+    """The same, again for what is left."""
     left, gone = list(range(len(later))), set()
-    while True:
-        now, found = [later[j] for j in left], set()
-        for i in range(len(earlier)):
-            for k in range(len(now)):
-                n = 0
-                while i + n < len(earlier) and k + n < len(now) and earlier[i + n] == now[k + n]:
-                    n += 1
-                if sum(n_words[j] for j in left[k : k + n]) >= least:
-                    found |= set(left[k : k + n])
-        if not found:
-            return sorted(gone)
-        gone |= found
-        left = [j for j in left if j not in found]
+    while found := first_pass(earlier, [later[j] for j in left], [n_words[j] for j in left], least):
+        gone |= {left[k] for k in found}
+        left = [j for j in left if j not in gone]
+    return sorted(gone)
 
 
 LINES = st.lists(st.integers(0, 5), max_size=14)
@@ -48,3 +54,29 @@ def test_blocks_that_short_lines_cross():
     assert line_dedup.common_blocks([a, s, b], [s, a, s, b], [1, 25, 1, 25]) == [1, 2, 3]
     # Runs that overlap in a line.
     assert line_dedup.common_blocks([a, b, 9, b, s], [a, b, s], [20, 20, 20]) == [0, 1, 2]
+
+
+def test_tail_of_a_block_behind_a_shared_first_line(spark):
+    head, tail, other = (" ".join(f"{p}{i}" for i in range(n)) for p, n in (("h", 30), ("t", 29), ("o", 40)))
+    data = [(1, head), (2, f"{head}\n{tail}"), (3, f"{head}\n{tail}\n{other}")]
+    found = by_doc(line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id bigint, text string")))
+    assert found[2].text == tail and (found[3].text, found[3].n_deleted_words) == (other, 59)
+
+
+def test_blocks_shared_with_any_earlier_document_are_deleted(spark):
+    rng = random.Random(5)
+    size = [rng.choice((1, 4, 9, 16, 29, 31)) for _ in range(12)]
+    line = [" ".join(f"w{x}n{i}" for i in range(size[x])) for x in range(12)]
+    docs = [[rng.randrange(12) for _ in range(rng.randrange(1, 9))] for _ in range(60)]
+    data = [(d, "\n".join(line[x] for x in doc)) for d, doc in enumerate(docs)]
+    found = by_doc(line_dedup.dedup_lines(spark.createDataFrame(data, "doc_id bigint, text string")))
+    for d, doc in enumerate(docs):
+        n_words = [size[x] for x in doc]
+        gone = set()
+        for before in docs[:d]:
+            gone |= set(first_pass(before, doc, n_words, 30))
+        kept = found[d].text.split("\n") if found[d].text else []
+        assert len(doc) - len(kept) >= len(gone)
+        for j in gone:
+            # What an earlier document shares is not among the lines kept at its place.
+            assert kept.count(line[doc[j]]) <= sum(x == doc[j] and k not in gone for k, x in enumerate(doc))

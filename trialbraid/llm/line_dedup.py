@@ -1,9 +1,12 @@
 """Line dedup by pairwise alignment.
 
-Every run of consecutive lines that just reaches ``MIN_WORDS`` words is an
-anchor. All holders of an anchor are paired with its first holder only, so an
-anchor that a third of the documents share costs one pair per document, while
-rare anchors, held by two or three, find every overlap. Each pair is aligned over
+Every run of consecutive lines that just reaches ``MIN_WORDS`` words, counted
+from its first line on or from its last line back, is an anchor. All holders of
+an anchor are paired with its first holder only, so an anchor that a third of
+the documents share costs one pair per document. No block is lost by that: each
+line of a block that two documents share stands in an anchor within the block
+(that of the block's first line, or the one that ends with the line), and the
+first holder of that anchor has the line too. Each pair is aligned over
 its lines; all common blocks of at least ``MIN_WORDS`` words go from the later
 document. One rising chain of lines, as patience diff takes it, would leave out
 blocks that are moved, repeated or crossed by short lines, so every maximal
@@ -54,14 +57,15 @@ def _line_table(docs: DataFrame, min_words: int) -> DataFrame:
             full = np.flatnonzero(n_words > 0)
             hashes, n_words, place = line.hash[full], n_words[full], place[full]
             first = np.searchsorted(full, line.first)
-            # The anchor of a line ends with the first line that brings enough words.
+            # The anchors of a line end, or start, with the first line that brings enough words.
             total = np.concatenate([[0], np.cumsum(n_words)])
             end = np.searchsorted(total, total[:-1] + min_words)
-            limit = np.repeat(first[1:], np.diff(first))
-            anchors = [
-                [_chain(hashes[i:e]) for i, e in zip(range(a, b), end[a:b]) if e <= limit[i]]
-                for a, b in zip(first[:-1], first[1:])
-            ]
+            start = np.searchsorted(total, total[1:] - min_words, "right") - 1
+            anchors = []
+            for a, b in zip(first[:-1], first[1:]):
+                runs = {(i, e) for i, e in zip(range(a, b), end[a:b].tolist()) if e <= b}
+                runs |= {(i, e + 1) for i, e in zip(start[a:b].tolist(), range(a, b)) if i >= a}
+                anchors.append([_chain(hashes[i:e]) for i, e in runs])
             offsets32 = pa.array(first.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
