@@ -2,7 +2,8 @@
 
 Plain patterns give the base findings. Weak parts (identifiers, key-like
 tokens, endpoints) mean nothing alone; they are reported only where parts that
-complement each other stand close together. The parts become intervals, cut
+complement each other stand close together; for identifiers and endpoints an
+assigned secret among the base findings counts as the other part. The parts become intervals, cut
 into buckets of one scope, and an interval join within a document and its
 neighbouring buckets finds the pairs. Everything is SQL functions and joins.
 """
@@ -28,15 +29,19 @@ BASE = {
 #: Weak parts: kind and pattern.
 WEAK = {
     "identifier": (
-        r"""(?<![A-Za-z0-9])(?:(?:ASIA|AIDA|AROA|AKIA)[A-Z0-9]{8,15}(?![A-Z0-9])"""
-        r"""|(?:client|tenant|account|access_key)_?id["\']?\x20*[:=]\x20*["\']?[A-Za-z0-9._-]{6,64})"""
+        r"""(?:(?<![A-Za-z0-9])(?:ASIA|AIDA|AROA|AKIA)[A-Z0-9]{8,}+"""
+        r"""|(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:(?:client|tenant|account|access_?key)_?id)"""
+        r"""["\']?\x20*[:=]\x20*["\']?[A-Za-z0-9._-]{6,}+)"""
     ),
-    "key": r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_-]{32,88}={0,2}(?![A-Za-z0-9+/_=-])",
-    "endpoint": r"""(?:https?|postgres(?:ql)?|mysql|redis|amqps?|mongodb)://[^\s"\'<>]{4,200}""",
+    "key": r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])",
+    "endpoint": r"""(?:https?|postgres(?:ql)?|mysql|redis|amqps?|mongodb)://[^\s"\'<>]{4,}+""",
 }
+#: Base findings that complement weak parts.
+_COMPLEMENTS = ("access", "assign")
 #: A key has letters of both cases and a digit.
 _KEY_LIKE = "text RLIKE '[a-z]' AND text RLIKE '[A-Z]' AND text RLIKE '[0-9]'"
-#: Parts link when their starts are no further apart (code points).
+#: Parts link when the gap between them is no wider (code points). Parts have no
+#: upper length, so their starts may be further apart.
 SCOPE = 256
 _ORDER = [*BASE, *WEAK]
 _BLOCK = 256
@@ -111,43 +116,45 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def _weak(docs: DataFrame) -> DataFrame:
-    """Weak parts as rows (doc_id, text_key, kind, start, end)."""
+    """Weak parts and their complements of the base as rows (doc_id, text_key, kind, start, end)."""
     # Only texts that hold an identifier or an endpoint can link anything.
     anchors = f"text RLIKE {_literal(WEAK['identifier'])} OR contains(text, '://') OR contains(text, 'AKIA')"
     docs = docs.where(anchors)
     parts = []
-    for kind, pattern in [*WEAK.items(), ("access", BASE["access"][0])]:
+    for kind, pattern in [*WEAK.items(), *((k, BASE[k][0]) for k in _COMPLEMENTS)]:
         rows = _matches(docs, pattern, "hits", "doc_id", "text_key")
         rows = rows.selectExpr("doc_id", "text_key", "explode(hits) AS m")
         rows = rows.selectExpr("doc_id", "text_key", f"'{kind}' AS kind", "m.start", "m.end", "m.text")
         if kind == "key":
             rows = rows.where(_KEY_LIKE)
-        if kind == "access":
-            rows = rows.where(f"length(text) >= {BASE['access'][2]}")
+        if kind in _COMPLEMENTS:
+            _, group, least = BASE[kind]
+            rows = rows.where(f"length(regexp_extract(text, {_literal(pattern)}, {group})) >= {least}")
         parts.append(rows.drop("text"))
     return reduce(DataFrame.union, parts).distinct()
 
 
 def _linked(parts: DataFrame) -> DataFrame:
     """Weak parts with a complementary part within the scope, by an interval join."""
-    one = parts.selectExpr("*", f"start div {SCOPE} AS bucket")
+    one = parts.selectExpr(
+        "*", f"explode(sequence(start div {SCOPE}, end div {SCOPE})) AS bucket"
+    )
     near = parts.selectExpr(
-        "doc_id AS d2", "text_key AS t2", "kind AS k2", "start AS s2",
-        f"explode(array(start div {SCOPE} - 1, start div {SCOPE}, start div {SCOPE} + 1)) AS b2",
+        "doc_id AS d2", "text_key AS t2", "kind AS k2", "start AS s2", "end AS e2",
+        f"explode(sequence((start - {SCOPE}) div {SCOPE}, (end + {SCOPE}) div {SCOPE})) AS b2",
     )
     complement = F.expr("""
         (kind = 'key' AND k2 IN ('identifier', 'access', 'endpoint'))
-        OR (kind = 'identifier' AND k2 = 'key')
-        OR (kind = 'endpoint' AND k2 = 'key')
+        OR (kind IN ('identifier', 'endpoint') AND k2 IN ('key', 'assign'))
     """)
     pair = (
         F.col("doc_id").eqNullSafe(F.col("d2"))
         & (F.col("text_key") == F.col("t2"))
         & (F.col("bucket") == F.col("b2"))
-        & (F.abs(F.col("start") - F.col("s2")) <= SCOPE)
+        & (F.greatest("start", "s2") - F.least("end", "e2") <= SCOPE)
         & complement
     )
-    return one.join(near, pair, "left_semi").drop("bucket")
+    return one.join(near, pair, "left_semi").drop("bucket").distinct()
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
