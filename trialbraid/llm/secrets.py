@@ -29,7 +29,8 @@ BASE = {
 #: Weak parts: kind and pattern.
 WEAK = {
     "identifier": (
-        r"""(?:(?<![A-Za-z0-9])(?:ASIA|AIDA|AROA|AKIA)[A-Z0-9]{8,}+"""
+        # The first character is looked at alone, as most places fail there.
+        r"""(?=[ACTact])(?:(?<![A-Za-z0-9])(?:ASIA|AIDA|AROA|AKIA)[A-Z0-9]{8,}+"""
         r"""|(?:(?<![A-Za-z0-9])|(?<=[a-z0-9])(?=[A-Z]))(?i:(?:client|tenant|account|access_?key)_?id)"""
         r"""["\']?\x20*[:=]\x20*["\']?[A-Za-z0-9._-]{6,}+)"""
     ),
@@ -118,7 +119,7 @@ def _base(docs: DataFrame) -> DataFrame:
 def _weak(docs: DataFrame) -> DataFrame:
     """Weak parts and their complements of the base as rows (doc_id, text_key, kind, start, end)."""
     # Only texts that hold an identifier or an endpoint can link anything.
-    anchors = f"text RLIKE {_literal(WEAK['identifier'])} OR contains(text, '://') OR contains(text, 'AKIA')"
+    anchors = f"contains(text, '://') OR contains(text, 'AKIA') OR text RLIKE {_literal(WEAK['identifier'])}"
     docs = docs.where(anchors)
     parts = []
     for kind, pattern in [*WEAK.items(), *((k, BASE[k][0]) for k in _COMPLEMENTS)]:
