@@ -7,7 +7,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trialbraid.llm import line_dedup, secrets
+from trialbraid.llm import decontaminate, line_dedup, secrets
 
 
 def by_doc(df):
@@ -113,3 +113,13 @@ def test_parts_of_multipart_credentials(spark):
     found = by_doc(secrets.scan_secrets(frame))
     for i, (text, wanted) in enumerate(PAIRS):
         assert [(s.kind, text[s.start : s.end]) for s in found[i].spans] == wanted, text
+
+
+# --- 4: decontamination ------------------------------------------------------------------
+def test_long_item_without_an_id(spark):
+    passage = " ".join(f"word{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, passage)], "item_id bigint, text string")
+    found = by_doc(decontaminate.decontaminate(docs, items))
+    assert (found[1].n_hit, found[1].contaminated, found[1].item_ids) == (15, True, [])
+    assert (found[2].n_hit, found[2].contaminated) == (0, False)

@@ -80,7 +80,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     contaminated (n_hit > 0 and 20 * n_hit >= n_words). A null text has no
     words. Rows are told apart by doc_id (null included) and text, so repeated
     rows repeat their result. An empty benchmark hits nothing; items without
-    words are ignored. Other columns are not read.
+    words are ignored. A null item_id hits as any other, but item_ids and n_items
+    leave it out. Other columns are not read.
     """
     docs = docs.selectExpr(
         "doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS text_key"
@@ -92,7 +93,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
     # Documents that share a fingerprint, or the whole of a short item.
-    long_items = benchmark.join(items.where(f"size(words) >= {SPAN}"), "item_id", "left_semi")
+    long_items = benchmark.where(f"regexp_count(text, r'{WORD}') >= {SPAN}")
     prints = _fingerprints(long_items.select("text")).distinct()
     found = _fingerprints(docs, "doc_id", "text_key").join(prints, "print", "left_semi")
     suspects = found.select("doc_id", "text_key")
