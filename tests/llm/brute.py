@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 
 def sha(text: str | bytes) -> str:
@@ -108,3 +110,27 @@ def components(docs, percent: int = 80):
             x, y = sorted((find(da), find(db)))
             root[y] = x
     return [(d, len(s), find(d)) for d, s in sets]
+
+
+def ranked(docs, items, k: int = 50):
+    """(item_id, rank, doc_id, score) of the k best documents of every item."""
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    counted = [(d, Counter(term.findall(ascii_lower(text or "")))) for d, text in docs]
+    n_docs = sum(bool(c) for _, c in counted)
+    n_terms = sum(sum(c.values()) for _, c in counted)
+    df = Counter(t for _, c in counted for t in c)
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
+    out = []
+    for item, text in items:
+        wanted = set(term.findall(ascii_lower(text or "")))
+        scores = []
+        for doc, c in counted:
+            score = 0
+            for t in wanted & c.keys():
+                m = 100 - 50 + (50 * sum(c.values()) * n_docs) // n_terms
+                score += weight[t] * ((10**9 * c[t]) // (1000 * c[t] + 20 * m))
+            if score > 0:
+                scores.append((-score, doc is not None, doc))
+        for rank, (score, _, doc) in enumerate(sorted(scores)[:k], 1):
+            out.append((item, rank, doc, -score))
+    return out

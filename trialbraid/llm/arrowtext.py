@@ -20,6 +20,8 @@ _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_NO_TERM = np.ones(256, bool)
+_NO_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LINE_BREAK = np.zeros(256, bool)
 _LINE_BREAK[0x0A] = True
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
@@ -123,6 +125,13 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Runs:
     return Runs(_hash_runs(data, start, end), start, end, np.searchsorted(start, offsets))
 
 
+def term_runs(data: np.ndarray, offsets: np.ndarray) -> Runs:
+    """Runs of digits, letters and characters above ASCII, A-Z lower-cased."""
+    data = _LOWER[data]
+    start, end = _run_bounds(data, offsets, _NO_TERM)
+    return Runs(_hash_runs(data, start, end), start, end, np.searchsorted(start, offsets))
+
+
 def lines(data: np.ndarray, offsets: np.ndarray) -> Runs:
     """Non-empty lines of the texts, without their line breaks."""
     start, end = _run_bounds(data, offsets, _LINE_BREAK)

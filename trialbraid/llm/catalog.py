@@ -12,6 +12,7 @@ from trialbraid.llm import (
     ngram_join,
     oracle,
     quality_lm,
+    search,
     secrets,
     subword,
     token_counts,
@@ -109,6 +110,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 LLM_QUERIES = {
     f.__name__: f
     for f in (
@@ -122,9 +127,11 @@ LLM_QUERIES = {
         op8_language_id,
         op9_quality_rules,
         op10_line_dedup,
+        op13_ranked_search,
     )
 }
 LLM_ORACLE = {
     "op1_ngram_join": oracle.NGRAM_JOIN,
     "op4_decontamination": oracle.DECONTAMINATION,
+    "op13_ranked_search": oracle.RANKED_SEARCH,
 }

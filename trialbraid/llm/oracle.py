@@ -52,3 +52,26 @@ SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit,
     coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+RANKED_SEARCH = rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, {_WORDS} AS w FROM documents),
+corpus AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::bigint AS n_terms FROM docs),
+sizes AS MATERIALIZED (
+    SELECT d, doc_id, 100 - 50 + (50 * len(w) * n_docs) // n_terms AS m FROM docs, corpus WHERE len(w) > 0
+), freq AS MATERIALIZED (SELECT d, unnest(w) AS term, count(*) AS tf FROM docs GROUP BY ALL),
+weights AS MATERIALIZED (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint AS w
+    FROM freq, corpus GROUP BY term, n_docs
+), items AS MATERIALIZED (
+    SELECT i, item_id, unnest(list_distinct(w)) AS term
+    FROM (SELECT row_number() OVER () AS i, item_id, {_WORDS} AS w FROM benchmark)
+), scores AS (
+    SELECT i, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint AS score
+    FROM items JOIN weights USING (term) JOIN freq USING (term) JOIN sizes USING (d)
+    GROUP BY i, item_id, d, doc_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS FIRST) AS rank
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank::integer AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
