@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trialbraid.llm import (
     decontaminate,
@@ -16,6 +17,7 @@ from trialbraid.llm import (
     secrets,
     subword,
     token_counts,
+    turns,
     url_filter,
 )
 
@@ -110,6 +112,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped (marked absent), emptied, cut, repeated or given to the user, by a checksum."""
+    number = "crc32(concat(coalesce(cast(conv_id AS string), ' '), ':', coalesce(cast(turn AS string), ' '))) % 20"
+    return conversations.withColumn("damage", F.expr(number)).selectExpr(
+        "conv_id",
+        "turn",
+        "if(damage = 4, 'user', role) AS role",
+        "CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE text END AS text",
+        "explode(if(damage = 3, array(false, false), array(damage = 0))) AS absent",
+    )
+
+
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(damaged(_table(spark, sf_dir, "conversations"))).drop("repaired")
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -127,6 +145,7 @@ LLM_QUERIES = {
         op8_language_id,
         op9_quality_rules,
         op10_line_dedup,
+        op11_structure_repair,
         op13_ranked_search,
     )
 }

@@ -58,7 +58,7 @@ WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, {_WORDS} AS
 corpus AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::bigint AS n_terms FROM docs),
 sizes AS MATERIALIZED (
     SELECT d, doc_id, 100 - 50 + (50 * len(w) * n_docs) // n_terms AS m FROM docs, corpus WHERE len(w) > 0
-), freq AS MATERIALIZED (SELECT d, unnest(w) AS term, count(*) AS tf FROM docs GROUP BY ALL),
+), freq AS MATERIALIZED (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM docs) GROUP BY d, term),
 weights AS MATERIALIZED (
     SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint AS w
     FROM freq, corpus GROUP BY term, n_docs
