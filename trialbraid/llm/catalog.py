@@ -17,6 +17,7 @@ from trialbraid.llm import (
     secrets,
     subword,
     token_counts,
+    toxicity,
     turns,
     url_filter,
 )
@@ -128,6 +129,14 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(damaged(_table(spark, sf_dir, "conversations"))).drop("repaired")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = "coalesce(crc32(cast(doc_id AS string)) % 5 = 0, false)"
+    classifier = toxicity.train(docs.where(f"NOT ({held_out})"), _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, classifier)
+    return scored.selectExpr("doc_id", f"{held_out} AS held_out", "score", "predicted")
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -146,6 +155,7 @@ LLM_QUERIES = {
         op9_quality_rules,
         op10_line_dedup,
         op11_structure_repair,
+        op12_toxicity,
         op13_ranked_search,
     )
 }
