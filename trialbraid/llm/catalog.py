@@ -162,5 +162,6 @@ LLM_QUERIES = {
 LLM_ORACLE = {
     "op1_ngram_join": oracle.NGRAM_JOIN,
     "op4_decontamination": oracle.DECONTAMINATION,
+    "op11_structure_repair": oracle.STRUCTURE_REPAIR,
     "op13_ranked_search": oracle.RANKED_SEARCH,
 }

@@ -75,3 +75,85 @@ weights AS MATERIALIZED (
 )
 SELECT item_id, rank::integer AS rank, doc_id, score FROM ranked WHERE rank <= 50
 """
+
+
+def _edit(state: str, cost: str, letter: str, row: str = "''") -> str:
+    """SQL: a state (cost, audit, repaired rows) after one more edit."""
+    rows = f"{state}.r" if row == "''" else f"CASE WHEN {state}.r = '' THEN {row} ELSE {state}.r || chr(10) || {row} END"
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {rows}}}"
+
+
+def _kept(state: str, role: str) -> str:
+    return f"CASE WHEN fault NOT IN ('b', 'd') AND role[1] = '{role}' THEN {_edit(state, 'extra', 'K', 'role || chr(58) || text')} END"
+
+
+def _changed(state: str, role: str) -> str:
+    edit = _edit(state, "extra + 3", "R", f"'{role}:' || text")
+    return f"CASE WHEN fault NOT IN ('b', 'd') THEN {edit} END"
+
+
+_GONE = "{'c': 1000000000, 'a': '', 'r': ''}"
+#: The states 0 to 3 are: nothing yet, after system, after user, after assistant.
+STRUCTURE_REPAIR = rf"""
+WITH RECURSIVE bits AS (
+    SELECT i, 0 AS k, i::bigint AS c FROM range(256) t(i)
+    UNION ALL
+    SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+source AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS key
+    FROM conversations
+), numbered AS (
+    SELECT s.*, xor(4294967295, list_reduce(
+        list_prepend(4294967295::bigint, list_transform(range(1, len(key) + 1), lambda i: ord(key[i])::bigint)),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS damage
+    FROM source s, crc
+), damaged AS (
+    SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(CASE damage WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM numbered WHERE damage != 0
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), ordered AS MATERIALIZED (
+    SELECT *, CASE
+        WHEN NOT regexp_matches(text, '[^ \x09-\x0D]') THEN 'b'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+        WHEN regexp_extract(text, '([^ \x09-\x0D])[ \x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't'
+        ELSE '' END AS fault,
+        coalesce(lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au'), false) AS illegal
+    FROM placed
+), steps AS (
+    SELECT conv_id, 0::bigint AS i, {{'c': 0, 'a': '', 'r': ''}} AS s0, {_GONE} AS s1,
+        {{'c': 3, 'a': 'I', 'r': 'user:'}} AS s2,
+        {{'c': 6, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:'}} AS s3
+    FROM (SELECT DISTINCT conv_id FROM conversations)
+    UNION ALL
+    SELECT conv_id, i, n0, n1, m2, list_min([n3, {_edit("m2", "3", "I", "'assistant:'")}]) FROM (
+        SELECT *, list_min([n2, {_edit("n0", "3", "I", "'user:'")}, {_edit("n1", "3", "I", "'user:'")},
+            {_edit("n3", "3", "I", "'user:'")}]) AS m2
+        FROM (
+            SELECT p.conv_id, o.i, CASE fault WHEN 't' THEN 3 ELSE 0 END AS extra,
+                {_edit("s0", "4", "D")} AS n0,
+                list_min([{_edit("s1", "4", "D")}, {_kept("s0", "s")}]) AS n1,
+                list_min([{_edit("s2", "4", "D")}, {_kept("s0", "u")}, {_kept("s1", "u")}, {_kept("s3", "u")},
+                    {_changed("s0", "user")}, {_changed("s1", "user")}, {_changed("s3", "user")}]) AS n2,
+                list_min([{_edit("s3", "4", "D")}, {_kept("s2", "a")}, {_changed("s2", "assistant")}]) AS n3
+            FROM steps p JOIN ordered o ON o.conv_id IS NOT DISTINCT FROM p.conv_id AND o.i = p.i + 1
+        )
+    )
+), last AS (
+    SELECT conv_id, max_by(list_min([s0, s3]), i) AS best FROM steps GROUP BY conv_id
+), faults AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal
+    FROM ordered GROUP BY conv_id
+)
+SELECT l.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0) AS blank,
+    coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, best.c::bigint AS cost, best.a AS audit,
+    sha256(best.r) AS repaired_sha256
+FROM last l LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM l.conv_id
+"""
