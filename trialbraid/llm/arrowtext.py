@@ -27,7 +27,16 @@ _LINE_BREAK[0x0A] = True
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {_BASE: np.ones(1, np.uint64), _BASE_INVERSE: np.ones(1, np.uint64)}
+
+
+class Local(dict):
+    """Values kept by a process; functions that travel to executors take it along empty."""
+
+    def __reduce__(self):
+        return Local, ()
+
+
+_powers = Local()
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -64,7 +73,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers[base]) < n:
+    if base not in _powers or len(_powers[base]) < n:
         steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)

@@ -52,7 +52,7 @@ _CLEAN = {"polite", "digits"}
 ROUNDS = (10, 6, 6)
 EDGE = 30.0
 #: Documents the regression is fitted on at most, hashed words, least z of a word, steps, ridge.
-MAX_FITTED = 20_000
+MAX_FITTED = 10_000
 BUCKET_BITS = 16
 WORD_Z = 4.0
 STEPS, RATE, RIDGE = 300, 2.0, 1e-5
@@ -165,27 +165,43 @@ def _sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _lists(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes))
+def _keys(texts: DataFrame) -> DataFrame:
+    """(toxic, sketch, text_key) of labelled texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            runs = term_runs(*text_bytes(part.column("text")))
+            sketch = pa.array(_sketches(*_distinct(runs, part.num_rows)))
+            columns = [part.column("toxic"), sketch, part.column("text_key")]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "sketch", "text_key"])
+
+    return texts.mapInArrow(run, "toxic int, sketch bigint, text_key bigint")
 
 
-def _with_words(texts: DataFrame) -> DataFrame:
-    """(toxic, sketch, words) of labelled texts."""
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """(word, k, n): weight of toxic and of all texts (text, toxic, weight) that hold a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             runs = term_runs(*text_bytes(part.column("text")))
             hashes, bounds = _distinct(runs, part.num_rows)
-            columns = [
-                part.column("toxic"),
-                pa.array(_sketches(hashes, bounds)),
-                _lists(hashes.view(np.int64), bounds),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "sketch", "words"])
-
-    return texts.select("text", "toxic").mapInArrow(
-        run, "toxic int, sketch bigint, words array<bigint>"
-    )
+            weight = part.column("weight").to_numpy()
+            toxic = part.column("toxic").to_numpy() * weight
+            word, at = np.unique(hashes, return_inverse=True)
+            each = np.diff(bounds)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(word.view(np.int64)),
+                    pa.array(np.bincount(at, np.repeat(toxic, each), len(word))),
+                    pa.array(np.bincount(at, np.repeat(weight, each), len(word))),
+                ],
+                names=["word", "k", "n"],
+            )
+
+    counts = texts.select("text", "toxic", "weight").mapInArrow(run, "word bigint, k double, n double")
+    counts = counts.groupBy("word").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+    # Weights are fractions of whole texts; the sums are whole again.
+    return counts.selectExpr("word", "round(k, 3) AS k", "round(n, 3) AS n")
 
 
 def learn_lexicon(labelled: DataFrame) -> Lexicon:
@@ -194,13 +210,15 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
     A word's toxic share counts each group of near copies once per label; its
     lower Wilson bound puts it into a band. At most ``MAX_WORDS`` words.
     """
-    rows = stored(_with_words(labelled).dropDuplicates(["sketch", "toxic"]))
-    held = rows.selectExpr("toxic", "explode(words) AS word").groupBy("word")
-    held = held.agg(F.sum("toxic").alias("k"), F.count("*").alias("n")).where(f"k >= {MIN_DOCUMENTS}")
+    keyed = labelled.selectExpr("text", "toxic", "xxhash64(coalesce(text, '')) AS text_key")
+    each = _keys(keyed).groupBy("sketch", "toxic", "text_key").agg(F.count("*").alias("rows"))
+    first = each.groupBy("sketch", "toxic").agg(F.min(F.struct("text_key", "rows")).alias("first"))
+    first = first.selectExpr("toxic AS label", "first.text_key AS key", "1D / first.rows AS weight")
+    first = small(stored(first.distinct()))
+    one = (F.col("text_key") == F.col("key")) & (F.col("toxic") == F.col("label"))
+    held = _word_counts(keyed.join(first, one)).where(f"k >= {MIN_DOCUMENTS}")
     z2 = Z * Z
-    share = (
-        f"(k + {z2 / 2}D - {Z}D * sqrt(cast(k AS double) * (n - k) / n + {z2 / 4}D)) / (n + {z2}D)"
-    )
+    share = f"(k + {z2 / 2}D - {Z}D * sqrt(k * (n - k) / n + {z2 / 4}D)) / (n + {z2}D)"
     best = held.selectExpr("word", f"{share} AS bound").where(f"bound >= {BANDS[0]}")
     best = best.orderBy(F.desc("bound"), "word").limit(MAX_WORDS).toArrow()
     word, bound = (best.column(c).to_numpy() for c in ("word", "bound"))
@@ -211,13 +229,14 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
 
 def _with_votes(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(doc_id, sketch, votes) of every text."""
-    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+    shared = texts.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = Lexicon(*shared.value)
         for part in slices(batches):
             data, offsets = text_bytes(part.column("text"))
             runs = term_runs(data, offsets)
-            votes = votes_of(data, offsets, runs, shared.value)
+            votes = votes_of(data, offsets, runs, lists)
             sketch = _sketches(*_distinct(runs, part.num_rows))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(sketch), pa.array(votes)],
@@ -379,16 +398,28 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
+def _with_buckets(texts: DataFrame) -> DataFrame:
+    """(sketch, buckets): distinct hashed words of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            runs = term_runs(*text_bytes(part.column("text")))
+            sketch = pa.array(_sketches(*_distinct(runs, part.num_rows)))
+            pairs = np.unique((runs.text_of() << BUCKET_BITS) + _buckets(runs.hash))
+            bounds = np.searchsorted(pairs, np.arange(part.num_rows + 1) << BUCKET_BITS)
+            held = pa.array((pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), held)
+            yield pa.RecordBatch.from_arrays([sketch, lists], names=["sketch", "buckets"])
+
+    return texts.select("text").mapInArrow(run, "sketch bigint, buckets array<int>")
+
+
 def _fit_classifier(lexicon: Lexicon, votes: np.ndarray, words: pa.Array, label: np.ndarray) -> Classifier:
     """Logistic regression on posterior labels; words with no clear link to them have no weight."""
     n = len(votes)
-    lengths = words.value_lengths().to_numpy(zero_copy_only=False)
-    bucket = _buckets(words.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-    row = np.repeat(np.arange(n), lengths)
+    bucket = words.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(n, dtype=np.int32), words.value_lengths().to_numpy(zero_copy_only=False))
     size = 1 << BUCKET_BITS
-    # A bucket once per row.
-    pairs = np.unique((row << BUCKET_BITS) + bucket)
-    row, bucket = pairs >> BUCKET_BITS, pairs & (size - 1)
     share = label.mean() if n else 0.0
     held = np.bincount(bucket, minlength=size)
     toxic = np.bincount(bucket, label[row], size)
@@ -440,13 +471,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     few = voted.where(f"{key} <= {last}") if last is not None else voted.limit(0)
     few = few.groupBy("sketch").agg(F.min("doc_id").alias("doc_id"))
     few = docs.join(F.broadcast(few), "doc_id")  # at most MAX_FITTED rows
-    shown = _with_words(few.selectExpr("text", "0 AS toxic")).dropDuplicates(["sketch"])
+    shown = _with_buckets(few).dropDuplicates(["sketch"])
     own = voted.groupBy("sketch").agg(F.max("votes").alias("votes"))
-    table = shown.join(own, "sketch").select("sketch", "words", "votes").toArrow().sort_by("sketch")
+    table = shown.join(own, "sketch").select("sketch", "buckets", "votes").toArrow().sort_by("sketch")
     votes = table.column("votes").to_numpy()
     label = model.posterior(_fired(votes))
-    words = table.column("words").combine_chunks()
-    words = words if isinstance(words, pa.ListArray) else pa.concat_arrays(words.chunks)
+    words = pa.concat_arrays(table.column("buckets").chunks or [pa.array([], pa.list_(pa.int32()))])
     return _fit_classifier(lexicon, votes, words, label)
 
 
@@ -457,11 +487,16 @@ def score_documents(docs: DataFrame, classifier: Classifier) -> DataFrame:
     for which no voter fires. Repeated rows repeat their result; other columns
     are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    lists, c = classifier.lexicon, classifier
+    shared = docs.sparkSession.sparkContext.broadcast(
+        (lists.words, lists.bits, c.words, c.voters, c.bias)
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits, *weights = shared.value
+        own = Classifier(Lexicon(words, bits), *weights)
         for part in slices(batches):
-            score = shared.value.score(*text_bytes(part.column("text")))
+            score = own.score(*text_bytes(part.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                 names=["doc_id", "score", "predicted"],
