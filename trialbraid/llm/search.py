@@ -84,16 +84,17 @@ def _filter_of(items: DataFrame) -> np.ndarray:
     return np.packbits(flags)
 
 
-class _Block:
-    """Items with their terms, rarest first, as flat arrays over a sorted vocabulary."""
+def _block(entries: pa.Table) -> tuple[np.ndarray, ...]:
+    """Items with their terms, rarest first, as flat arrays over a sorted vocabulary.
 
-    def __init__(self, entries: pa.Table):
-        item, term, weight = (entries.column(c).to_numpy() for c in ("item", "term", "w"))
-        order = np.lexsort((term, -weight, item))
-        item, term, self.weights = item[order], term[order], weight[order]
-        self.vocabulary, self.terms = np.unique(term, return_inverse=True)
-        self.items, start = np.unique(item, return_index=True)
-        self.bounds = np.append(start, len(item))
+    Items, bounds of their terms, places of the terms in the vocabulary, weights, vocabulary.
+    """
+    item, term, weight = (entries.column(c).to_numpy() for c in ("item", "term", "w"))
+    order = np.lexsort((term, -weight, item))
+    item, term, weight = item[order], term[order], weight[order]
+    vocabulary, places = np.unique(term, return_inverse=True)
+    items, start = np.unique(item, return_index=True)
+    return items, np.append(start, len(item)), places, weight, vocabulary
 
 
 def _postings(batch: pa.RecordBatch, vocabulary: np.ndarray, n_docs: int, n_terms: int):
@@ -158,30 +159,30 @@ def _best_first(pair):
     return (-score, doc is not None, doc)
 
 
-def _search(rows: DataFrame, block: _Block, n_docs: int, n_terms: int, k: int) -> DataFrame:
+def _search(rows: DataFrame, block: tuple, n_docs: int, n_terms: int, k: int) -> DataFrame:
     """(item, doc_id, score): the k best documents of every task for every item of the block."""
     shared = rows.sparkSession.sparkContext.broadcast(block)
     kind = rows.schema["doc_id"].dataType
     id_type = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        best: list[list] = [[] for _ in own.items]
+        items, bounds, places, weights, vocabulary = shared.value
+        best: list[list] = [[] for _ in items]
         for whole in batches:
             for low in range(0, whole.num_rows, BATCH_DOCS):
                 batch = whole.slice(low, BATCH_DOCS)
-                postings = _postings(batch, own.vocabulary, n_docs, n_terms)
+                postings = _postings(batch, vocabulary, n_docs, n_terms)
                 ids = batch.column("doc_id")
                 scores = np.zeros(batch.num_rows, np.int64)
-                for i in range(len(own.items)):
-                    some = slice(own.bounds[i], own.bounds[i + 1])
+                for i in range(len(items)):
+                    some = slice(bounds[i], bounds[i + 1])
                     floor = best[i][-1][0] if len(best[i]) == k else 0
-                    found = best_rows(own.terms[some], own.weights[some], postings, scores, k, floor)
+                    found = best_rows(places[some], weights[some], postings, scores, k, floor)
                     if len(found):
                         pairs = zip(scores[found].tolist(), ids.take(pa.array(found)).to_pylist())
                         best[i] = sorted([*best[i], *pairs], key=_best_first)[:k]
                     scores[:] = 0
-        item = np.repeat(own.items, [len(b) for b in best])
+        item = np.repeat(items, [len(b) for b in best])
         flat = [pair for b in best for pair in b]
         yield pa.RecordBatch.from_arrays(
             [
@@ -229,7 +230,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = BEST, entries: int = BLOC
     found = None
     for b in range(blocks):
         part = weighed.where(f"pmod(xxhash64(item), {blocks}) = {b}")
-        own = _search(rows, _Block(part.toArrow()), n_docs, n_terms, k)
+        own = _search(rows, _block(part.toArrow()), n_docs, n_terms, k)
         found = own if found is None else found.union(own)
     # Two steps, so that no task reads the results of all tasks for one item.
     found = found.withColumn("merge", F.expr(f"pmod(spark_partition_id(), {MERGES})"))

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from trialbraid.llm.arrowtext import Local
 from trialbraid.llm.shared import stored
 
 #: Row symbols of a block; rows and characters of a chunk.
@@ -184,9 +184,14 @@ class Tables:
         return v, cost, state
 
 
-@lru_cache(maxsize=1)
+_tables = Local()
+
+
 def tables() -> Tables:
-    return Tables()
+    """The tables, built once per process."""
+    if "all" not in _tables:
+        _tables["all"] = Tables()
+    return _tables["all"]
 
 
 def finish(state: int) -> str:
