@@ -27,31 +27,38 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _grams(words: str, length: int, salt: int = 0) -> str:
-    """SQL: hashes of all runs of ``length`` words, by position."""
+    """SQL: hashes of all runs of ``length`` words, by position; no run is copied."""
     seed = f"{salt}, " if salt else ""
+    behind = "".join(f", get({words}, i + {j})" for j in range(1, length))
     return (
         f"transform(slice({words}, 1, greatest(size({words}) - {length - 1}, 0)), "
-        f"(x, i) -> xxhash64({seed}slice({words}, i + 1, {length})))"
+        f"(x, i) -> xxhash64({seed}x{behind}))"
     )
 
 
-def _minima(grams: str) -> str:
-    """SQL: the distinct minima of all winnowing windows of the grams."""
-    return (
-        f"array_distinct(transform(slice({grams}, 1, greatest(size({grams}) - {WINDOW - 1}, 0)), "
-        f"(x, i) -> array_min(slice({grams}, i + 1, {WINDOW}))))"
-    )
+def _least(values: str, step: int, count: int) -> str:
+    """SQL: by position, the least of ``count`` values that lie ``step`` apart."""
+    behind = ", ".join(f"get({values}, i + {step * j})" for j in range(1, count))
+    return f"transform({values}, (x, i) -> least(x, {behind}))"
 
 
-def _word_hashes(texts: DataFrame, *keep: str) -> DataFrame:
-    """Word hashes; a word's case is folded alone, so equal words stay equal."""
-    found = texts.selectExpr(*keep, f"regexp_extract_all(text, r'{WORD}', 0) AS words")
-    return found.selectExpr(*keep, "transform(words, w -> xxhash64(lower(w))) AS hashes")
+def _prints(texts: DataFrame, *keep: str) -> DataFrame:
+    """Number of words, distinct minima of all winnowing windows, and hashes of the words.
 
-
-def _fingerprints(texts: DataFrame, *keep: str) -> DataFrame:
-    grams = _word_hashes(texts, *keep).selectExpr(*keep, f"{_grams('hashes', GRAM)} AS grams")
-    return grams.selectExpr(*keep, f"explode({_minima('grams')}) AS print")
+    The words are taken once; a word's case is folded alone, so equal words stay equal.
+    """
+    words = texts.selectExpr(*keep, f"regexp_extract_all(text, r'{WORD}', 0) AS words")
+    words = words.selectExpr(*keep, "transform(words, w -> xxhash64(lower(w))) AS hashes")
+    grams = words.selectExpr(*keep, "hashes", f"{_grams('hashes', GRAM)} AS grams")
+    # A window of nine grams is three neighbours of three.
+    three = grams.selectExpr(*keep, "hashes", f"{_least('grams', 1, 3)} AS three")
+    nine = three.selectExpr(*keep, "hashes", f"{_least('three', 3, WINDOW // 3)} AS nine")
+    return nine.selectExpr(
+        *keep,
+        "cast(size(hashes) AS bigint) AS n_words",
+        f"array_distinct(slice(nine, 1, greatest(size(nine) - {WINDOW - 1}, 0))) AS prints",
+        "hashes",
+    )
 
 
 def _exact_words(texts: DataFrame, *keep: str) -> DataFrame:
@@ -64,12 +71,17 @@ def _exact_words(texts: DataFrame, *keep: str) -> DataFrame:
 
 
 def _positions(words: DataFrame, length: int, *keep: str) -> DataFrame:
-    """Every run of ``length`` words as 128 bits, with its position."""
+    """Every run of ``length`` words as 128 bits, with its position.
+
+    The outer form, because below a plain explode the optimizer puts a test of
+    the array that computes it a second time, with the words inside of it anew.
+    """
     pairs = words.selectExpr(
         *keep,
-        f"posexplode(arrays_zip({_grams('words', length)}, {_grams('words', length, 1)})) "
+        f"posexplode_outer(arrays_zip({_grams('words', length)}, {_grams('words', length, 1)})) "
         "AS (pos, run)",
     )
+    pairs = pairs.where("pos IS NOT NULL")
     return pairs.selectExpr(*keep, "pos", f"{length} AS len", "run.`0` AS h1", "run.`1` AS h2")
 
 
@@ -92,17 +104,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         r.n for r in items.selectExpr("size(words) AS n").where(f"n < {SPAN}").distinct().collect()
     )
 
-    # Documents that share a fingerprint, or the whole of a short item.
-    long_items = benchmark.where(f"regexp_count(text, r'{WORD}') >= {SPAN}")
-    prints = _fingerprints(long_items.select("text")).distinct()
-    found = _fingerprints(docs, "doc_id", "text_key").join(prints, "print", "left_semi")
-    suspects = found.select("doc_id", "text_key")
-    hashes = _word_hashes(docs, "doc_id", "text_key") if short else None
+    # Documents that share a fingerprint, or the whole of a short item. All words are hashed
+    # once; the hashes themselves are stored only where short items look them up.
+    hashed = _prints(docs, "doc_id", "text_key")
+    hashed = stored(hashed if short else hashed.drop("hashes"))
+    prints = _prints(benchmark, "item_id").selectExpr("explode_outer(prints) AS print").distinct()
+    found = hashed.selectExpr("doc_id", "text_key", "explode_outer(prints) AS print")
+    suspects = found.join(prints, "print", "left_semi").select("doc_id", "text_key")
     for n in short:
         own = items.where(f"size(words) = {n}").selectExpr(
-            f"explode({_grams('transform(words, w -> xxhash64(lower(w)))', n)}) AS print"
+            f"explode_outer({_grams('transform(words, w -> xxhash64(lower(w)))', n)}) AS print"
         )
-        grams = hashes.selectExpr("doc_id", "text_key", f"explode({_grams('hashes', n)}) AS print")
+        grams = hashed.selectExpr("doc_id", "text_key", f"explode_outer({_grams('hashes', n)}) AS print")
         own = own.distinct()
         suspects = suspects.union(grams.join(own, "print", "left_semi").select("doc_id", "text_key"))
     suspects = stored(suspects.distinct())
@@ -116,7 +129,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = None
     for n in [*short, SPAN]:
         wanted = items.where(f"size(words) {'>=' if n == SPAN else '='} {n}")
-        wanted = _positions(wanted, n, "item_id").drop("pos").distinct()
+        # Broadcast where measured as small, so that shared passages move no words of documents.
+        wanted = small(stored(_positions(wanted, n, "item_id").drop("pos").distinct()))
         met = _positions(words, n, "doc_id", "text_key").join(wanted, ["len", "h1", "h2"])
         met = met.select("doc_id", "text_key", "pos", "len", "item_id")
         hits = met if hits is None else hits.union(met)
@@ -135,7 +149,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key")),
     )
     summary = summary.selectExpr("a.doc_id", "a.text_key", "n_hit", "item_ids")
-    counted = docs.selectExpr("doc_id", "text_key", f"cast(regexp_count(text, r'{WORD}') AS bigint) AS n_words")
+    counted = hashed.select("doc_id", "text_key", "n_words")
     result = counted.alias("d").join(summary.alias("s"), same, "left")
     return result.selectExpr(
         "d.doc_id",
