@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialbraid.llm.shared import stored
+
 #: Base patterns: kind, pattern, and the smallest length of a group of the match.
 BASE = {
     "assign": (
@@ -124,7 +126,8 @@ def _weak(docs: DataFrame) -> DataFrame:
     parts = []
     for kind, pattern in [*WEAK.items(), *((k, BASE[k][0]) for k in _COMPLEMENTS)]:
         rows = _matches(docs, pattern, "hits", "doc_id", "text_key")
-        rows = rows.selectExpr("doc_id", "text_key", "explode(hits) AS m")
+        # Below a plain explode the optimizer tests, and so computes, the matches a second time.
+        rows = rows.selectExpr("doc_id", "text_key", "explode_outer(hits) AS m").where("m IS NOT NULL")
         rows = rows.selectExpr("doc_id", "text_key", f"'{kind}' AS kind", "m.start", "m.end", "m.text")
         if kind == "key":
             rows = rows.where(_KEY_LIKE)
@@ -171,7 +174,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         "doc_id", "xxhash64(coalesce(text, '')) AS text_key", "coalesce(text, '') AS text"
     )
     base = _base(docs)
-    linked = _linked(_weak(docs)).groupBy("doc_id", "text_key").agg(
+    # Both sides of the interval join read the parts, which are found once.
+    linked = _linked(stored(_weak(docs))).groupBy("doc_id", "text_key").agg(
         F.collect_set(
             F.struct(
                 "start",
