@@ -6,7 +6,6 @@ A batch is cut into slices of a few megabytes, so memory depends on the slice
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,8 +41,6 @@ _powers = Local()
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Row slices of at most ``SLICE_BYTES`` of text, or of a single row."""
-    # Functions of earlier tasks and their caches are cycles that a worker would keep.
-    gc.collect()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
