@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from checks.oracle import _half_even_pct, _half_up, _in, _s, sql
 from trialbraid import vocab
+from trialbraid.schema import STAR_SCHEMAS
 
 _FLAT = """nct AS nct_id, status_group, phase_clean, start_date, completion_date,
     primary_completion_date, enrolled AS enrollment, pre_covid_start, date_error"""
@@ -51,6 +52,13 @@ def _audit() -> str:
     return sql(body, *tables)
 
 
+def _cells(table: str, columns: list[str], **changed: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT study_id, {_s(c)} AS column_name, CAST({changed.get(c, c)} AS VARCHAR) AS v FROM {table}"
+        for c in columns
+    )
+
+
 def _counts(column: str, label: str) -> str:
     return f"SELECT {_s(label)} AS column_name, {column} AS value, count(*) AS n FROM grouped GROUP BY 2"
 
@@ -193,6 +201,19 @@ _IQR = "duration_median - duration_q1 AS spread_down, duration_q3 - duration_med
 
 ORACLE: dict[str, str] = {
     "scan_raw_csv": sql(f"SELECT {_RAW_OUT} FROM raw", "raw"),
+    "scan_multiline_csv": sql(
+        """SELECT k, nct AS nct_id, conditions, CASE WHEN k % 3 = 0
+        THEN concat(title, chr(10), '"line", ', k) ELSE title END AS title FROM base JOIN raw ON ingest_pos = k""",
+        "raw",
+    ),
+    "rejected_csv": sql(
+        """SELECT concat(ingest_pos, CASE ingest_pos % 100 WHEN 1 THEN ',' || replace(status, ',', ';')
+            WHEN 2 THEN ',' || replace(status, ',', ';') || ',"a' || chr(10) || 'b",more'
+            ELSE ',"' || replace(status, ',', ';') || '" x,y' END) AS text,
+        ['too few fields', 'too many fields', 'text behind a closing quote'][ingest_pos % 100] AS reason
+        FROM raw WHERE ingest_pos % 100 BETWEEN 1 AND 3""",
+        "raw",
+    ),
     "scan_clean_csv": sql(f"SELECT {_FLAT} FROM flat", "flat"),
     "sink_clean_flat": sql(f"SELECT {_FLAT} FROM flat", "flat"),
     "sink_tables": _audit(),
@@ -565,6 +586,21 @@ ORACLE: dict[str, str] = {
         "raw",
         "flat",
     ),
+    "dq_load_drift": sql(
+        f"""SELECT *, round(missing_pct - previous_pct, 1) AS change_points,
+            coalesce(abs(round(missing_pct - previous_pct, 1)) > 5, false) AS alert
+        FROM (SELECT *, lag(missing_pct) OVER (PARTITION BY table_name, column_name ORDER BY load_no) AS previous_pct
+            FROM (SELECT study_id % 3 + 1 AS load_no, 'studies' AS table_name, column_name, count(*) AS n_rows,
+                count(*) FILTER (v IS NULL) AS missing, {_half_even_pct("count(*) FILTER (v IS NULL)", "count(*)")} AS missing_pct
+                FROM ({_cells("studies", STAR_SCHEMAS["studies"].names, completion_date=
+                    "CASE WHEN study_id % 3 != 2 OR study_id % 2 != 0 THEN completion_date END")})
+                GROUP BY 1, 3 UNION ALL
+                SELECT study_id % 3 + 1, 'conditions', column_name, count(*), count(*) FILTER (v IS NULL),
+                {_half_even_pct("count(*) FILTER (v IS NULL)", "count(*)")}
+                FROM ({_cells("conditions", STAR_SCHEMAS["conditions"].names)}) GROUP BY 1, 3))""",
+        "studies",
+        "conditions",
+    ),
     "dq_freshness": sql(
         """SELECT max(updated) AS newest_update,
         (DATE '2021-04-16' - max(updated))::INTEGER AS age_days,

@@ -8,8 +8,12 @@ import pytest
 
 from trialbraid.catalog import QUERIES, clean, raw, star
 from trialbraid.operators import profile
+from trialbraid.sources import files
 
-WRITES = {"scan_raw_csv", "scan_clean_csv", "sink_clean_flat", "sink_tables", "reset_tables"}
+WRITES = {
+    "scan_raw_csv", "scan_multiline_csv", "rejected_csv", "scan_clean_csv", "sink_clean_flat",
+    "sink_tables", "reset_tables",
+}
 
 
 def plan_of(df) -> str:
@@ -34,6 +38,15 @@ def test_cleaning_needs_no_shuffle(spark, sf_dir):
     assert "Exchange" not in plan_of(clean(spark, sf_dir))
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_csv_records_need_no_shuffle_and_are_parsed_once(spark, tmp_path, multi_line):
+    (tmp_path / "a.csv").write_text("k,t\n" + '1,"x"\n' * 9)
+    plan = plan_of(files.scan_csv(spark, str(tmp_path), multi_line).select("t"))
+    assert "Exchange" not in plan and "Window" not in plan
+    # One scan of the text; the records that cross splits are a table of their own.
+    assert plan.count("FileScan text") == 1 and plan.count("from_csv") == 1 + multi_line
+
+
 def without_broadcast(spark, sf_dir, name) -> str:
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
@@ -86,3 +99,15 @@ def test_window_over_everything_only_sees_aggregates(spark, sf_dir):
         above = plan[: plan.index("Exchange SinglePartition")]
         below = plan[plan.index("Exchange SinglePartition") :]
         assert "FileScan" not in above and "HashAggregate" in below
+
+
+@pytest.mark.parametrize(
+    # The types without any number are a second question to the source.
+    ("name", "scans"), [("enrollment_describe", 1), ("enrollment_by_study_type", 2)]
+)
+def test_enrollment_reports_build_one_histogram(spark, sf_dir, name, scans):
+    df = QUERIES[name](spark, sf_dir)
+    df.collect()
+    plan = plan_of(df)
+    final = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert final.count("FileScan") == scans and "ReusedExchange" in final

@@ -8,8 +8,9 @@ and reading back is what they show.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,38 @@ def scan_raw_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scan_multiline_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extract whose titles hold line breaks, quotes and commas, in files of many splits."""
+    folder = stored.work_folder(spark, "scan_multiline_csv")
+    title = "CASE WHEN k % 3 = 0 THEN concat(Title, '\n\"line\", ', k) ELSE Title END"
+    cells = raw_registry(spark, sf_dir, ["NCT Number", "Title", "Conditions"])
+    cells = cells.withColumn("k", F.col(INGEST_POS)).withColumn("Title", F.expr(title))
+    files.write_flat(cells.select("k", "NCT Number", "Title", "Conditions"), folder, "csv")
+    return files.scan_raw_csv(spark, folder).selectExpr(
+        "cast(k AS bigint) AS k", "`NCT Number` AS nct_id", "Title AS title", "Conditions AS conditions"
+    )
+
+
+def rejected_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry lines of which some lack a field, have one more, or text behind a quote."""
+    folder = stored.work_folder(spark, "rejected_csv")
+    cells = raw_registry(spark, sf_dir, ["Status"])
+    cells = cells.withColumn("Status", F.regexp_replace("Status", ",", ";"))
+    line = f"""CASE {INGEST_POS} % 100 WHEN 1 THEN concat({INGEST_POS}, ',', Status)
+        WHEN 2 THEN concat({INGEST_POS}, ',', Status, ',\"a\nb\",more')
+        WHEN 3 THEN concat({INGEST_POS}, ',\"', Status, '\" x,y')
+        ELSE concat({INGEST_POS}, ',', Status, ',\"a\nb\"') END"""
+
+    def with_head(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The header in front of the lines of a task, which become one file.
+        yield pd.DataFrame({"line": ["k,status,note"]})
+        yield from parts
+
+    lines = cells.selectExpr(f"{line} AS line").mapInPandas(with_head, "line string")
+    lines.write.mode("overwrite").text(folder)
+    return files.rejected_csv(spark, folder).select("text", "reason")
+
+
 def _clean_extract(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Raw CSV, scanned and cleaned."""
     path = _raw_extract(spark, sf_dir, name)
@@ -107,25 +140,55 @@ def sink_clean_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan_clean(spark, path).selectExpr(*FLAT_OUTPUT)
 
 
+def _flat_star(spark: SparkSession, sf_dir: str, name: str) -> Star:
+    """The star over the clean flat file, written once for all seven tables."""
+    path = stored.work_folder(spark, f"{name}_flat")
+    files.write_flat(cleaning.clean_pipeline(raw_registry(spark, sf_dir)), path)
+    return Star.of_flat(files.scan_clean(spark, path))
+
+
 def sink_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same load twice is one load."""
     folder = stored.work_folder(spark, "sink_tables")
+    load = _flat_star(spark, sf_dir, "sink_tables")
     stored.reset_tables(spark, folder)
-    stored.append_tables(star(spark, sf_dir), folder)
-    stored.append_tables(star(spark, sf_dir), folder, repeated="skip")
+    stored.append_tables(load, folder)
+    stored.append_tables(load, folder, repeated="skip")
     return tables.row_count_audit(stored.read_star(spark, folder))
 
 
 def reset_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two loads with a reset between them leave one load."""
     folder = stored.work_folder(spark, "reset_tables")
+    load = _flat_star(spark, sf_dir, "reset_tables")
     stored.reset_tables(spark, folder)
-    stored.append_tables(star(spark, sf_dir), folder)
+    stored.append_tables(load, folder)
     stored.reset_tables(spark, folder)
-    stored.append_tables(star(spark, sf_dir), folder)
+    stored.append_tables(load, folder)
     return tables.row_count_audit(stored.read_star(spark, folder))
 
 
+def load_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads by study key; the newest one has no dates on half of its studies."""
+    folder = stored.work_folder(spark, "dq_load_drift")
+    path = stored.work_folder(spark, "dq_load_drift_flat")
+    files.write_flat(cleaning.clean_pipeline(raw_registry(spark, sf_dir)), path)
+    flat = files.scan_clean(spark, path)
+    key = rules.study_key("`NCT Number`")
+    stored.reset_tables(spark, folder)
+    for part in range(3):
+        rows = flat.filter(f"{key} % 3 = {part}")
+        if part == 2:
+            rows = rows.withColumn("Completion Date", F.expr(f"if({key} % 2 = 0, NULL, `Completion Date`)"))
+        stored.append_tables(Star.of_flat(rows), folder)
+    drift = quality.load_drift(stored.load_profiles(spark, folder))
+    order = "dense_rank() OVER (ORDER BY number)"
+    return drift.filter("table_name IN ('studies', 'conditions')").selectExpr(
+        f"cast({order} AS bigint) AS load_no", "table_name", "column_name", "n_rows", "missing",
+        "missing_pct", "previous_pct", "change_points", "alert",
+    )
+
+
 # --- Cleaning, row by row --------------------------------------------------------
 def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [*vocab.STUDY_DATE_COLUMNS, *vocab.POSTED_DATE_COLUMNS]
@@ -195,6 +258,8 @@ def _on_kept(operator: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "scan_raw_csv": scan_raw_csv,
+    "scan_multiline_csv": scan_multiline_csv,
+    "rejected_csv": rejected_csv,
     "scan_clean_csv": scan_clean_csv,
     "sink_clean_flat": sink_clean_flat,
     "sink_tables": sink_tables,
@@ -331,5 +396,6 @@ QUERIES: dict[str, Query] = {
     # checks for a daily load
     "dq_bounds": _on_raw(quality.bounds),
     "dq_null_drift": lambda s, d: quality.null_drift(raw(s, d), clean(s, d)),
+    "dq_load_drift": load_drift,
     "dq_freshness": _on_raw(lambda r: quality.freshness(r, dt.date(2021, 4, 16))),
 }

@@ -47,6 +47,22 @@ def enrollment_number(c: str) -> str:
     return f"CASE WHEN {number} RLIKE {plain} THEN try_cast({number} AS double) END"
 
 
+def beyond_integer(number: str) -> str:
+    """Whether a parsed enrollment has no place in an integer column."""
+    return f"coalesce(abs({number}) > 2147483647, false)"
+
+
+def has_star_place(nct_id: str, enrollment: str) -> str:
+    """A registry number, and an enrollment text that is no number beyond an integer.
+
+    Only a cell with ten digits or an exponent is parsed. The cell stands once
+    in front of that, because a filter computes what it names each time anew.
+    """
+    large = f"coalesce({enrollment} RLIKE '[0-9]{{10}}|[0-9.][eE]', false)"
+    beyond = beyond_integer(enrollment_number(enrollment))
+    return f"{nct_id} IS NOT NULL AND NOT ({large} AND {beyond})"
+
+
 def parse_date(c: str, lenient: bool = False) -> str:
     """Date of ``2020-11-09`` or ``November 9, 2020``; other text gives NULL.
 

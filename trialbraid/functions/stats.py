@@ -81,25 +81,79 @@ def spread_quantiles(
     range in a task of its own. Keys are not NULL. Without keys there is one
     row, with NULLs where there is no value.
     """
+    return _of_ranges(histogram, keys, value, weight, probabilities)[1]
+
+
+def spread_summary(
+    histogram: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weight: str,
+    probabilities: Mapping[str, float],
+) -> DataFrame:
+    """The quantiles of :func:`spread_quantiles`, and n_values, mean, stddev, min and max.
+
+    The ranges carry the moments of their values: count, sum, and the squares
+    about their own mean, which are small against the values of a narrow range.
+    So everything comes out of the one histogram. Groups without a value are
+    left out; without keys there is one row always.
+    """
+    ranges, found = _of_ranges(histogram, keys, value, weight, probabilities)
+    total = "(sum(sum_) * sum(sum_) / sum(n_))"
+    moments = tally(
+        ranges,
+        *keys,
+        n_values="coalesce(sum(n_), 0L)",
+        mean="sum(sum_) / sum(n_)",
+        stddev=f"sqrt(greatest(sum(around_) + sum(sum_ * sum_ / n_) - {total}, 0D) / nullif(sum(n_) - 1, 0))",
+        min="min(least_)",
+        max="max(largest_)",
+    )
+    both = moments.unionByName(found, allowMissingColumns=True)
+    columns = ["n_values", "mean", "stddev", "min", "max", *probabilities]
+    return tally(both, *keys, **{c: f"max({c})" for c in columns})
+
+
+def _of_ranges(
+    histogram: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    weight: str,
+    probabilities: Mapping[str, float],
+) -> tuple[DataFrame, DataFrame]:
+    """The ranges of the values with their moments, and the quantiles."""
     # Falls and rises with the value; doubles reach from -1074 to 1024 binary orders.
     order = (
         f"if({value} = 0, 0D, signum({value}) * (10000 + floor(log2(abs({value})) * 8)))"
     )
+    # The join below asks for a range; asked here, the histogram is the same plan for all its readers.
     valued = histogram.filter(f"{value} IS NOT NULL").withColumn("range_", F.expr(order))
+    valued = valued.filter("range_ IS NOT NULL")
     whole = Window.partitionBy(*keys)
     running = whole.orderBy("range_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = tally(valued, *keys, "range_", n_=f"sum({weight})").withColumns(
+    product = f"cast({value} AS double) * {weight}"
+    ranges = tally(
+        valued,
+        *keys,
+        "range_",
+        n_=f"sum({weight})",
+        sum_=f"sum({product})",
+        around_=f"sum({product} * {value}) - sum({product}) * sum({product}) / sum({weight})",
+        least_=f"min({value})",
+        largest_=f"max({value})",
+    )
+    counted = ranges.select(*keys, "range_", "n_").withColumns(
         {"upto_": F.sum("n_").over(running), "total_": F.sum("n_").over(whole)}
     )
     ranks = [f"{f}({p}D * (total_ - 1))" for p in probabilities.values() for f in ("floor", "ceil")]
     holds = " OR ".join(f"(upto_ - n_ <= {r} AND {r} < upto_)" for r in ranks)
-    held = ranges.filter(holds).selectExpr(*keys, "range_", "upto_ - n_ AS before_", "total_")
+    held = counted.filter(holds).selectExpr(*keys, "range_", "upto_ - n_ AS before_", "total_")
     inside = Window.partitionBy(*keys, "range_").orderBy(value)
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = valued.join(held, [*keys, "range_"]).withColumn(
         "upto_", F.col("before_") + F.sum(weight).over(inside)
     )
-    return tally(ranked, *keys, **{c: _quantile(p, value) for c, p in probabilities.items()})
+    return ranges, tally(ranked, *keys, **{c: _quantile(p, value) for c, p in probabilities.items()})
 
 
 def _quantile(p: float, value: str) -> str:

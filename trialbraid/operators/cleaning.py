@@ -11,6 +11,8 @@ from trialbraid import vocab
 from trialbraid.functions import rules
 from trialbraid.functions.text import name
 
+#: Flag of the clean file: the row has a place in the star.
+IN_STAR = "in_star"
 PLACEHOLDER_COLUMNS = ["Completion Date", "Primary Completion Date"]
 
 
@@ -79,4 +81,5 @@ def clean_pipeline(
     flat = parse_dates(flat, vocab.STUDY_DATE_COLUMNS, lenient_dates)
     flat = null_placeholder_dates(flat, rules.cutoff_after(rules.date_literal(extraction)))
     flat = with_date_flags(flat)
+    flat = flat.withColumn(IN_STAR, F.expr(rules.has_star_place("`NCT Number`", "Enrollment")))
     return with_enrollment_number(flat)

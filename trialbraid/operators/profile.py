@@ -62,21 +62,16 @@ def enrollment_describe(flat: DataFrame) -> DataFrame:
     One row always; without any value the count is 0 and the rest NULL.
     """
     values = cleaning.with_enrollment_number(flat).filter("Enrollment IS NOT NULL")
-    histogram = tally(values, "Enrollment", n=COUNT)
-    moments = tally(
-        values,
-        n_values=COUNT,
-        mean="round(avg(Enrollment), 6)",
-        stddev="round(stddev_samp(Enrollment), 6)",
-        min="min(Enrollment)",
-        max="max(Enrollment)",
+    summary = stats.spread_summary(
+        tally(values, "Enrollment", n=COUNT),
+        [],
+        "Enrollment",
+        "n",
+        {"q1": 0.25, "median": 0.5, "q3": 0.75},
     )
-    quartiles = stats.spread_quantiles(
-        histogram, [], "Enrollment", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    return summary.selectExpr(
+        "n_values", *[f"round({c}, 6) AS {c}" for c in ("mean", "stddev")], "min", "q1", "median", "q3", "max"
     )
-    columns = ["n_values", "mean", "stddev", "min", "q1", "median", "q3", "max"]
-    both = moments.unionByName(quartiles, allowMissingColumns=True)
-    return tally(both, **{c: f"max({c})" for c in columns})
 
 
 def enrollment_flags(flat: DataFrame) -> DataFrame:
@@ -101,16 +96,11 @@ def enrollment_by_study_type(flat: DataFrame) -> DataFrame:
         .withColumnRenamed("Study Type", "study_type")
         .filter("study_type IS NOT NULL")
     )
-    medians = stats.spread_quantiles(
-        tally(typed, "study_type", "Enrollment", n=COUNT),
-        ["study_type"],
-        "Enrollment",
-        "n",
-        {"median": 0.5},
-    )
-    means = tally(typed, "study_type", mean="avg(Enrollment)", max="max(Enrollment)")
-    summary = means.join(medians, "study_type", "left")
-    return summary.selectExpr(
+    histogram = tally(typed, "study_type", "Enrollment", n=COUNT)
+    summary = stats.spread_summary(histogram, ["study_type"], "Enrollment", "n", {"median": 0.5})
+    # Types without any number have a row of their own.
+    types = histogram.select("study_type").distinct()
+    return types.join(summary, "study_type", "left").selectExpr(
         "study_type", *[f"bround({c}, 0) AS {c}" for c in ("median", "mean", "max")]
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialbraid import vocab
@@ -51,6 +51,24 @@ def null_drift(previous: DataFrame, current: DataFrame, limit_points: float = 5.
     )
 
 
+def load_drift(profiles: DataFrame, limit_points: float = 5.0) -> DataFrame:
+    """Missing share per column of every load against the load before it.
+
+    ``profiles`` (number, table_name, column_name, n_rows, missing) has one row per
+    load and column, so no row of a load is read. A column that its table has
+    had in no earlier load has no previous share and no alert; a load without
+    rows has a share of 0.
+    """
+    share = "coalesce(bround(100.0D * missing / nullif(n_rows, 0), 1), 0D)"
+    column = Window.partitionBy("table_name", "column_name").orderBy("number")
+    rows = profiles.withColumn("missing_pct", F.expr(share))
+    rows = rows.withColumn("previous_pct", F.lag("missing_pct").over(column))
+    change = F.round(F.col("missing_pct") - F.col("previous_pct"), 1)
+    return rows.withColumn("change_points", change).withColumn(
+        "alert", F.coalesce(F.abs("change_points") > limit_points, F.lit(False))
+    )
+
+
 def freshness(flat: DataFrame, today: dt.date, max_age_days: int = 1) -> DataFrame:
     """Newest update and whether it is older than the expected cadence."""
     newest = extraction_date(flat).select(F.col("extraction_date").alias("newest_update"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trialbraid import vocab
 from trialbraid.functions import rules, text
+from trialbraid.operators.cleaning import IN_STAR
 from trialbraid.schema import INGEST_POS, STAR_SCHEMAS
 
 _STUDY_COLUMNS = {
@@ -33,12 +34,17 @@ _STUDY_COLUMNS = {
 #: Why a row of the flat file has no place in the star.
 REJECTS = {
     "no registry number": "`NCT Number` IS NULL",
-    "enrollment out of range": "coalesce(abs(Enrollment) > 2147483647, false)",
+    "enrollment out of range": rules.beyond_integer("Enrollment"),
 }
 
 
 def accepted(flat: DataFrame) -> DataFrame:
-    """The rows that the star takes; :func:`rejected_rows` counts the others."""
+    """The rows that the star takes; :func:`rejected_rows` counts the others.
+
+    The clean file says so in one flag, so a builder need not read what decides it.
+    """
+    if IN_STAR in flat.columns:
+        return flat.filter(IN_STAR)
     return flat.filter(f"NOT ({' OR '.join(f'({e})' for e in REJECTS.values())})")
 
 
