@@ -608,3 +608,6 @@ ORACLE: dict[str, str] = {
         "grouped",
     ),
 }
+
+# The same question over stored loads has the same answer.
+ORACLE["q4b_merged_loads"] = ORACLE["q4b_specialization_index"]

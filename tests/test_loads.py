@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
 from trialbraid.operators import cleaning, quality
 from trialbraid.operators.star import Star, row_count_audit
+from trialbraid.plans import duration, geography, landscape
 from trialbraid.schema import STAR_SCHEMAS
 from trialbraid.sources import commits
 from trialbraid.sources import tables as stored
@@ -163,3 +165,28 @@ def test_drift_is_seen_in_the_load_that_has_it_without_its_rows(spark, tmp_path,
     assert "load=" not in plan.replace("profile/load=", "") and "nct_id" not in plan
     stored.reset_tables(spark, folder)
     assert stored.load_profiles(spark, folder).count() == 0
+
+
+def test_merged_label_sets_give_the_answers_of_all_children(spark, tmp_path, load):
+    """Three loads; the last one gives a stored study one more condition and place."""
+    folder = str(tmp_path)
+    stored.append_tables(load(1, 2, Locations="A, Paris, France|B, Rome, Italy"), folder)
+    stored.append_tables(load(3, Conditions="COVID-19", Locations="C, Lima, Peru"), folder)
+    more = load(2, Conditions="Depression", Locations="D, Cairo, Egypt")
+    late = Star(lambda t: getattr(more, t).limit(0) if t in ("studies", "study_design") else getattr(more, t))
+    stored.append_tables(late, folder)
+    merged = stored.read_star(spark, folder)
+    plain = Star(lambda name: getattr(merged, name))
+    for plan in (
+        landscape.area_distribution,
+        geography.continent_counts,
+        lambda star: geography.specialization_index(star, 1),
+        lambda star: duration.duration_by_area(star, 0),
+        duration.duration_by_area_and_phase,
+    ):
+        assert plan(merged).collect() == plan(plain).collect()
+    areas = {r.therapeutic_area: r.trial_count for r in landscape.area_distribution(merged).collect()}
+    assert areas["Mental Health"] == 1
+    text = geography.specialization_index(merged)._jdf.queryExecution().executedPlan().toString()
+    read = set(re.findall(r"ReadSchema: struct<([^>]*)>", text))
+    assert read == {"study_id:bigint,areas:int,continents:int"}

@@ -12,7 +12,7 @@ from trialbraid.sources import files
 
 WRITES = {
     "scan_raw_csv", "scan_multiline_csv", "rejected_csv", "scan_clean_csv", "sink_clean_flat",
-    "sink_tables", "reset_tables",
+    "sink_tables", "reset_tables", "dq_load_drift", "q4b_merged_loads",
 }
 
 

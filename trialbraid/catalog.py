@@ -168,6 +168,18 @@ def reset_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.row_count_audit(stored.read_star(spark, folder))
 
 
+def merged_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The specialization index over three loads, from the label sets they keep."""
+    folder = stored.work_folder(spark, "q4b_merged_loads")
+    path = stored.work_folder(spark, "q4b_merged_loads_flat")
+    files.write_flat(cleaning.clean_pipeline(raw_registry(spark, sf_dir)), path)
+    stored.reset_tables(spark, folder)
+    for part in range(3):
+        rows = files.scan_clean(spark, path).filter(f"{rules.study_key('`NCT Number`')} % 3 = {part}")
+        stored.append_tables(Star.of_flat(rows), folder)
+    return geography.specialization_index(stored.read_star(spark, folder))
+
+
 def load_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three loads by study key; the newest one has no dates on half of its studies."""
     folder = stored.work_folder(spark, "dq_load_drift")
@@ -346,6 +358,7 @@ QUERIES: dict[str, Query] = {
     "q3b_top_conditions": _on_star(enrollment.top_conditions),
     "q4a_continent_counts": _on_star(geography.continent_counts),
     "q4b_specialization_index": _on_star(geography.specialization_index),
+    "q4b_merged_loads": merged_index,
     "q4m_country_map": _on_star(geography.country_map),
     "q5a_duration_by_phase": _on_star(duration.duration_by_phase),
     "q5b_duration_by_area": _on_star(duration.duration_by_area),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbraid import vocab
-from trialbraid.functions import rules, text
+from trialbraid.functions import rules, stats, text
 from trialbraid.operators.cleaning import IN_STAR
 from trialbraid.schema import INGEST_POS, STAR_SCHEMAS
 
@@ -173,18 +173,54 @@ BUILDERS = {
 }
 
 
+#: Label sets of studies: the table, column and vocabulary they come from.
+LABELS = {
+    "areas": ("conditions", "therapeutic_area", vocab.AREAS),
+    "continents": ("locations", "continent", vocab.CONTINENTS),
+}
+
+
+def label_bits(star: Star, kind: str) -> DataFrame:
+    """(study_id, bit) of every child with a label."""
+    table, label, vocabulary = LABELS[kind]
+    children = getattr(star, table).filter(f"{label} IS NOT NULL")
+    return children.selectExpr("study_id", f"{stats.label_bit(label, vocabulary)} AS bit")
+
+
+def label_sets(star: Star) -> DataFrame:
+    """(study_id, areas, continents): both label sets of every study with a label, as bits."""
+    parts = [
+        label_bits(star, kind).selectExpr(
+            "study_id", *[f"{'bit' if k == kind else 0} AS {k}" for k in LABELS]
+        )
+        for kind in LABELS
+    ]
+    return merged_labels(reduce(DataFrame.union, parts))
+
+
+def merged_labels(sets: DataFrame) -> DataFrame:
+    """One row per study of label sets that stand in several rows, or in several loads."""
+    return sets.groupBy("study_id").agg(*[F.bit_or(k).alias(k) for k in LABELS])
+
+
 class Star:
     """The seven tables, each built on first use.
 
     Built from a clean flat file, or over stored tables (see
     ``sources.tables.read_star``); the questions do not see a difference.
+    ``labels`` gives stored rows of label sets (study_id, areas, continents),
+    so that questions on areas and continents need not read the children.
     """
 
     def __init__(
-        self, make: Callable[[str], DataFrame], count: Callable[[], DataFrame] | None = None
+        self,
+        make: Callable[[str], DataFrame],
+        count: Callable[[], DataFrame] | None = None,
+        labels: Callable[[], DataFrame] | None = None,
     ):
         self._make = make
         self._count = count
+        self._labels = labels
         self._tables: dict[str, DataFrame] = {}
 
     @classmethod
@@ -197,6 +233,16 @@ class Star:
         """One row, one column: the number of studies, without building them."""
         return self._count() if self._count else self.studies.agg(F.count("*"))
 
+    def label_masks(self, kind: str) -> DataFrame:
+        """(study_id, mask): the distinct areas or continents of each study as bits."""
+        bits = self._labels().selectExpr("study_id", f"{kind} AS bit") if self._labels else label_bits(self, kind)
+        masks = bits.groupBy("study_id").agg(F.bit_or("bit").alias("mask"))
+        return masks.filter("mask != 0") if self._labels else masks
+
+    def label_sets(self) -> DataFrame:
+        """(study_id, areas, continents) of each study with one of them."""
+        return merged_labels(self._labels()) if self._labels else label_sets(self)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in STAR_SCHEMAS:
             raise AttributeError(name)

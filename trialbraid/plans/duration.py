@@ -9,7 +9,6 @@ from trialbraid import vocab
 from trialbraid.functions import stats
 from trialbraid.functions.stats import COUNT, tally
 from trialbraid.operators.star import Star
-from trialbraid.plans.landscape import study_labels
 
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 _ROUNDED = [f"round({q}, 0) AS duration_{q}" for q in _QUARTILES]
@@ -61,7 +60,7 @@ def _area_histogram(star: Star, trials: DataFrame, *keys: str) -> DataFrame:
     per study and no key can be hot. Trials are counted by mask first; only
     the distinct combinations are spread over their areas.
     """
-    masks = study_labels(star.conditions, "therapeutic_area", vocab.AREAS)
+    masks = star.label_masks("areas")
     sets = tally(trials.join(masks, "study_id"), "mask", *keys, "duration_days", n=COUNT)
     area = f"explode({stats.labels_of('mask', vocab.AREAS)}) AS therapeutic_area"
     spread = sets.selectExpr(*keys, "duration_days", "n", area)

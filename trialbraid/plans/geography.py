@@ -9,12 +9,11 @@ from trialbraid import vocab
 from trialbraid.functions import stats
 from trialbraid.functions.stats import COUNT, tally
 from trialbraid.operators.star import Star
-from trialbraid.plans.landscape import study_labels
 
 
 def continent_counts(star: Star) -> DataFrame:
     """q4a: distinct trials per continent and share of the located trials."""
-    sets = tally(study_labels(star.locations, "continent", vocab.CONTINENTS), "mask", n=COUNT)
+    sets = tally(star.label_masks("continents"), "mask", n=COUNT)
     labels = stats.labels_or_all("mask", vocab.CONTINENTS)
     counts = tally(
         sets.selectExpr("n", f"explode({labels}) AS continent"), "continent", trial_count="sum(n)"
@@ -47,26 +46,15 @@ def label_cells(star: Star) -> DataFrame:
     only the distinct pairs are spread over their labels. All totals the index
     needs are cells of the same small result.
     """
-    place = stats.label_bit("continent", vocab.CONTINENTS)
-    topic = stats.label_bit("therapeutic_area", vocab.AREAS)
-    places = star.locations.filter("continent IS NOT NULL").selectExpr(
-        "study_id", f"{place} AS place", "0 AS topic"
-    )
-    topics = star.conditions.filter("therapeutic_area IS NOT NULL").selectExpr(
-        "study_id", "0 AS place", f"{topic} AS topic"
-    )
-    per_study = tally(
-        places.union(topics), "study_id", places="bit_or(place)", topics="bit_or(topic)"
-    )
     cells = (
-        tally(per_study, "places", "topics", n=COUNT)
+        tally(star.label_sets(), "continents", "areas", n=COUNT)
         .selectExpr(
-            "n", "topics", f"explode({stats.labels_or_all('places', vocab.CONTINENTS)}) AS continent"
+            "n", "areas", f"explode({stats.labels_or_all('continents', vocab.CONTINENTS)}) AS continent"
         )
         .selectExpr(
             "n",
             "continent",
-            f"explode({stats.labels_or_all('topics', vocab.AREAS)}) AS therapeutic_area",
+            f"explode({stats.labels_or_all('areas', vocab.AREAS)}) AS therapeutic_area",
         )
     )
     return tally(cells, "continent", "therapeutic_area", n="sum(n)")

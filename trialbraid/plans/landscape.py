@@ -38,8 +38,7 @@ def status_distribution(star: Star) -> DataFrame:
 
 def area_distribution(star: Star) -> DataFrame:
     """q1c: distinct trials per area; a trial counts once in each of its areas."""
-    labels = study_labels(star.conditions, "therapeutic_area", vocab.AREAS)
-    counts = trials_per_label(labels, "therapeutic_area", vocab.AREAS)
+    counts = trials_per_label(star.label_masks("areas"), "therapeutic_area", vocab.AREAS)
     total = star.n_studies().scalar()
     return (
         counts.withColumn("total", total)
@@ -71,14 +70,6 @@ def monthly_timeline(star: Star) -> DataFrame:
     ).orderBy("month")
 
 
-def study_labels(children: DataFrame, label: str, vocabulary: list[str]) -> DataFrame:
-    """(study_id, mask): the distinct labels of each study as bits."""
-    bits = children.filter(f"{label} IS NOT NULL").selectExpr(
-        "study_id", f"{stats.label_bit(label, vocabulary)} AS bit"
-    )
-    return tally(bits, "study_id", mask="bit_or(bit)")
-
-
 def trials_per_label(labels: DataFrame, column: str, vocabulary: list[str]) -> DataFrame:
     """(label, trial_count): studies are counted by label set, then spread out."""
     sets = tally(labels, "mask", n=COUNT)

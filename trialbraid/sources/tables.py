@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialbraid.operators.star import Star
+from trialbraid.operators.star import Star, label_sets
 from trialbraid.schema import STAR_SCHEMAS
 from trialbraid.sources import commits
 from trialbraid.sources.commits import Commit, Files
@@ -17,7 +17,8 @@ from trialbraid.sources.folders import work_folder as work_folder
 
 #: Keys that a word of 64 bits of a sidecar stands for on average, and bits a key sets.
 KEYS_PER_WORD, BITS_PER_KEY = 4, 4
-KEYS, PROFILE, AGAIN = "keys", "profile", "again"
+KEYS, PROFILE, LABELS, AGAIN = "keys", "profile", "labels", "again"
+_LABELS = "study_id bigint, areas int, continents int"
 _PROFILE = "table_name string, column_name string, n_rows bigint, missing bigint"
 
 
@@ -146,6 +147,8 @@ def append_tables(
         _write(rest, folder, name)
         written = list(tables)
         _write_profile(spark, folder, name)
+        written_star = Star(lambda table, own=name: _read(spark, folder, table, [own]))
+        label_sets(written_star).write.mode("overwrite").parquet(_load_path(folder, LABELS, name))
         if commits.claim(spark, folder, commit):
             return name
         known = commits.read_commits(spark, folder)
@@ -168,15 +171,28 @@ def finished_loads(spark: SparkSession, folder: str) -> list[str]:
 
 
 def read_star(spark: SparkSession, folder: str) -> Star:
-    """The tables of all visible loads; the schema is fixed, so no file is opened to infer it."""
-    loads = finished_loads(spark, folder)
+    """The tables of all visible loads; the schema is fixed, so no file is opened to infer it.
+
+    Questions on areas and continents read the label sets that every load keeps,
+    one row per study, and merge them; the number of studies is that of the commits.
+    """
+    shown = commits.visible(commits.read_commits(spark, folder))
+    loads = [c.load for c in shown]
 
     def make(name: str) -> DataFrame:
         if not loads:
             return spark.createDataFrame([], STAR_SCHEMAS[name])
         return _read(spark, folder, name, loads)
 
-    return Star(make)
+    def count() -> DataFrame:
+        return spark.range(1).select(F.lit(sum(c.n_keys for c in shown)).cast("bigint"))
+
+    def labels() -> DataFrame:
+        if not loads:
+            return spark.createDataFrame([], _LABELS)
+        return spark.read.schema(_LABELS).parquet(*[_load_path(folder, LABELS, load) for load in loads])
+
+    return Star(make, count, labels)
 
 
 def reclaim(spark: SparkSession, folder: str, retention_hours: float) -> list[str]:
@@ -202,7 +218,7 @@ def reclaim(spark: SparkSession, folder: str, retention_hours: float) -> list[st
             changed = min(t for n, t in resets if n > numbers[load])
         if changed < oldest:
             # The studies go last, so a removal that was cut short is taken up again.
-            for table in [*list(STAR_SCHEMAS)[1:], KEYS, PROFILE, AGAIN, "studies"]:
+            for table in [*list(STAR_SCHEMAS)[1:], KEYS, PROFILE, LABELS, AGAIN, "studies"]:
                 files.remove(_load_path(folder, table, load))
             gone.append(load)
     return gone
