@@ -22,6 +22,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _NO_TERM = np.ones(256, bool)
 _NO_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+#: 0 white space, 1 letters, digits and characters above ASCII, 2 all else.
+_KIND = np.where(_ASCII_SPACE, 0, np.where(_NO_TERM, 2, 1)).astype(np.int8)
 _LINE_BREAK = np.zeros(256, bool)
 _LINE_BREAK[0x0A] = True
 #: Odd multiplier of the rolling hash and its inverse modulo 2**64.
@@ -134,6 +136,32 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Runs:
     return Runs(_hash_runs(data, start, end), start, end, np.searchsorted(start, offsets))
 
 
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Where characters of scripts without spaces, and those beyond U+FFFF, begin."""
+    then = np.append(data[1:], np.uint8(0))
+    found = (data >= 0xE3) & (data <= 0xE9) | (data >= 0xF0)
+    found |= (data == 0xE0) & (then >= 0xB8) | (data == 0xEF) & (then >= 0xA4) & (then <= 0xAB)
+    found |= (data == 0xE1) & ((then >= 0x80) & (then <= 0x82) | (then == 0x9E) | (then == 0x9F))
+    found |= (data == 0xE2) & (then >= 0xBA)
+    return np.flatnonzero(found)
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> Runs:
+    """Runs of word characters, runs of other visible ones, and single characters of unspaced scripts."""
+    kind = _KIND[data]
+    fresh = np.zeros(len(data) + 5, bool)
+    fresh[offsets] = True
+    lead = _unspaced(data)
+    fresh[lead] = True
+    fresh[lead + np.where(data[lead] >= 0xF0, 4, 3)] = True
+    fresh[1 : len(data)] |= kind[1:] != kind[:-1]
+    fresh[len(data)] = True
+    filled = kind != 0
+    start = np.flatnonzero(fresh[: len(data)] & filled)
+    end = np.flatnonzero(fresh[1 : len(data) + 1] & filled) + 1
+    return Runs(_hash_runs(data, start, end), start, end, np.searchsorted(start, offsets))
+
+
 def term_runs(data: np.ndarray, offsets: np.ndarray) -> Runs:
     """Runs of digits, letters and characters above ASCII, A-Z lower-cased."""
     data = _LOWER[data]

@@ -1,14 +1,24 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
-
-Trusted texts are counted as runs of three symbols. The alphabet has 256
-symbols by design (characters of the Latin blocks one by one, all others in
-hashed classes), so the count tables have at most 2**24 rows whatever the
-corpus, and the finished model may be broadcast. The counts themselves cover
-all trusted text: every task sends its sums, sharded by the run; context
-totals, continuation counts and discounts are joins and groupings of shards.
-
-A model over words has no such bound. Its look-ups are a join of every word of
-the corpus with the counts, about four times the input in shuffled rows.
+"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of words.
+
+Trusted texts are counted as pairs of successive words, with a mark before and
+after each text. The counts are shards: nothing of the vocabulary's or the
+pairs' size passes through the driver or one task; totals of contexts,
+continuation counts and discounts are joins and groupings of shards. Below the
+words lies a spelling model of three symbols over the distinct trusted words,
+which gives every word that no trusted text holds a probability of its own. Its
+256 symbols are classes of characters, and each character has its own share of
+its class, so its tables are bounded and may be broadcast.
+
+The logarithm of a text is what spelling alone gives, which its task finds, and
+a sum of gains, one for each word and each pair that trusted texts hold. Every
+document is reduced to its distinct words and pairs, and these are joined with
+the gains. Gains of the most frequent ones (``HOT`` at most) are broadcast, so
+no key of the join is frequent. Gains are whole numbers, so sums do not depend
+on their order.
+
+A trusted text would know its own pairs. So trusted texts are dealt into two
+folds by their text and each is scored by the counts of the other fold; all
+others by all counts.
 
 A document's score is how far its mean negative log probability lies above the
 trusted mean of its language, drawn towards that mean where it is short. A
@@ -24,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialbraid.llm.arrowtext import slices
+from trialbraid.llm.arrowtext import Runs, slices, text_bytes, tokens
 from trialbraid.llm.shared import small, stored
 
 #: Trusted share that a threshold keeps, characters of the prior, fewest trusted texts.
@@ -34,7 +44,18 @@ MIN_TRUSTED = 30
 #: Scores are compared in steps of this size.
 STEP = 0.001
 
+#: Words and pairs whose gains are broadcast, at most.
+HOT = 300_000
+#: Gains are whole numbers of this size.
+UNIT = 2.0**-20
+
 _BITS = 8
+#: Stands before and after a text.
+_EDGE = np.uint64(0x51ED270B7A9F3C15)
+#: More than any count.
+_NEVER = 1 << 62
+#: Counts that the two folds and the other documents are scored by.
+_PARTS = ("n1", "n0", "n0 + n1")
 
 
 def _alphabet() -> np.ndarray:
@@ -78,6 +99,19 @@ def _count(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
 
 
+def _count_units(words: DataFrame) -> DataFrame:
+    """(unit, n): UTF-16 units of the words; at most 2**16 rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            text = "".join(t or "" for t in part.column("text").to_pylist())
+            seen, n = np.unique(np.frombuffer(text.encode("utf-16-le"), np.uint16), return_counts=True)
+            columns = [pa.array(seen.astype(np.int32)), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["unit", "n"])
+
+    return words.select("text").mapInArrow(run, "unit int, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
 def _discounts(counts: DataFrame) -> list[float]:
     """Discounts of runs seen once, twice and more often."""
     row = counts.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
@@ -147,33 +181,253 @@ def _columns(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tuple(c.to_numpy() for c in table.columns)
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text_key, lang, n_chars, nll): characters and summed negative log probability."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.p2, model.back, model.runs, model.shares))
+class Spelling:
+    """Logarithms of words by their characters; an end of line ends a word."""
+
+    def __init__(self, words: DataFrame):
+        words = words.selectExpr("concat(word, '\n') AS text")
+        self.model = Model(words)
+        units, n = _columns(_count_units(words))
+        count = np.ones(1 << 16)
+        count[units] += n
+        classes = _alphabet()
+        self.own = np.log(count / np.bincount(classes, count, 1 << _BITS)[classes]).astype(np.float32)
+
+    def __getstate__(self):
+        m = self.model
+        return m.p2, m.back, m.runs, m.shares, self.own
+
+    def __setstate__(self, state):
+        self.model = Model.__new__(Model)
+        self.model.p2, self.model.back, self.model.runs, self.model.shares, self.own = state
+        self.row, self.table = self.model.rows()
+        self.symbol = _alphabet()
+
+    def logs(self, words: list[str]) -> np.ndarray:
+        words = [f"{w}\n" for w in words]
+        codes, bounds = _runs(words, self.symbol)
+        at = (self.row[codes >> _BITS].astype(np.int64) << _BITS) | (codes & ((1 << _BITS) - 1))
+        units = np.frombuffer("".join(words).encode("utf-16-le"), np.uint16)
+        total = np.concatenate([[0.0], np.cumsum(self.table[at].astype(np.float64) + self.own[units])])
+        return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def _framed(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second words of all pairs of the texts, and the text of each pair."""
+    n = np.diff(runs.first)
+    text = np.repeat(np.arange(len(n)), n + 2)
+    line = np.full(len(text), _EDGE, np.uint64)
+    line[np.arange(len(runs.hash)) + 2 * runs.text_of() + 1] = runs.hash
+    pair = np.flatnonzero(text[1:] == text[:-1])
+    return line[pair], line[pair + 1], text[pair]
+
+
+def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a << np.uint64(1) | a >> np.uint64(63)) ^ b
+
+
+#: The same in SQL.
+_PAIR_KEY = "(shiftleft(a, 1) | shiftrightunsigned(a, 63)) ^ b"
+
+
+def _distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns and how often each stands there."""
+    order = np.lexsort(keys)
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], np.diff(np.append(at, len(order)))
+
+
+def _count_pairs(trusted: DataFrame) -> DataFrame:
+    """(a, b, n0, n1): how often word b follows word a in the texts of each fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.__new__(Model)
-        own.p2, own.back, own.runs, own.shares = shared.value
-        symbol, (row, table) = _alphabet(), own.rows()
         for part in slices(batches):
-            codes, bounds = _runs([t or "" for t in part.column("text").to_pylist()], symbol)
-            at = (row[codes >> _BITS] << _BITS) | (codes & ((1 << _BITS) - 1)).astype(np.int32)
-            total = np.concatenate([[0.0], np.cumsum(table[at], dtype=np.float64)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(part.column(c) for c in ("doc_id", "text_key", "lang")),
-                    pa.array(np.diff(bounds)),
-                    pa.array(total[bounds[:-1]] - total[bounds[1:]]),
-                ],
-                names=["doc_id", "text_key", "lang", "n_chars", "nll"],
-            )
-
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "lang", "text")
-    return keyed.mapInArrow(
-        run, "doc_id bigint, text_key bigint, lang string, n_chars bigint, nll double"
+            a, b, text = _framed(tokens(*text_bytes(part.column("text"))))
+            fold = part.column("part").to_numpy()[text]
+            (a, b, fold), n = _distinct(a, b, fold)
+            columns = [a.view(np.int64), b.view(np.int64), n * (fold == 0), n * (fold == 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n0", "n1"])
+
+    pairs = trusted.select("text", "part").mapInArrow(run, "a bigint, b bigint, n0 bigint, n1 bigint")
+    return pairs.groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _vocabulary(trusted: DataFrame) -> DataFrame:
+    """(w, word): distinct words of the texts; the mark of the ends is the empty word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            data, offsets = text_bytes(part.column("text"))
+            runs = tokens(data, offsets)
+            seen, words = _words(data, runs)
+            columns = [pa.array(np.append(seen, _EDGE).view(np.int64)), pa.array([*words, ""])]
+            yield pa.RecordBatch.from_arrays(columns, names=["w", "word"])
+
+    words = trusted.select("text").mapInArrow(run, "w bigint, word string")
+    return words.groupBy("w").agg(F.min("word").alias("word"))
+
+
+def _words(data: np.ndarray, runs: Runs) -> tuple[np.ndarray, list[str]]:
+    """Distinct hashes of the words in ascending order, and the words."""
+    seen, at = np.unique(runs.hash, return_index=True)
+    raw = data.tobytes()
+    return seen, [raw[i:j].decode() for i, j in zip(runs.start[at].tolist(), runs.end[at].tolist())]
+
+
+def _discounted(n: str, d: list[float]) -> tuple[str, str]:
+    """What is left of a count, and what is taken off it."""
+    off = f"CASE WHEN {n} <= 0 THEN 0D WHEN {n} = 1 THEN {d[0]}D WHEN {n} = 2 THEN {d[1]}D ELSE {d[2]}D END"
+    return f"({n} - {off})", off
+
+
+def _log_sum(share: str, log: str) -> str:
+    """ln(share + exp(log)) without overflow."""
+    high, low = f"greatest(ln({share}), {log})", f"least(ln({share}), {log})"
+    return f"if({share} > 0, {high} + ln(1 + exp({low} - {high})), {log})"
+
+
+class WordModel:
+    """Gains of words and pairs as shards, and logarithms of what spelling is weighted by.
+
+    ``trusted`` has text and part, the fold 0 or 1. A gain is a column v0, v1
+    or v2 for each of ``_PARTS``.
+    """
+
+    def __init__(self, trusted: DataFrame):
+        spark = trusted.sparkSession
+        vocabulary = stored(_vocabulary(trusted))
+        self.spelling = spark.sparkContext.broadcast(Spelling(vocabulary))
+        two = stored(_count_pairs(trusted))
+        columns = [F.count_if(F.expr(f"{n} > 0")).alias(f"c{p}") for p, n in enumerate(_PARTS)]
+        words = two.groupBy(F.col("b").alias("w")).agg(*columns)
+
+        discounts = [_discounts(two.selectExpr(f"{n} AS n")) for n in _PARTS]
+        after = []
+        for p, n in enumerate(_PARTS):
+            _, off = _discounted(f"({n})", discounts[p])
+            after += [F.expr(f"sum({n})").alias(f"t{p}"), F.expr(f"sum({off})").alias(f"o{p}")]
+        words = words.join(two.groupBy(F.col("a").alias("w")).agg(*after), "w")
+        words = stored(words.join(vocabulary.mapInArrow(self._spelled(), "w bigint, spelled double"), "w"))
+
+        self.weight, terms = [], []
+        for p in range(len(_PARTS)):
+            left, off = _discounted(f"c{p}", _discounts(words.selectExpr(f"c{p} AS n")))
+            row = words.selectExpr(f"coalesce(sum(c{p}), 0) AS n", f"coalesce(sum({off}), 0D) AS off").first()
+            self.weight.append(float(np.log(row.off / row.n)) if row.n else 0.0)
+            # log: logarithm of the word alone; back: of what its pairs leave to the word alone.
+            terms.append(f"{_log_sum(f'({left} / {max(row.n, 1)}D)', f'({self.weight[p]}D + spelled)')} AS log{p}")
+            terms.append(f"if(t{p} > 0, ln(o{p} / t{p}), 0D) AS back{p}")
+        words = stored(words.selectExpr("w", "t0", "t1", "t2", "spelled", *terms))
+
+        gains = [f"log{p} - spelled - {self.weight[p]}D + back{p}" for p in range(len(_PARTS))]
+        ones = words.selectExpr("w AS g", "t2 AS n", *_whole(gains))
+        self.hot_from = self._least_hot(two.selectExpr("n0 + n1 AS n"), ones.select("n"))
+        first = words.selectExpr("w AS a", *[f"{c}{p}" for p in range(3) for c in ("t", "back")])
+        second = words.selectExpr("w AS b", *[f"log{p}" for p in range(3)])
+        gains = []
+        for p, n in enumerate(_PARTS):
+            left, _ = _discounted(f"({n})", discounts[p])
+            share = f"if(t{p} > 0, {left} / t{p}, 0D)"
+            gains.append(f"{_log_sum(share, f'(back{p} + log{p})')} - back{p} - log{p}")
+
+        def pairs(counts: DataFrame) -> DataFrame:
+            joined = counts.join(first, "a").join(second, "b")
+            return joined.selectExpr(f"{_PAIR_KEY} AS g", *_whole(gains))
+
+        hot, ones_hot = f"n0 + n1 >= {self.hot_from}", f"n >= {self.hot_from}"
+        keys = _columns(pairs(two.where(hot)).unionAll(ones.where(ones_hot).drop("n")))
+        order = np.argsort(keys[0].view(np.uint64))
+        self.hot = spark.sparkContext.broadcast(
+            (keys[0].view(np.uint64)[order], np.stack([v[order] for v in keys[1:]]))
+        )
+        self.rare = pairs(two.where(f"NOT ({hot})")).unionAll(ones.where(f"NOT ({ones_hot})").drop("n"))
+
+    def _spelled(self):
+        spelling = self.spelling
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "word"):
+                logs = pa.array(spelling.value.logs(part.column("word").to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column("w"), logs], names=["w", "spelled"])
+
+        return run
+
+    @staticmethod
+    def _least_hot(*counts: DataFrame) -> int:
+        """Least count of the words and pairs that are broadcast, at most ``HOT`` of them."""
+        both = counts[0].unionAll(counts[1]).selectExpr(f"least(n, {HOT}) AS n").groupBy("n").count()
+        running = F.sum("count").over(Window.orderBy(F.desc("n")))  # one row for each count up to HOT
+        return both.select("n", running.alias("upto")).where(f"upto <= {HOT}").agg(F.min("n")).first()[0] or _NEVER
+
+
+def _whole(gains: list[str]) -> list[str]:
+    return [f"cast(round(({g}) / {UNIT}D) AS bigint) AS v{p}" for p, g in enumerate(gains)]
+
+
+def score_documents(docs: DataFrame, model: WordModel) -> DataFrame:
+    """(doc_id, text_key, lang, n_chars, part, nll): characters and summed negative log probability.
+
+    ``docs`` has part, the index in ``_PARTS`` of the counts that score it.
+    """
+    spelling, hot, weight = model.spelling, model.hot, np.array(model.weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, gains = hot.value
+        for batch in slices(batches):
+            # Repeated texts of a slice once, with their number.
+            (part, text_key), at, copies = _first_rows(batch)
+            data, offsets = text_bytes(batch.column("text").take(pa.array(at)))
+            runs = tokens(data, offsets)
+            seen, words = _words(data, runs)
+            logs = spelling.value.logs([*words, ""])
+            a, b, text = _framed(runs)
+            end = b == _EDGE
+            own = logs[np.where(end, len(seen), np.searchsorted(seen, b))] + weight[part[text]]
+            total = np.bincount(text, np.round(own / UNIT), len(at)).astype(np.int64)
+            (text, g), n = _distinct(np.append(text, text), np.append(_pair_key(a, b), b))
+            place = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
+            known = keys[place] == g if len(keys) else np.zeros(len(g), bool)
+            got = gains[part[text[known]], place[known]] * n[known] if len(keys) else np.empty(0, np.int64)
+            np.add.at(total, text[known], got)
+            text, g, n = text[~known], g[~known], n[~known]
+            columns = {
+                "text_key": np.append(text_key, text_key[text]),
+                "part": np.append(part, part[text]).astype(np.int32),
+                "g": np.append(text_key, g.view(np.int64)),
+                "n": np.append(copies, copies[text] * n),
+                "own": pa.concat_arrays([pa.array(total * copies), pa.nulls(len(g), pa.int64())]),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+    docs = docs.select(
+        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "lang", "part", "text"
+    )
+    rows = docs.select("text_key", "part", "text").mapInArrow(
+        run, "text_key bigint, part int, g bigint, n bigint, own bigint"
+    )
+    value = "coalesce(own, n * CASE part WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END)"
+    joined = rows.join(model.rare, "g", "left").where("own IS NOT NULL OR v0 IS NOT NULL")
+    sums = joined.groupBy("text_key", "part").agg(
+        F.expr(f"sum({value})").alias("total"), F.expr("sum(if(own IS NULL, 0, n))").alias("copies")
+    )
+    sums = sums.selectExpr("text_key", "part", f"-(total div copies) * {UNIT}D AS nll")
+    docs = docs.withColumn("n_chars", F.expr("octet_length(encode(coalesce(text, ''), 'UTF-16LE')) div 2"))
+    return docs.drop("text").join(sums, ["text_key", "part"]).select(
+        "doc_id", "text_key", "lang", "n_chars", "part", "nll"
     )
 
 
+def _first_rows(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct part and text_key, a row of each and the number of its rows."""
+    part, key = (batch.column(c).to_numpy() for c in ("part", "text_key"))
+    order = np.lexsort((key, part))
+    columns, copies = _distinct(key, part)
+    return columns[::-1], order[np.cumsum(copies) - copies], copies
+
+
 def _thresholds(trusted: DataFrame, quantile: float) -> DataFrame:
     """(group, threshold): smallest score step that ``quantile`` of the trusted scores keep to."""
     steps = trusted.groupBy("group", F.ceil(F.col("score") / STEP).alias("step")).count()
@@ -201,11 +455,13 @@ def classify_documents(
     by doc_id and text; repeated rows repeat their result.
     """
     trusted_ids = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"))
-    trusted_ids = small(stored(trusted_ids.where("q = 1").select("doc_id")))
-    model = Model(docs.join(trusted_ids, "doc_id", "left_semi"))
-    scored = stored(score_documents(docs, model))
+    trusted_ids = small(stored(trusted_ids.where("q = 1").selectExpr("doc_id", "true AS trusted")))
+    docs = docs.select("doc_id", "lang", "text").join(trusted_ids, "doc_id", "left").withColumn(
+        "part", F.expr("if(trusted, cast(xxhash64(coalesce(text, '')) & 1 AS int), 2)")
+    )
+    scored = stored(score_documents(docs, WordModel(docs.where("part < 2"))))
 
-    trusted = scored.join(trusted_ids, "doc_id", "left_semi").where("n_chars > 0")
+    trusted = scored.where("part < 2 AND n_chars > 0")
     means = trusted.groupBy("lang").agg((F.sum("nll") / F.sum("n_chars")).alias("mean"))
     overall = trusted.agg((F.sum("nll") / F.sum("n_chars")).alias("overall"))
 
