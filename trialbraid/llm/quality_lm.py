@@ -28,6 +28,7 @@ document is rejected above a high quantile of the trusted scores of its language
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialbraid.llm.arrowtext import Runs, slices, text_bytes, tokens
-from trialbraid.llm.shared import small, stored
+from trialbraid.llm.shared import removed, scratch, small, stored, tidy
 
 #: Trusted share that a threshold keeps, characters of the prior, fewest trusted texts.
 QUANTILE = 0.998
@@ -46,6 +47,8 @@ STEP = 0.001
 
 #: Words and pairs whose gains are broadcast, at most.
 HOT = 300_000
+#: Rounds in which the gains of pairs are found; the shuffle files of a round go before the next.
+ROUNDS = 4
 #: Gains are whole numbers of this size.
 UNIT = 2.0**-20
 
@@ -298,9 +301,10 @@ class WordModel:
 
     def __init__(self, trusted: DataFrame):
         spark = trusted.sparkSession
-        vocabulary = stored(_vocabulary(trusted))
+        self.folder, counts = scratch(spark), scratch(spark)
+        vocabulary = stored(_vocabulary(trusted), f"{counts}/vocabulary")
         self.spelling = spark.sparkContext.broadcast(Spelling(vocabulary))
-        two = stored(_count_pairs(trusted))
+        two = stored(_count_pairs(trusted), f"{counts}/two")
         columns = [F.count_if(F.expr(f"{n} > 0")).alias(f"c{p}") for p, n in enumerate(_PARTS)]
         words = two.groupBy(F.col("b").alias("w")).agg(*columns)
 
@@ -310,7 +314,8 @@ class WordModel:
             _, off = _discounted(f"({n})", discounts[p])
             after += [F.expr(f"sum({n})").alias(f"t{p}"), F.expr(f"sum({off})").alias(f"o{p}")]
         words = words.join(two.groupBy(F.col("a").alias("w")).agg(*after), "w")
-        words = stored(words.join(vocabulary.mapInArrow(self._spelled(), "w bigint, spelled double"), "w"))
+        words = words.join(vocabulary.mapInArrow(self._spelled(), "w bigint, spelled double"), "w")
+        words = stored(words, f"{counts}/words")
 
         self.weight, terms = [], []
         for p in range(len(_PARTS)):
@@ -320,11 +325,10 @@ class WordModel:
             # log: logarithm of the word alone; back: of what its pairs leave to the word alone.
             terms.append(f"{_log_sum(f'({left} / {max(row.n, 1)}D)', f'({self.weight[p]}D + spelled)')} AS log{p}")
             terms.append(f"if(t{p} > 0, ln(o{p} / t{p}), 0D) AS back{p}")
-        words = stored(words.selectExpr("w", "t0", "t1", "t2", "spelled", *terms))
+        words = stored(words.selectExpr("w", "t0", "t1", "t2", "spelled", *terms), f"{counts}/terms")
 
         gains = [f"log{p} - spelled - {self.weight[p]}D + back{p}" for p in range(len(_PARTS))]
         ones = words.selectExpr("w AS g", "t2 AS n", *_whole(gains))
-        self.hot_from = self._least_hot(two.selectExpr("n0 + n1 AS n"), ones.select("n"))
         first = words.selectExpr("w AS a", *[f"{c}{p}" for p in range(3) for c in ("t", "back")])
         second = words.selectExpr("w AS b", *[f"log{p}" for p in range(3)])
         gains = []
@@ -332,18 +336,21 @@ class WordModel:
             left, _ = _discounted(f"({n})", discounts[p])
             share = f"if(t{p} > 0, {left} / t{p}, 0D)"
             gains.append(f"{_log_sum(share, f'(back{p} + log{p})')} - back{p} - log{p}")
-
-        def pairs(counts: DataFrame) -> DataFrame:
-            joined = counts.join(first, "a").join(second, "b")
-            return joined.selectExpr(f"{_PAIR_KEY} AS g", *_whole(gains))
-
-        hot, ones_hot = f"n0 + n1 >= {self.hot_from}", f"n >= {self.hot_from}"
-        keys = _columns(pairs(two.where(hot)).unionAll(ones.where(ones_hot).drop("n")))
+        tables = [stored(ones, f"{self.folder}/words")]
+        for k in range(ROUNDS):
+            pairs = two.where(f"pmod({_PAIR_KEY}, {ROUNDS}) = {k}").join(second, "b").join(first, "a")
+            pairs = pairs.selectExpr(f"{_PAIR_KEY} AS g", "n0 + n1 AS n", *_whole(gains))
+            tables.append(stored(pairs, f"{self.folder}/pairs{k}"))
+        table = reduce(DataFrame.unionAll, tables)
+        removed(spark, counts)
+
+        least = self._least_hot(table.select("n"))
+        keys = _columns(table.where(f"n >= {least}").drop("n"))
         order = np.argsort(keys[0].view(np.uint64))
         self.hot = spark.sparkContext.broadcast(
             (keys[0].view(np.uint64)[order], np.stack([v[order] for v in keys[1:]]))
         )
-        self.rare = pairs(two.where(f"NOT ({hot})")).unionAll(ones.where(f"NOT ({ones_hot})").drop("n"))
+        self.rare = table.where(f"n < {least}").drop("n")
 
     def _spelled(self):
         spelling = self.spelling
@@ -356,9 +363,9 @@ class WordModel:
         return run
 
     @staticmethod
-    def _least_hot(*counts: DataFrame) -> int:
+    def _least_hot(counts: DataFrame) -> int:
         """Least count of the words and pairs that are broadcast, at most ``HOT`` of them."""
-        both = counts[0].unionAll(counts[1]).selectExpr(f"least(n, {HOT}) AS n").groupBy("n").count()
+        both = counts.selectExpr(f"least(n, {HOT}) AS n").groupBy("n").count()
         running = F.sum("count").over(Window.orderBy(F.desc("n")))  # one row for each count up to HOT
         return both.select("n", running.alias("upto")).where(f"upto <= {HOT}").agg(F.min("n")).first()[0] or _NEVER
 
@@ -367,12 +374,70 @@ def _whole(gains: list[str]) -> list[str]:
     return [f"cast(round(({g}) / {UNIT}D) AS bigint) AS v{p}" for p, g in enumerate(gains)]
 
 
+#: Words and pairs of a slice of texts that belong to a shard: texts with the number of their words
+#: and pairs (size), then all of these with their counts; own and copies stand in one cell of a slice.
+_CELLS = (
+    "shard int, text_key array<bigint>, part array<int>, size array<int>, own array<bigint>, "
+    "copies array<bigint>, g array<bigint>, n array<int>"
+)
+
+
+def _cells(text_key, part, own, copies, text, g, n, shards: int) -> pa.RecordBatch:
+    """A slice as ``_CELLS``; ``text`` ascends and tells the text of each g and n."""
+    shard = g % shards
+    order = np.argsort(shard, kind="stable")
+    shard, text, g, n = shard[order], text[order], g[order], n[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (shard[1:] != shard[:-1]) | (text[1:] != text[:-1])
+    run = np.flatnonzero(new)
+    size = np.diff(np.append(run, len(g)))
+    # The last cell has all texts of the slice and what it knows of them itself.
+    names, at = np.unique(shard, return_index=True)
+    names = np.append(names, text_key[:1] % shards)
+    ends = np.append(at, [len(g), len(g)])
+    runs = np.append(np.searchsorted(run, ends[:-1]), len(run) + len(text_key))
+    zeros = np.zeros(len(run), np.int64)
+    lists = {
+        "text_key": (runs, np.append(text_key[text[run]], text_key), np.int64),
+        "part": (runs, np.append(part[text[run]], part), np.int32),
+        "size": (runs, np.append(size, np.zeros(len(text_key), np.int64)), np.int32),
+        "own": (runs, np.append(zeros, own * copies), np.int64),
+        "copies": (runs, np.append(zeros, copies), np.int64),
+        "g": (ends, g, np.int64),
+        "n": (ends, n, np.int32),
+    }
+    columns = [pa.array(names.astype(np.int32))]
+    for bounds, values, kind in lists.values():
+        columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(kind))))
+    return pa.RecordBatch.from_arrays(columns, names=["shard", *lists])
+
+
+def _cell_sums(cells: pa.Table, gains: pa.Table) -> pa.Table:
+    """(text_key, part, total, copies): what a shard's gains add to the texts of its cells."""
+    text_key, part, size, own, copies, g, n = (
+        np.concatenate([np.empty(0, np.int64), *(c.flatten().to_numpy() for c in cells.column(name).chunks)])
+        for name in ("text_key", "part", "size", "own", "copies", "g", "n")
+    )
+    gains = gains.sort_by("g")
+    keys = gains.column("g").to_numpy()
+    values = np.stack([gains.column(f"v{p}").to_numpy() for p in range(len(_PARTS))])
+    place = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
+    known = np.flatnonzero(keys[place] == g) if len(keys) else np.empty(0, np.int64)
+    got = np.zeros(len(g) + 1, np.int64)
+    got[known + 1] = values[np.repeat(part, size)[known], place[known]] * n[known]
+    upto, ends = np.cumsum(got), np.cumsum(size)
+    columns = [text_key, part.astype(np.int32), own + upto[ends] - upto[ends - size], copies]
+    table = pa.table([pa.array(c) for c in columns], ["text_key", "part", "total", "copies"])
+    return table.filter(pa.array((columns[2] != 0) | (copies != 0)))
+
+
 def score_documents(docs: DataFrame, model: WordModel) -> DataFrame:
     """(doc_id, text_key, lang, n_chars, part, nll): characters and summed negative log probability.
 
     ``docs`` has part, the index in ``_PARTS`` of the counts that score it.
     """
     spelling, hot, weight = model.spelling, model.hot, np.array(model.weight)
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, gains = hot.value
@@ -387,32 +452,21 @@ def score_documents(docs: DataFrame, model: WordModel) -> DataFrame:
             end = b == _EDGE
             own = logs[np.where(end, len(seen), np.searchsorted(seen, b))] + weight[part[text]]
             total = np.bincount(text, np.round(own / UNIT), len(at)).astype(np.int64)
-            (text, g), n = _distinct(np.append(text, text), np.append(_pair_key(a, b), b))
+            (g, text), n = _distinct(np.append(_pair_key(a, b), b), np.append(text, text))
             place = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
             known = keys[place] == g if len(keys) else np.zeros(len(g), bool)
             got = gains[part[text[known]], place[known]] * n[known] if len(keys) else np.empty(0, np.int64)
             np.add.at(total, text[known], got)
-            text, g, n = text[~known], g[~known], n[~known]
-            columns = {
-                "text_key": np.append(text_key, text_key[text]),
-                "part": np.append(part, part[text]).astype(np.int32),
-                "g": np.append(text_key, g.view(np.int64)),
-                "n": np.append(copies, copies[text] * n),
-                "own": pa.concat_arrays([pa.array(total * copies), pa.nulls(len(g), pa.int64())]),
-            }
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+            text, g, n = text[~known], g[~known].view(np.int64), n[~known]
+            yield _cells(text_key, part, total, copies, text, g, copies[text] * n, shards)
 
     docs = docs.select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "lang", "part", "text"
     )
-    rows = docs.select("text_key", "part", "text").mapInArrow(
-        run, "text_key bigint, part int, g bigint, n bigint, own bigint"
-    )
-    value = "coalesce(own, n * CASE part WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END)"
-    joined = rows.join(model.rare, "g", "left").where("own IS NOT NULL OR v0 IS NOT NULL")
-    sums = joined.groupBy("text_key", "part").agg(
-        F.expr(f"sum({value})").alias("total"), F.expr("sum(if(own IS NULL, 0, n))").alias("copies")
-    )
+    cells = docs.select("text_key", "part", "text").mapInArrow(run, _CELLS).groupBy("shard")
+    rare = model.rare.withColumn("shard", F.expr(f"cast(pmod(g, {shards}) AS int)")).groupBy("shard")
+    sums = cells.cogroup(rare).applyInArrow(_cell_sums, "text_key bigint, part int, total bigint, copies bigint")
+    sums = sums.groupBy("text_key", "part").agg(F.sum("total").alias("total"), F.sum("copies").alias("copies"))
     sums = sums.selectExpr("text_key", "part", f"-(total div copies) * {UNIT}D AS nll")
     docs = docs.withColumn("n_chars", F.expr("octet_length(encode(coalesce(text, ''), 'UTF-16LE')) div 2"))
     return docs.drop("text").join(sums, ["text_key", "part"]).select(
@@ -459,7 +513,10 @@ def classify_documents(
     docs = docs.select("doc_id", "lang", "text").join(trusted_ids, "doc_id", "left").withColumn(
         "part", F.expr("if(trusted, cast(xxhash64(coalesce(text, '')) & 1 AS int), 2)")
     )
-    scored = stored(score_documents(docs, WordModel(docs.where("part < 2"))))
+    with tidy(docs.sparkSession):
+        model = WordModel(docs.where("part < 2"))
+        scored = stored(score_documents(docs, model))
+    removed(docs.sparkSession, model.folder)
 
     trusted = scored.where("part < 2 AND n_chars > 0")
     means = trusted.groupBy("lang").agg((F.sum("nll") / F.sum("n_chars")).alias("mean"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,17 +22,46 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/trialbraid-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """The path of a new table or folder in the shared folder."""
+    return f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a frame and read it again.
 
     That cuts the lineage, survives lost executors, and gives the optimizer
     the true size, so that it broadcasts only what is small.
     """
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Removes the shuffle files of a query at its end instead of when the driver collects garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files. What must stay is to be stored."""
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove what is stored at a path of ``scratch``, when no later job reads it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(table: DataFrame, values: str = "count(*)") -> DataFrame:
     """A stored table, marked for broadcast if it is measured as small.
 
