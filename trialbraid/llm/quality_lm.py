@@ -11,10 +11,11 @@ its class, so its tables are bounded and may be broadcast.
 
 The logarithm of a text is what spelling alone gives, which its task finds, and
 a sum of gains, one for each word and each pair that trusted texts hold. Every
-document is reduced to its distinct words and pairs, and these are joined with
-the gains. Gains of the most frequent ones (``HOT`` at most) are broadcast, so
-no key of the join is frequent. Gains are whole numbers, so sums do not depend
-on their order.
+document is reduced to its distinct pairs, and these meet the pairs of trusted
+texts by shard. The most frequent words (``HOT`` at most) have a rank in place of
+a hash, so a pair takes few bytes, and their terms are broadcast, as are gains of the
+most frequent pairs, so no key is frequent. Other words' terms go to the shards
+that hold pairs of them. Gains are whole numbers, so sums do not depend on their order.
 
 A trusted text would know its own pairs. So trusted texts are dealt into two
 folds by their text and each is scored by the counts of the other fold; all
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialbraid.llm.arrowtext import Runs, slices, text_bytes, tokens
+from trialbraid.llm.arrowtext import Runs, mix, slices, text_bytes, tokens
 from trialbraid.llm.shared import removed, scratch, small, stored, tidy
 
 #: Trusted share that a threshold keeps, characters of the prior, fewest trusted texts.
@@ -45,16 +46,18 @@ MIN_TRUSTED = 30
 #: Scores are compared in steps of this size.
 STEP = 0.001
 
-#: Words and pairs whose gains are broadcast, at most.
+#: Words whose terms, and pairs whose gains are broadcast, at most.
 HOT = 300_000
-#: Rounds in which the gains of pairs are found; the shuffle files of a round go before the next.
-ROUNDS = 4
+#: Rounds in which texts meet the shards; the shuffle files of a round go before the next.
+ROUNDS = 6
 #: Gains are whole numbers of this size.
 UNIT = 2.0**-20
 
 _BITS = 8
 #: Stands before and after a text.
 _EDGE = np.uint64(0x51ED270B7A9F3C15)
+#: Stands as second word where a word is meant alone.
+_ALONE = np.int64(1 << 62)
 #: More than any count.
 _NEVER = 1 << 62
 #: Counts that the two folds and the other documents are scored by.
@@ -117,8 +120,12 @@ def _count_units(words: DataFrame) -> DataFrame:
 
 def _discounts(counts: DataFrame) -> list[float]:
     """Discounts of runs seen once, twice and more often."""
-    row = counts.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (max(int(x), 1) for x in row)
+    return _discounts_of(counts.agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first())
+
+
+def _discounts_of(seen: list[int]) -> list[float]:
+    """The same of the numbers of runs seen once to four times."""
+    n1, n2, n3, n4 = (max(int(x), 1) for x in seen)
     y = n1 / (n1 + 2 * n2)
     return [min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
@@ -215,22 +222,47 @@ class Spelling:
         return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _framed(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _known_words(runs: Runs, hot) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the distinct words and of the mark in ascending order, the place of each run and, last,
+    of the mark among them; and a run of each distinct word (behind the last one: the mark) with its place.
+
+    The code of a broadcast word is its rank, others have 63 bits of their hash and are below 0.
+    """
+    seen, at, place = np.unique(np.append(runs.hash, _EDGE), return_index=True, return_inverse=True)
+    codes = _codes(seen, hot)
+    order = np.argsort(codes)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return codes[order], rank[place], at, rank
+
+
+def _codes(words: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    keys, rank = hot
+    codes = (words | np.uint64(1 << 63)).view(np.int64)
+    if len(keys):
+        place = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+        known = keys[place] == words
+        codes[known] = rank[place[known]]
+    return codes
+
+
+def _framed(runs: Runs, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and second words of all pairs of the texts, and the text of each pair."""
     n = np.diff(runs.first)
     text = np.repeat(np.arange(len(n)), n + 2)
-    line = np.full(len(text), _EDGE, np.uint64)
-    line[np.arange(len(runs.hash)) + 2 * runs.text_of() + 1] = runs.hash
+    line = np.full(len(text), places[-1])
+    line[np.arange(len(runs.hash)) + 2 * runs.text_of() + 1] = places[:-1]
     pair = np.flatnonzero(text[1:] == text[:-1])
     return line[pair], line[pair + 1], text[pair]
 
 
 def _pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a << np.uint64(1) | a >> np.uint64(63)) ^ b
+    return mix(mix(a.view(np.uint64)) + b.view(np.uint64))
 
 
-#: The same in SQL.
-_PAIR_KEY = "(shiftleft(a, 1) | shiftrightunsigned(a, 63)) ^ b"
+def _home(words: np.ndarray, shards: int) -> np.ndarray:
+    """The shard where all counts of a word meet."""
+    return (_pair_key(words, np.full(len(words), _ALONE)) % np.uint64(shards)).astype(np.int32)
 
 
 def _distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -243,192 +275,306 @@ def _distinct(*keys: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [k[at] for k in keys], np.diff(np.append(at, len(order)))
 
 
-def _count_pairs(trusted: DataFrame) -> DataFrame:
-    """(a, b, n0, n1): how often word b follows word a in the texts of each fold."""
+def _distinct_pairs(group: np.ndarray, a: np.ndarray, b: np.ndarray, places: int) -> list[np.ndarray]:
+    """Distinct rows in ascending order and how often each stands there; a and b are below ``places``."""
+    bits = np.uint64(places.bit_length())
+    low = np.uint64((1 << places.bit_length()) - 1)
+    key = (group.astype(np.uint64) << bits | a.astype(np.uint64)) << bits | b.astype(np.uint64)
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    at = np.flatnonzero(new)
+    key, n = key[at], np.diff(np.append(at, len(key)))
+    return [*(x.astype(np.int64) for x in (key >> bits >> bits, key >> bits & low, key & low)), n]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            a, b, text = _framed(tokens(*text_bytes(part.column("text"))))
-            fold = part.column("part").to_numpy()[text]
-            (a, b, fold), n = _distinct(a, b, fold)
-            columns = [a.view(np.int64), b.view(np.int64), n * (fold == 0), n * (fold == 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "n0", "n1"])
 
-    pairs = trusted.select("text", "part").mapInArrow(run, "a bigint, b bigint, n0 bigint, n1 bigint")
-    return pairs.groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of integers compressed byte by byte of all values, the first one as differences."""
+    table = np.stack([np.asarray(c, np.int64) for c in columns])
+    table[0, 1:] -= table[0, :-1].copy()
+    table[0] = table[0] << 1 ^ table[0] >> 63
+    raw = table.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes()
+    return table.shape[1].to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(blobs: pa.ChunkedArray, columns: int) -> np.ndarray:
+    """The columns of all blobs, one after another."""
+    tables = [np.empty((columns, 0), np.int64)]
+    for blob in blobs.to_pylist():
+        n = int.from_bytes(blob[:8], "little")
+        raw = pa.decompress(blob[8:], 8 * columns * n, "zstd", asbytes=True)
+        planes = np.frombuffer(raw, np.uint8).reshape(columns, 8, n).transpose(0, 2, 1)
+        table = planes.copy().view(np.int64).reshape(columns, n)
+        first = table[0].view(np.uint64)
+        table[0] = np.cumsum((first >> np.uint64(1)).view(np.int64) ^ -(table[0] & 1))
+        tables.append(table)
+    return np.concatenate(tables, axis=1)
+
+
+def _dealt(shard: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order by shard, and (shard, start, end) of the shards that have rows."""
+    order = np.argsort(shard.astype(np.min_scalar_type(shards)), kind="stable")
+    names, at = np.unique(shard[order], return_index=True)
+    return order, [*zip(names.tolist(), at.tolist(), [*at[1:].tolist(), len(order)])]
 
 
 def _vocabulary(trusted: DataFrame) -> DataFrame:
-    """(w, word): distinct words of the texts; the mark of the ends is the empty word."""
+    """(w, word, n): distinct words of the texts and their number; the mark of the ends is the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             data, offsets = text_bytes(part.column("text"))
             runs = tokens(data, offsets)
-            seen, words = _words(data, runs)
-            columns = [pa.array(np.append(seen, _EDGE).view(np.int64)), pa.array([*words, ""])]
-            yield pa.RecordBatch.from_arrays(columns, names=["w", "word"])
+            marked = np.append(runs.hash, np.full(2 * part.num_rows, _EDGE))
+            seen, at, n = np.unique(marked, return_index=True, return_counts=True)
+            columns = [seen.view(np.int64), _words(data, runs, at), n]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w", "word", "n"])
+
+    words = trusted.select("text").mapInArrow(run, "w bigint, word string, n bigint")
+    return words.groupBy("w", "word").agg(F.sum("n").alias("n"))
 
-    words = trusted.select("text").mapInArrow(run, "w bigint, word string")
-    return words.groupBy("w").agg(F.min("word").alias("word"))
 
+def _words(data: np.ndarray, runs: Runs, at: np.ndarray) -> list[str]:
+    """Some runs as texts; the run behind the last one is empty."""
+    raw, start, end = data.tobytes(), np.append(runs.start, 0), np.append(runs.end, 0)
+    return [raw[i:j].decode() for i, j in zip(start[at].tolist(), end[at].tolist())]
 
-def _words(data: np.ndarray, runs: Runs) -> tuple[np.ndarray, list[str]]:
-    """Distinct hashes of the words in ascending order, and the words."""
-    seen, at = np.unique(runs.hash, return_index=True)
-    raw = data.tobytes()
-    return seen, [raw[i:j].decode() for i, j in zip(runs.start[at].tolist(), runs.end[at].tolist())]
 
+#: What is counted of a word, for each of ``_PARTS``: its number as a first word, its distinct pairs seen
+#: once, twice and in all, and its distinct pairs as a second word.
+_COUNTS = [f"{c}{p}" for p in range(len(_PARTS)) for c in ("t", "one", "two", "m", "c")]
 
-def _discounted(n: str, d: list[float]) -> tuple[str, str]:
-    """What is left of a count, and what is taken off it."""
-    off = f"CASE WHEN {n} <= 0 THEN 0D WHEN {n} = 1 THEN {d[0]}D WHEN {n} = 2 THEN {d[1]}D ELSE {d[2]}D END"
-    return f"({n} - {off})", off
+#: A shard's pairs (a, b, n0, n1), the most frequent ones again and numbers of pairs seen once to four times;
+#: or what another shard (source) has counted of its words (w, then ``_COUNTS``).
+_COUNTED = "shard int, source int, pairs binary, hot binary, stats array<bigint>, w binary"
 
 
-def _log_sum(share: str, log: str) -> str:
-    """ln(share + exp(log)) without overflow."""
-    high, low = f"greatest(ln({share}), {log})", f"least(ln({share}), {log})"
-    return f"if({share} > 0, {high} + ln(1 + exp({low} - {high})), {log})"
+def _count_pairs(trusted: DataFrame, hot, shards: int, most: int) -> DataFrame:
+    """``_COUNTED``: how often word b follows word a in the texts of each fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            runs = tokens(*text_bytes(part.column("text")))
+            codes, places, _, _ = _known_words(runs, hot.value)
+            a, b, text = _framed(runs, places)
+            fold = part.column("part").to_numpy()[text]
+            fold, a, b, n = _distinct_pairs(fold, a, b, len(codes))
+            a, b = codes[a], codes[b]
+            order, cells = _dealt(_pair_key(a, b) % np.uint64(shards), shards)
+            a, b, fold, n = a[order], b[order], fold[order], n[order]
+            blobs = [_packed(a[i:j], b[i:j], fold[i:j], n[i:j]) for _, i, j in cells]
+            columns = [pa.array([c[0] for c in cells], pa.int32()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "cell"])
+
+    def merge(cells: pa.Table) -> pa.Table:
+        a, b, fold, n = _unpacked(cells.column("cell"), 4)
+        key = _pair_key(a, b)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        at = np.flatnonzero(new)
+        n0, n1 = (np.add.reduceat(np.where(fold[order] == f, n[order], 0), at) for f in (0, 1))
+        a, b = a[order[at]], b[order[at]]
+        order = np.lexsort((b, a))  # takes less when packed
+        a, b, n0, n1 = a[order], b[order], n0[order], n1[order]
+        both = n0 + n1
+
+        w, place = np.unique(np.append(a, b), return_inverse=True)
+        first, second = place[: len(a)], place[len(a) :]
+        counts, stats = [], []
+        total = lambda at, by: np.bincount(at, by, len(w)).astype(np.int64)
+        for n in (n1, n0, both):  # as _PARTS
+            counts += [total(first, x) for x in (n, n == 1, n == 2, n > 0)] + [total(second, n > 0)]
+            stats += [int((n == k).sum()) for k in (1, 2, 3, 4)]
+        home, there = _dealt(_home(w, shards), shards)
+        counts = [c[home] for c in (w, *counts)]
+        often = np.flatnonzero((a >= 0) & (b >= 0))
+        if len(often) > most:
+            often = often[np.argsort(-both[often], kind="stable")[:most]]
+        own = cells.column("shard")[0].as_py()
+        often = _packed(a[often], b[often], n0[often], n1[often])
+        rows = [{"shard": own, "pairs": _packed(a, b, n0, n1), "hot": often, "stats": stats}]
+        for shard, i, j in there:
+            rows.append({"shard": shard, "source": own, "w": _packed(*(c[i:j] for c in counts))})
+        blob, numbers = pa.binary(), pa.list_(pa.int64())
+        kinds = [pa.int32(), pa.int32(), blob, blob, numbers, blob]
+        return pa.Table.from_pylist(rows, pa.schema(list(zip(("shard", "source", "pairs", "hot", "stats", "w"), kinds))))
+
+    cells = trusted.select("text", "part").mapInArrow(run, "shard int, cell binary")
+    return cells.groupBy("shard").applyInArrow(merge, _COUNTED)
+
+
+#: Words without a rank (w, then ``_COUNTS`` and the bits of what they are spelled by) for a shard that has
+#: pairs of them, or that they are at home in; with the latter, words that have one, and of each of
+#: ``_PARTS``, numbers of words behind one to four words and any, and of distinct pairs.
+_WORDS = "shard int, w binary, hot binary, stats array<bigint>"
+
+
+def _count_words(counted: DataFrame, spelled: DataFrame) -> DataFrame:
+    """``_WORDS`` of all shards' counts of words."""
+
+    def merge(cells: pa.Table, spelled: pa.Table) -> pa.Table:
+        blobs = cells.column("w").combine_chunks()
+        parts = [_unpacked(blobs[i : i + 1], 1 + len(_COUNTS)) for i in range(len(blobs))]
+        every = np.concatenate(parts, axis=1)
+        w, place = np.unique(every[0], return_inverse=True)
+        spelled = spelled.sort_by("w")
+        logs = spelled.column("spelled").to_numpy()[np.searchsorted(spelled.column("w").to_numpy(), w)]
+        table = [w, *(np.bincount(place, c, len(w)).astype(np.int64) for c in every[1:]), logs.view(np.int64)]
+        table = np.stack(table)
+        stats = []
+        for p in range(len(_PARTS)):
+            c = table[1 + _COUNTS.index(f"c{p}")]
+            stats += [int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c > 0).sum()), int(c.sum())]
+        cold = int(np.searchsorted(w, 0))
+        home = cells.column("shard")[0].as_py()
+        rows = [{"shard": home, "w": _packed(*table[:, :cold]), "hot": _packed(*table[:, cold:]), "stats": stats}]
+        for source, part in zip(cells.column("source").to_pylist(), parts):
+            some = table[:, np.searchsorted(w, part[0][part[0] < 0])]
+            if some.shape[1] and source != home:
+                rows.append({"shard": source, "w": _packed(*some)})
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+        return pa.Table.from_pylist(rows, pa.schema(list(zip(("shard", "w", "hot", "stats"), kinds))))
+
+    counted = counted.where("w IS NOT NULL").select("shard", "source", "w").groupBy("shard")
+    return counted.cogroup(spelled.groupBy("shard")).applyInArrow(merge, _WORDS)
+
+
+def _off(n: np.ndarray, d: list[float]) -> np.ndarray:
+    """What is taken off counts."""
+    return np.array([0, *d])[np.minimum(n, 3)]
+
+
+def _stats(counted: DataFrame, each: int) -> list[list[int]]:
+    """Sums of the stats of all shards, for each of ``_PARTS``."""
+    n = each * len(_PARTS)
+    row = counted.agg(*[F.coalesce(F.sum(F.expr(f"stats[{i}]")), F.lit(0)) for i in range(n)]).first()
+    return [list(row[i : i + each]) for i in range(0, n, each)]
+
+
+class Smoothing:
+    """Discounts of pairs and words, and the logarithm of what spelling is weighted by, for each of ``_PARTS``."""
+
+    def __init__(self, pairs: list[list[int]], words: list[list[int]]):
+        self.pairs = [_discounts_of(seen) for seen in pairs]
+        self.words = [_discounts_of(seen[:4]) for seen in words]
+        self.total = [max(seen[5], 1) for seen in words]
+        self.weight = []
+        for d, (one, two, _, _, some, total) in zip(self.words, words):
+            off = one * d[0] + two * d[1] + (some - one - two) * d[2]
+            self.weight.append(float(np.log(off / total)) if total else 0.0)
+
+    def terms(self, counts: np.ndarray) -> np.ndarray:
+        """Of words (``_COUNTS`` and the bits of what they are spelled by) for each of ``_PARTS``: their number as
+        a first word, the logarithm of what their pairs leave to the second word alone, their own
+        logarithm alone, and their gain (whole).
+        """
+        spelled = counts[-1].view(np.float64)
+        number, back, log, gain = [], [], [], []
+        for p in range(len(_PARTS)):
+            t, one, two, m, c = counts[5 * p : 5 * p + 5]
+            d = self.pairs[p]
+            left = one * d[0] + two * d[1] + (m - one - two) * d[2]
+            with np.errstate(divide="ignore"):
+                share = np.log((c - _off(c, self.words[p])) / self.total[p])
+                back.append(np.where(t > 0, np.log(left / np.maximum(t, 1)), 0.0))
+            number.append(t)
+            log.append(np.logaddexp(share, self.weight[p] + spelled))
+            gain.append(np.round((log[p] - spelled - self.weight[p] + back[p]) / UNIT))
+        return np.stack([*number, *back, *log, *gain]).astype(np.float64)
+
+    def gains(self, first: np.ndarray, second: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+        """Whole gains of pairs, by the terms of their words and the counts of the folds."""
+        gains = np.empty((len(_PARTS), len(n0)), np.int64)
+        for p, n in enumerate((n1, n0, n0 + n1)):
+            share = (n - _off(n, self.pairs[p])) / np.maximum(first[p], 1)
+            alone = first[3 + p] + second[6 + p]
+            with np.errstate(divide="ignore"):
+                gains[p] = np.round((np.logaddexp(np.log(share), alone) - alone) / UNIT)
+        return gains
 
 
 class WordModel:
-    """Gains of words and pairs as shards, and logarithms of what spelling is weighted by.
+    """Counts of pairs as shards, terms of words, and logarithms of what spelling is weighted by.
 
-    ``trusted`` has text and part, the fold 0 or 1. A gain is a column v0, v1
-    or v2 for each of ``_PARTS``.
+    ``trusted`` has text and part, the fold 0 or 1. Terms of the most frequent
+    words are broadcast, those of others go to the shards that hold pairs of them.
     """
 
     def __init__(self, trusted: DataFrame):
         spark = trusted.sparkSession
-        self.folder, counts = scratch(spark), scratch(spark)
-        vocabulary = stored(_vocabulary(trusted), f"{counts}/vocabulary")
-        self.spelling = spark.sparkContext.broadcast(Spelling(vocabulary))
-        two = stored(_count_pairs(trusted), f"{counts}/two")
-        columns = [F.count_if(F.expr(f"{n} > 0")).alias(f"c{p}") for p, n in enumerate(_PARTS)]
-        words = two.groupBy(F.col("b").alias("w")).agg(*columns)
-
-        discounts = [_discounts(two.selectExpr(f"{n} AS n")) for n in _PARTS]
-        after = []
-        for p, n in enumerate(_PARTS):
-            _, off = _discounted(f"({n})", discounts[p])
-            after += [F.expr(f"sum({n})").alias(f"t{p}"), F.expr(f"sum({off})").alias(f"o{p}")]
-        words = words.join(two.groupBy(F.col("a").alias("w")).agg(*after), "w")
-        words = words.join(vocabulary.mapInArrow(self._spelled(), "w bigint, spelled double"), "w")
-        words = stored(words, f"{counts}/words")
-
-        self.weight, terms = [], []
-        for p in range(len(_PARTS)):
-            left, off = _discounted(f"c{p}", _discounts(words.selectExpr(f"c{p} AS n")))
-            row = words.selectExpr(f"coalesce(sum(c{p}), 0) AS n", f"coalesce(sum({off}), 0D) AS off").first()
-            self.weight.append(float(np.log(row.off / row.n)) if row.n else 0.0)
-            # log: logarithm of the word alone; back: of what its pairs leave to the word alone.
-            terms.append(f"{_log_sum(f'({left} / {max(row.n, 1)}D)', f'({self.weight[p]}D + spelled)')} AS log{p}")
-            terms.append(f"if(t{p} > 0, ln(o{p} / t{p}), 0D) AS back{p}")
-        words = stored(words.selectExpr("w", "t0", "t1", "t2", "spelled", *terms), f"{counts}/terms")
-
-        gains = [f"log{p} - spelled - {self.weight[p]}D + back{p}" for p in range(len(_PARTS))]
-        ones = words.selectExpr("w AS g", "t2 AS n", *_whole(gains))
-        first = words.selectExpr("w AS a", *[f"{c}{p}" for p in range(3) for c in ("t", "back")])
-        second = words.selectExpr("w AS b", *[f"log{p}" for p in range(3)])
-        gains = []
-        for p, n in enumerate(_PARTS):
-            left, _ = _discounted(f"({n})", discounts[p])
-            share = f"if(t{p} > 0, {left} / t{p}, 0D)"
-            gains.append(f"{_log_sum(share, f'(back{p} + log{p})')} - back{p} - log{p}")
-        tables = [stored(ones, f"{self.folder}/words")]
-        for k in range(ROUNDS):
-            pairs = two.where(f"pmod({_PAIR_KEY}, {ROUNDS}) = {k}").join(second, "b").join(first, "a")
-            pairs = pairs.selectExpr(f"{_PAIR_KEY} AS g", "n0 + n1 AS n", *_whole(gains))
-            tables.append(stored(pairs, f"{self.folder}/pairs{k}"))
-        table = reduce(DataFrame.unionAll, tables)
-        removed(spark, counts)
-
-        least = self._least_hot(table.select("n"))
-        keys = _columns(table.where(f"n >= {least}").drop("n"))
-        order = np.argsort(keys[0].view(np.uint64))
-        self.hot = spark.sparkContext.broadcast(
-            (keys[0].view(np.uint64)[order], np.stack([v[order] for v in keys[1:]]))
-        )
-        self.rare = table.where(f"n < {least}").drop("n")
+        send = spark.sparkContext.broadcast
+        self.folder = scratch(spark)
+        self.shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        vocabulary = stored(_vocabulary(trusted), f"{self.folder}/vocabulary")
+        self.spelling = send(Spelling(vocabulary))
+        least = self._least_hot(vocabulary.select("n"))
+        keys, n = _columns(vocabulary.where(f"n >= {least}").select("w", "n"))
+        keys = keys.view(np.uint64)[np.lexsort((keys, -n))]
+        order = np.argsort(keys)
+        self.ranks = send((keys[order], order))
+
+        spelled = vocabulary.mapInArrow(self._spelled(), "shard int, w bigint, spelled double")
+        spelled = stored(spelled, f"{self.folder}/spelled")
+        removed(spark, f"{self.folder}/vocabulary")
+
+        counted = stored(_count_pairs(trusted, self.ranks, self.shards, HOT // self.shards), f"{self.folder}/counted")
+        words = stored(_count_words(counted, spelled), f"{self.folder}/words")
+        removed(spark, f"{self.folder}/spelled")
+        self.smoothing = Smoothing(_stats(counted, 4), _stats(words, 6))
+
+        hot = _unpacked(words.where("hot IS NOT NULL").select("hot").toArrow().column("hot"), 2 + len(_COUNTS))
+        terms = np.zeros((12, len(keys)))
+        terms[:, hot[0]] = self.smoothing.terms(hot[1:])
+        self.gains = send(terms[9:].astype(np.int64))
+        self.terms = send(terms[:9].copy())
+        a, b, *n = _unpacked(counted.where("hot IS NOT NULL").select("hot").toArrow().column("hot"), 4)
+        key = _pair_key(a, b)
+        order = np.argsort(key)
+        gains = self.smoothing.gains(terms[:, a], terms[:, b], *n)
+        self.hot = send((key[order], gains[:, order]))
+
+        pairs = counted.where("pairs IS NOT NULL").selectExpr("shard", "pairs", "CAST(NULL AS binary) AS w")
+        rare = pairs.unionAll(words.where("w IS NOT NULL").selectExpr("shard", "NULL AS pairs", "w"))
+        self.rare = stored(rare, f"{self.folder}/rare")
+        removed(spark, f"{self.folder}/counted")
+        removed(spark, f"{self.folder}/words")
 
     def _spelled(self):
-        spelling = self.spelling
+        spelling, ranks, shards = self.spelling, self.ranks, self.shards
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "word"):
-                logs = pa.array(spelling.value.logs(part.column("word").to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column("w"), logs], names=["w", "spelled"])
+                codes = _codes(part.column("w").to_numpy().view(np.uint64), ranks.value)
+                logs = spelling.value.logs(part.column("word").to_pylist())
+                columns = [pa.array(c) for c in (_home(codes, shards), codes, logs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "w", "spelled"])
 
         return run
 
     @staticmethod
     def _least_hot(counts: DataFrame) -> int:
-        """Least count of the words and pairs that are broadcast, at most ``HOT`` of them."""
+        """Least count of the words that are broadcast, at most ``HOT`` of them."""
         both = counts.selectExpr(f"least(n, {HOT}) AS n").groupBy("n").count()
         running = F.sum("count").over(Window.orderBy(F.desc("n")))  # one row for each count up to HOT
         return both.select("n", running.alias("upto")).where(f"upto <= {HOT}").agg(F.min("n")).first()[0] or _NEVER
 
 
-def _whole(gains: list[str]) -> list[str]:
-    return [f"cast(round(({g}) / {UNIT}D) AS bigint) AS v{p}" for p, g in enumerate(gains)]
-
-
-#: Words and pairs of a slice of texts that belong to a shard: texts with the number of their words
-#: and pairs (size), then all of these with their counts; own and copies stand in one cell of a slice.
-_CELLS = (
-    "shard int, text_key array<bigint>, part array<int>, size array<int>, own array<bigint>, "
-    "copies array<bigint>, g array<bigint>, n array<int>"
-)
-
-
-def _cells(text_key, part, own, copies, text, g, n, shards: int) -> pa.RecordBatch:
-    """A slice as ``_CELLS``; ``text`` ascends and tells the text of each g and n."""
-    shard = g % shards
-    order = np.argsort(shard, kind="stable")
-    shard, text, g, n = shard[order], text[order], g[order], n[order]
-    new = np.ones(len(g), bool)
-    new[1:] = (shard[1:] != shard[:-1]) | (text[1:] != text[:-1])
-    run = np.flatnonzero(new)
-    size = np.diff(np.append(run, len(g)))
-    # The last cell has all texts of the slice and what it knows of them itself.
-    names, at = np.unique(shard, return_index=True)
-    names = np.append(names, text_key[:1] % shards)
-    ends = np.append(at, [len(g), len(g)])
-    runs = np.append(np.searchsorted(run, ends[:-1]), len(run) + len(text_key))
-    zeros = np.zeros(len(run), np.int64)
-    lists = {
-        "text_key": (runs, np.append(text_key[text[run]], text_key), np.int64),
-        "part": (runs, np.append(part[text[run]], part), np.int32),
-        "size": (runs, np.append(size, np.zeros(len(text_key), np.int64)), np.int32),
-        "own": (runs, np.append(zeros, own * copies), np.int64),
-        "copies": (runs, np.append(zeros, copies), np.int64),
-        "g": (ends, g, np.int64),
-        "n": (ends, n, np.int32),
-    }
-    columns = [pa.array(names.astype(np.int32))]
-    for bounds, values, kind in lists.values():
-        columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(kind))))
-    return pa.RecordBatch.from_arrays(columns, names=["shard", *lists])
-
-
-def _cell_sums(cells: pa.Table, gains: pa.Table) -> pa.Table:
-    """(text_key, part, total, copies): what a shard's gains add to the texts of its cells."""
-    text_key, part, size, own, copies, g, n = (
-        np.concatenate([np.empty(0, np.int64), *(c.flatten().to_numpy() for c in cells.column(name).chunks)])
-        for name in ("text_key", "part", "size", "own", "copies", "g", "n")
-    )
-    gains = gains.sort_by("g")
-    keys = gains.column("g").to_numpy()
-    values = np.stack([gains.column(f"v{p}").to_numpy() for p in range(len(_PARTS))])
-    place = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
-    known = np.flatnonzero(keys[place] == g) if len(keys) else np.empty(0, np.int64)
-    got = np.zeros(len(g) + 1, np.int64)
-    got[known + 1] = values[np.repeat(part, size)[known], place[known]] * n[known]
-    upto, ends = np.cumsum(got), np.cumsum(size)
-    columns = [text_key, part.astype(np.int32), own + upto[ends] - upto[ends - size], copies]
-    table = pa.table([pa.array(c) for c in columns], ["text_key", "part", "total", "copies"])
-    return table.filter(pa.array((columns[2] != 0) | (copies != 0)))
+def _cells(text_key, part, own, copies, text, a, b, n, shard, shards: int) -> pa.RecordBatch:
+    """A slice's words and pairs by shard: texts with the number of their rows (size), and all of these rows
+    with their counts; own and copies stand in one cell of a slice. ``text`` ascends.
+    """
+    order, cells = _dealt(shard, shards)
+    text, a, b, n = text[order], a[order], b[order], n[order]
+    rows = [(int(text_key[0] % shards), _packed(text_key, part, 0 * own, own * copies, copies), _packed(n[:0], n[:0], n[:0]))]
+    for name, i, j in cells:
+        run = np.flatnonzero(np.append(True, text[i + 1 : j] != text[i : j - 1]))
+        at, zeros = text[i:j][run], np.zeros(len(run), np.int64)
+        texts = _packed(text_key[at], part[at], np.diff(np.append(run, j - i)), zeros, zeros)
+        rows.append((name, texts, _packed(a[i:j], b[i:j], n[i:j])))
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, names=["shard", "texts", "rows"])
 
 
 def score_documents(docs: DataFrame, model: WordModel) -> DataFrame:
@@ -436,8 +582,9 @@ def score_documents(docs: DataFrame, model: WordModel) -> DataFrame:
 
     ``docs`` has part, the index in ``_PARTS`` of the counts that score it.
     """
-    spelling, hot, weight = model.spelling, model.hot, np.array(model.weight)
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spelling, ranks, ones, hot, terms = model.spelling, model.ranks, model.gains, model.hot, model.terms
+    smoothing, shards = model.smoothing, model.shards
+    weight = np.array(smoothing.weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, gains = hot.value
@@ -446,34 +593,100 @@ def score_documents(docs: DataFrame, model: WordModel) -> DataFrame:
             (part, text_key), at, copies = _first_rows(batch)
             data, offsets = text_bytes(batch.column("text").take(pa.array(at)))
             runs = tokens(data, offsets)
-            seen, words = _words(data, runs)
-            logs = spelling.value.logs([*words, ""])
-            a, b, text = _framed(runs)
-            end = b == _EDGE
-            own = logs[np.where(end, len(seen), np.searchsorted(seen, b))] + weight[part[text]]
-            total = np.bincount(text, np.round(own / UNIT), len(at)).astype(np.int64)
-            (g, text), n = _distinct(np.append(_pair_key(a, b), b), np.append(text, text))
-            place = np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))
-            known = keys[place] == g if len(keys) else np.zeros(len(g), bool)
-            got = gains[part[text[known]], place[known]] * n[known] if len(keys) else np.empty(0, np.int64)
-            np.add.at(total, text[known], got)
-            text, g, n = text[~known], g[~known].view(np.int64), n[~known]
-            yield _cells(text_key, part, total, copies, text, g, copies[text] * n, shards)
+            codes, places, first, rank = _known_words(runs, ranks.value)
+            logs = np.empty(len(codes))
+            logs[rank] = spelling.value.logs(_words(data, runs, first))
+            a, b, text = _framed(runs, places)
+            cold = b < np.searchsorted(codes, 0)
+            own = np.round((logs[b] + weight[part[text]]) / UNIT).astype(np.int64)
+            own[~cold] += ones.value[part[text[~cold]], codes[b[~cold]]]
+            total = _sums(own, text, len(at))
+            # Words without a rank are rows of their own.
+            alone = np.full(int(cold.sum()), len(codes))
+            text, a, b, n = _distinct_pairs(
+                np.append(text, text[cold]), np.append(a, b[cold]), np.append(b, alone), len(codes)
+            )
+            a, b = codes[a], np.append(codes, _ALONE)[b]
+            key = _pair_key(a, b)
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                known = keys[place] == key
+                total += _sums(gains[part[text[known]], place[known]] * n[known], text[known], len(at))
+                text, a, b, n, key = (x[~known] for x in (text, a, b, n, key))
+            yield _cells(text_key, part, total, copies, text, a, b, copies[text] * n, key % np.uint64(shards), shards)
+
+    def add(cells: pa.Table, rare: pa.Table) -> pa.Table:
+        """What a shard's pairs and words add to the texts of its cells (text_key, part, total, copies), by text."""
+        text_key, part, size, own, copies = _unpacked(cells.column("texts"), 5)
+        a, b, n = _unpacked(cells.column("rows"), 3)
+        text = np.repeat(np.arange(len(size)), size)
+        words = _unpacked(rare.column("w").drop_null(), 2 + len(_COUNTS))
+        words = words[:, np.argsort(words[0])]
+        cold, table = words[0], smoothing.terms(words[1:])
+        first, second, *counts = _unpacked(rare.column("pairs").drop_null(), 4)
+
+        def of(words: np.ndarray) -> np.ndarray:
+            out = np.empty((9, len(words)))
+            rank = words >= 0
+            out[:, rank] = terms.value[:, words[rank]]
+            out[:, ~rank] = table[:9, np.searchsorted(cold, words[~rank])]
+            return out
+
+        gains = smoothing.gains(of(first), of(second), *counts)
+        total = own.copy()
+        keys = _pair_key(first, second)
+        order = np.argsort(keys)
+        keys, gains, lone = keys[order], gains[:, order], b == _ALONE
+        for keys, sought, gains, at in (
+            (keys, _pair_key(a, b), gains, np.flatnonzero(~lone)),
+            (cold, a, table[9:].astype(np.int64), np.flatnonzero(lone)),
+        ):
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, sought[at]), len(keys) - 1)
+                known = keys[place] == sought[at]
+                at, place = at[known], place[known]
+                total += _sums(gains[part[text[at]], place] * n[at], text[at], len(total))
+        some = np.flatnonzero((total != 0) | (copies != 0))
+        order, homes = _dealt(text_key[some] % shards, shards)
+        rows = [c[some[order]] for c in (text_key, part, total, copies)]
+        blobs = [_packed(*(c[i:j] for c in rows)) for _, i, j in homes]
+        columns = [pa.array([h[0] for h in homes], pa.int32()), pa.array(blobs, pa.binary())]
+        return pa.table(columns, ["shard", "sums"])
+
+    def merge(sums: pa.Table) -> pa.Table:
+        text_key, part, total, copies = _unpacked(sums.column("sums"), 4)
+        order = np.lexsort((part, text_key))
+        (part, text_key), n = _distinct(part, text_key)
+        at = np.cumsum(n) - n
+        columns = [text_key, part.astype(np.int32), *(np.add.reduceat(c[order], at) for c in (total, copies))]
+        return pa.table([pa.array(c) for c in columns], ["text_key", "part", "total", "copies"])
 
     docs = docs.select(
         "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "lang", "part", "text"
     )
-    cells = docs.select("text_key", "part", "text").mapInArrow(run, _CELLS).groupBy("shard")
-    rare = model.rare.withColumn("shard", F.expr(f"cast(pmod(g, {shards}) AS int)")).groupBy("shard")
-    sums = cells.cogroup(rare).applyInArrow(_cell_sums, "text_key bigint, part int, total bigint, copies bigint")
-    sums = sums.groupBy("text_key", "part").agg(F.sum("total").alias("total"), F.sum("copies").alias("copies"))
-    sums = sums.selectExpr("text_key", "part", f"-(total div copies) * {UNIT}D AS nll")
+    rounds = []
+    for k in range(ROUNDS):
+        some = docs.where(f"pmod(text_key, {ROUNDS}) = {k}").select("text_key", "part", "text")
+        cells = some.mapInArrow(run, "shard int, texts binary, rows binary").groupBy("shard")
+        sums = cells.cogroup(model.rare.groupBy("shard"))
+        sums = sums.applyInArrow(add, "shard int, sums binary").groupBy("shard")
+        sums = sums.applyInArrow(merge, "text_key bigint, part int, total bigint, copies bigint")
+        sums = sums.selectExpr("text_key", "part", f"-(total div copies) * {UNIT}D AS nll")
+        rounds.append(stored(sums, f"{model.folder}/sums{k}"))
+    sums = reduce(DataFrame.unionAll, rounds)
     docs = docs.withColumn("n_chars", F.expr("octet_length(encode(coalesce(text, ''), 'UTF-16LE')) div 2"))
     return docs.drop("text").join(sums, ["text_key", "part"]).select(
         "doc_id", "text_key", "lang", "n_chars", "part", "nll"
     )
 
 
+def _sums(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Sum of the values of each group; ``group`` ascends."""
+    upto = np.concatenate([[0], np.cumsum(values)])
+    ends = np.searchsorted(group, np.arange(groups + 1))
+    return upto[ends[1:]] - upto[ends[:-1]]
+
+
 def _first_rows(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct part and text_key, a row of each and the number of its rows."""
     part, key = (batch.column(c).to_numpy() for c in ("part", "text_key"))
