@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once.
 SLICE_BYTES = 2 << 20
+#: Bytes hashed at once; each takes a few 64-bit numbers meanwhile.
+HASH_BYTES = 128 << 10
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -41,15 +43,17 @@ class Local(dict):
 _powers = Local()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Row slices of at most ``SLICE_BYTES`` of text, or of a single row."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Row slices of at most ``size`` bytes of text, or of a single row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = int(np.searchsorted(ends, before + SLICE_BYTES, "right"))
+            stop = int(np.searchsorted(ends, before + size, "right"))
             stop = max(stop, start + 1)
             yield batch.slice(start, stop - start)
             start = stop
@@ -76,7 +80,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(base: int, n: int) -> np.ndarray:
     if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        steps = np.full(max(n, HASH_BYTES + 1), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)
     return _powers[base][:n]
@@ -117,7 +121,7 @@ def _hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     done = 0
     while done < len(start):
         low = start[done]
-        stop = max(int(np.searchsorted(end, low + SLICE_BYTES, "right")), done + 1)
+        stop = max(int(np.searchsorted(end, low + HASH_BYTES, "right")), done + 1)
         block = data[low : end[stop - 1]].astype(np.uint64) + np.uint64(1)
         total = np.zeros(len(block) + 1, np.uint64)
         np.cumsum(block * _power(_BASE, len(block)), out=total[1:])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialbraid.llm.arrowtext import lines, mix, slices, text_bytes, words
-from trialbraid.llm.shared import small, stored
+from trialbraid.llm.shared import small, small_batches, stored
 
 #: Words of a common block that is worth deleting. Shorter shared lines
 #: (headings, licences, menus) also stand in clean documents.
@@ -173,9 +173,9 @@ def _alignments(pairs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places, counts = [], []
-            for e, h, w, p in zip(
-                *(batch.column(c).to_pylist() for c in ("earlier", "hashes", "words", "places"))
-            ):
+            for i in range(batch.num_rows):
+                # Values of one row at a time; as Python's numbers those of a batch take much.
+                e, h, w, p = (batch.column(c)[i].as_py() for c in ("earlier", "hashes", "words", "places"))
                 found = common_blocks(e, h, w, min_words)
                 places.append([p[j] for j in found])
                 counts.append([w[j] for j in found])
@@ -205,7 +205,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     own = docs.columns
     keyed = _keyed(docs)
-    table = stored(_line_table(keyed, min_words))
+    with small_batches(docs.sparkSession):
+        table = stored(_line_table(keyed, min_words))
     anchors = table.select(F.struct(*_ORDER).alias("doc"), F.explode("anchors").alias("anchor"))
     first = anchors.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     first = stored(first.where("first != last").select("anchor", "first"))
@@ -222,7 +223,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .groupBy(*_ORDER)
         .agg(F.collect_set("line").alias("gone"))
     )
-    deleted = small(stored(deleted), "count(*) + sum(size(gone))")
+    with small_batches(docs.sparkSession):
+        deleted = stored(deleted)
+    deleted = small(deleted, "count(*) + sum(size(gone))")
 
     cut = keyed.join(deleted, _ORDER, "left")
     cut = cut.withColumn("old_lines", F.expr("split(text, '\\n', -1)"))

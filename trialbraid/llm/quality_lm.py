@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialbraid.llm.arrowtext import Runs, mix, slices, text_bytes, tokens
-from trialbraid.llm.shared import removed, scratch, small, stored, tidy
+from trialbraid.llm.shared import removed, scratch, small, small_batches, stored, tidy
 
 #: Trusted share that a threshold keeps, characters of the prior, fewest trusted texts.
 QUANTILE = 0.998
@@ -208,9 +208,10 @@ class Spelling:
         return m.p2, m.back, m.runs, m.shares, self.own
 
     def __setstate__(self, state):
-        self.model = Model.__new__(Model)
-        self.model.p2, self.model.back, self.model.runs, self.model.shares, self.own = state
-        self.row, self.table = self.model.rows()
+        # Only the rows stay; a worker has no use for the model.
+        model = Model.__new__(Model)
+        model.p2, model.back, model.runs, model.shares, self.own = state
+        self.row, self.table = model.rows()
         self.symbol = _alphabet()
 
     def logs(self, words: list[str]) -> np.ndarray:
@@ -726,7 +727,7 @@ def classify_documents(
     docs = docs.select("doc_id", "lang", "text").join(trusted_ids, "doc_id", "left").withColumn(
         "part", F.expr("if(trusted, cast(xxhash64(coalesce(text, '')) & 1 AS int), 2)")
     )
-    with tidy(docs.sparkSession):
+    with tidy(docs.sparkSession), small_batches(docs.sparkSession):
         model = WordModel(docs.where("part < 2"))
         scored = stored(score_documents(docs, model))
     removed(docs.sparkSession, model.folder)

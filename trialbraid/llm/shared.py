@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,20 +40,31 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
 
 #: Removes the shuffle files of a query at its end instead of when the driver collects garbage.
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch of rows for Python; both the executor and the worker hold a few of them.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside leave no shuffle files. What must stay is to be stored."""
-    before = spark.conf.get(_TIDY, None)
-    spark.conf.set(_TIDY, "true")
+def _held(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_TIDY)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(_TIDY, before)
+            spark.conf.set(key, before)
+
+
+def tidy(spark: SparkSession) -> AbstractContextManager[None]:
+    """Queries run inside leave no shuffle files. What must stay is to be stored."""
+    return _held(spark, _TIDY, "true")
+
+
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> AbstractContextManager[None]:
+    """Queries run inside hand Python batches of about ``size`` bytes, or of one row."""
+    return _held(spark, _BATCH_BYTES, str(size))
 
 
 def removed(spark: SparkSession, path: str) -> None:

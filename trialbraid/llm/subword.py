@@ -24,6 +24,8 @@ from trialbraid.llm.arrowtext import slices
 MARKER = "▁"
 #: Line breaks stand alone; a word keeps the markers before it.
 _CHUNK = re.compile(f"\n|{MARKER}*[^{MARKER}\n]+|{MARKER}+")
+#: Bytes of text whose chunks are held as strings at once.
+SLICE_BYTES = 512 << 10
 #: Entries of the table before it is emptied.
 TABLE_ENTRIES = 100_000
 
@@ -153,7 +155,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model_path or piece_model())
-        for part in slices(batches):
+        for part in slices(batches, size=SLICE_BYTES):
             made = arrays(table, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in keep), *(made[c] for c in outputs)],
