@@ -46,7 +46,7 @@ _powers = Local()
 def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """Row slices of at most ``size`` bytes of text, or of a single row."""
+    """Row slices of at most ``size`` bytes of text, or of a single row; unused memory goes back at the end."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
@@ -57,6 +57,13 @@ def slices(
             stop = max(stop, start + 1)
             yield batch.slice(start, stop - start)
             start = stop
+    _release()
+
+
+def _release() -> None:
+    """Give back memory that a worker no longer uses: it lives on while others work."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # that of numpy, too
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

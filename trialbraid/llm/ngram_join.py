@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from trialbraid.llm.arrowtext import Runs, mix, shingles, slices, text_bytes, words
 from trialbraid.llm.components import connected_components
-from trialbraid.llm.shared import small, stored
+from trialbraid.llm.shared import small, small_batches, stored
 
 #: Words of a shingle.
 WIDTH = 5
@@ -283,6 +283,11 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = 80) -> Da
     and has a null component. Rows with one doc_id are one node: their texts'
     links hold together. Other columns are not read.
     """
+    with small_batches(docs.sparkSession):
+        return _joined(docs, width, percent)
+
+
+def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     shapes = stored(_shapes(docs, width, percent))
     known = shapes.where("n > 0 AND doc_id IS NOT NULL")
     sets = known.groupBy("h1", "h2", "n").agg(

@@ -353,19 +353,22 @@ _COUNTED = "shard int, source int, pairs binary, hot binary, stats array<bigint>
 def _count_pairs(trusted: DataFrame, hot, shards: int, most: int) -> DataFrame:
     """``_COUNTED``: how often word b follows word a in the texts of each fold."""
 
+    def cells_of(part: pa.RecordBatch) -> pa.RecordBatch:
+        runs = tokens(*text_bytes(part.column("text")))
+        codes, places, _, _ = _known_words(runs, hot.value)
+        a, b, text = _framed(runs, places)
+        fold = part.column("part").to_numpy()[text]
+        fold, a, b, n = _distinct_pairs(fold, a, b, len(codes))
+        a, b = codes[a], codes[b]
+        order, cells = _dealt(_pair_key(a, b) % np.uint64(shards), shards)
+        a, b, fold, n = a[order], b[order], fold[order], n[order]
+        blobs = [_packed(a[i:j], b[i:j], fold[i:j], n[i:j]) for _, i, j in cells]
+        columns = [pa.array([c[0] for c in cells], pa.int32()), pa.array(blobs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "cell"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            runs = tokens(*text_bytes(part.column("text")))
-            codes, places, _, _ = _known_words(runs, hot.value)
-            a, b, text = _framed(runs, places)
-            fold = part.column("part").to_numpy()[text]
-            fold, a, b, n = _distinct_pairs(fold, a, b, len(codes))
-            a, b = codes[a], codes[b]
-            order, cells = _dealt(_pair_key(a, b) % np.uint64(shards), shards)
-            a, b, fold, n = a[order], b[order], fold[order], n[order]
-            blobs = [_packed(a[i:j], b[i:j], fold[i:j], n[i:j]) for _, i, j in cells]
-            columns = [pa.array([c[0] for c in cells], pa.int32()), pa.array(blobs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "cell"])
+            yield cells_of(part)
 
     def merge(cells: pa.Table) -> pa.Table:
         a, b, fold, n = _unpacked(cells.column("cell"), 4)
@@ -587,34 +590,38 @@ def score_documents(docs: DataFrame, model: WordModel) -> DataFrame:
     smoothing, shards = model.smoothing, model.shards
     weight = np.array(smoothing.weight)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, gains = hot.value
+        # Repeated texts of a slice once, with their number.
+        (part, text_key), at, copies = _first_rows(batch)
+        data, offsets = text_bytes(batch.column("text").take(pa.array(at)))
+        runs = tokens(data, offsets)
+        codes, places, first, rank = _known_words(runs, ranks.value)
+        logs = np.empty(len(codes))
+        logs[rank] = spelling.value.logs(_words(data, runs, first))
+        a, b, text = _framed(runs, places)
+        cold = b < np.searchsorted(codes, 0)
+        own = np.round((logs[b] + weight[part[text]]) / UNIT).astype(np.int64)
+        own[~cold] += ones.value[part[text[~cold]], codes[b[~cold]]]
+        total = _sums(own, text, len(at))
+        # Words without a rank are rows of their own.
+        alone = np.full(int(cold.sum()), len(codes))
+        text, a, b, n = _distinct_pairs(
+            np.append(text, text[cold]), np.append(a, b[cold]), np.append(b, alone), len(codes)
+        )
+        a, b = codes[a], np.append(codes, _ALONE)[b]
+        key = _pair_key(a, b)
+        if len(keys):
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            known = keys[place] == key
+            total += _sums(gains[part[text[known]], place[known]] * n[known], text[known], len(at))
+            text, a, b, n, key = (x[~known] for x in (text, a, b, n, key))
+        return _cells(text_key, part, total, copies, text, a, b, copies[text] * n, key % np.uint64(shards), shards)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What a slice takes is free before the next one, and at the end.
         for batch in slices(batches):
-            # Repeated texts of a slice once, with their number.
-            (part, text_key), at, copies = _first_rows(batch)
-            data, offsets = text_bytes(batch.column("text").take(pa.array(at)))
-            runs = tokens(data, offsets)
-            codes, places, first, rank = _known_words(runs, ranks.value)
-            logs = np.empty(len(codes))
-            logs[rank] = spelling.value.logs(_words(data, runs, first))
-            a, b, text = _framed(runs, places)
-            cold = b < np.searchsorted(codes, 0)
-            own = np.round((logs[b] + weight[part[text]]) / UNIT).astype(np.int64)
-            own[~cold] += ones.value[part[text[~cold]], codes[b[~cold]]]
-            total = _sums(own, text, len(at))
-            # Words without a rank are rows of their own.
-            alone = np.full(int(cold.sum()), len(codes))
-            text, a, b, n = _distinct_pairs(
-                np.append(text, text[cold]), np.append(a, b[cold]), np.append(b, alone), len(codes)
-            )
-            a, b = codes[a], np.append(codes, _ALONE)[b]
-            key = _pair_key(a, b)
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                known = keys[place] == key
-                total += _sums(gains[part[text[known]], place[known]] * n[known], text[known], len(at))
-                text, a, b, n, key = (x[~known] for x in (text, a, b, n, key))
-            yield _cells(text_key, part, total, copies, text, a, b, copies[text] * n, key % np.uint64(shards), shards)
+            yield cells_of(batch)
 
     def add(cells: pa.Table, rare: pa.Table) -> pa.Table:
         """What a shard's pairs and words add to the texts of its cells (text_key, part, total, copies), by text."""
